@@ -61,7 +61,7 @@ class WholeFile:
         self.where, self.path = filesystem(uri)
         self.where.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.temporary, self.size = f"{self.path}.{uuid.uuid4().hex}.tmp", 0
-        self.out = self.where.open_output_stream(self.temporary, buffer_size=1 << 20)
+        self.out = self.where.open_output_stream(self.temporary, compression=None, buffer_size=1 << 20)
 
     def write(self, part: bytes) -> None:
         self.out.write(part)
