@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricemap.llm import decontamination, packing, repetition, separators, token_files
+from pricemap.llm import byte_cnn, decontamination, langid, packing, repetition, roles, separators, simhash, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,35 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality_rules(table(spark, sf_dir, "documents"))
+    found = repetition.quality_rules(table(spark, sf_dir, "documents"))
+    return found.drop("n_covered", "longest_repeat")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op9_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(table(spark, sf_dir, "documents"))
 
@@ -39,7 +61,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
+    "op5_byte_cnn": op5_byte_cnn,
+    "op6_role_repair": op6_role_repair,
+    "op7_simhash": op7_simhash,
+    "op8_language_evidence": op8_language_evidence,
+    "op9_warc_captures": op9_warc_captures,
     "op10_separator_scan": op10_separator_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM iw WHERE len(w) > 0)),
+hits AS (
+  SELECT r, k, n, item_id
+  FROM (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+        FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM dw, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)) d
+  JOIN wins USING (n, g)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (r) LEFT JOIN its USING (r)""",
+    "op3_quality_rules": r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+wins AS (
+  SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM dw, (VALUES (5), (8), (51)) v(n) WHERE len(w) >= n)),
+rep AS (SELECT r, n, k FROM (SELECT r, n, k, count(*) OVER (PARTITION BY r, n, g) AS c FROM wins) WHERE c > 1),
+cov AS (SELECT r, n, count(DISTINCT p) AS c FROM (SELECT r, n, unnest(generate_series(k, k + n - 1)) AS p FROM rep) GROUP BY r, n),
+lines AS (
+  SELECT r, count(*) - count(DISTINCT l) AS d FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM dw)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c5.c, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(c8.c, 0) AS c8, c51.c IS NOT NULL AS long_repeat
+  FROM dw LEFT JOIN lines USING (r)
+  LEFT JOIN (SELECT r, c FROM cov WHERE n = 5) c5 USING (r) LEFT JOIN (SELECT r, c FROM cov WHERE n = 8) c8 USING (r) LEFT JOIN (SELECT r, c FROM cov WHERE n = 51) c51 USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * c8 <= 30 * n_words AND NOT long_repeat AS kept
+FROM m""",
+    "op9_warc_captures": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
+f AS (SELECT page_id, payload_bytes, h, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (k // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) AS INT), 1) FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
+}
