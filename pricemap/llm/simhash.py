@@ -70,9 +70,13 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(prints, "doc_id long, fp long")
 
 
+def _marked(values: Column, mark: Column) -> Column:
+    return F.transform(values, lambda x: x.bitwiseOR(mark))
+
+
 def ball(value: Column, low: int, bits: int) -> Column:
     """``value`` with each one of ``bits`` bits from ``low`` on flipped."""
-    return F.transform(F.sequence(F.lit(low), F.lit(low + bits - 1)), lambda k: value.bitwiseXOR(F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+    return F.transform(F.sequence(F.lit(low), F.lit(low + bits - 1)), lambda k: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
 
 
 def near_links(prints: DataFrame, segments: int = 2) -> DataFrame:
@@ -161,12 +165,10 @@ def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
     Nodes that share a point of a segment's ball are candidates: first all against the group's first
     node; those that don't match it, against the first of them, and so on until each group is used up.
     """
-    one = F.lit(1).cast("long")
     points = []
     for k in range(WIDE_SEGMENTS):
-        value = F.col(f"__s{k}")
-        flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b, value=value: value.bitwiseXOR(F.call_function("shiftleft", one, b)))
-        points.append(F.transform(F.concat(F.array(value), flips), lambda x, k=k: x.bitwiseOR(F.lit(k << 32).cast("long"))))
+        value, mark = F.col(f"__s{k}"), F.lit(k << 32).cast("long")
+        points.append(_marked(F.concat(F.array(value), ball(value, 0, 32)), mark))
     table = unique.select("__node", F.explode(F.concat(*points)).alias("point"))
     together = Window.partitionBy("point")
     # only points that several nodes share are kept
