@@ -72,13 +72,13 @@ def plan_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: Capacity) -
                 free = room[fits] / caps
                 rank = -(weight * share * free).sum(axis=1) if capacity.score == "dot" else (weight * (free - share) ** 2).sum(axis=1)
                 at = int(fits[np.argmin(rank)])
-            else:
+                # under the norm a sequence that took a piece is the best for the next equal one too, under the product the worst
+                most = 1 if capacity.score == "dot" else int((room[at] // need).min())
+            else:  # a new sequence is the only one that fits, until it is full
                 at = len(content)
-                most = 1 if capacity.score == "dot" else int((caps // need).min())
+                most = int((caps // need).min())
                 room, amount = np.vstack([room, caps]), np.append(amount, -(-left // most))
                 content.append(())
-            # under the norm a sequence that took a piece is the best for the next equal one too
-            most = 1 if capacity.score == "dot" else int((room[at] // need).min())
             for per in (most, left % most):
                 whole = min(int(amount[at]), left // per) if per else 0
                 if not whole:
