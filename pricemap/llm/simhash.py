@@ -112,8 +112,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, segments: int = 2) -> DataFrame
 
 # -- near-duplicates by similarity: one document of each group stays ---------------------------------
 
-#: Bits in all, in segments of 32, of the fingerprints over distinct words; and the most of them that may differ.
-WIDE_SEGMENTS, WIDE_DISTANCE = 4, 20
+#: Segments, of 32 bits, of the fingerprints over distinct words; and the most bits that may differ in all
+#: (texts at the similarity limit differ in about 9, unrelated ones in about 50).
+WIDE_SEGMENTS, WIDE_DISTANCE = 4, 28
+#: Documents of one side of a comparison of a group's blocks.
+BLOCK = 512
 #: Words of at least so many bytes count, where a text has enough of them: short ones are shared by all texts.
 LONG_WORD, ENOUGH = 5, 8
 
@@ -159,50 +162,108 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     return picked.select("row.*", "__node")
 
 
-def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Links (src, dst) between nodes of ``unique`` whose ``n``-word shingle sets have that Jaccard similarity or more.
+def candidate_links(unique: DataFrame) -> DataFrame:
+    """Links (src, dst) between nodes of ``unique`` that share a point of a segment's ball and are near in all bits.
 
-    Nodes that share a point of a segment's ball are candidates: first all against the group's first
-    node; those that don't match it, against the first of them, and so on until each group is used up.
+    Of the nodes at a point, all are held against the first; those that are far from it, against the
+    first of them, and so on until the point is used up.  A group of copies meets its first node at once.
     """
     points = []
     for k in range(WIDE_SEGMENTS):
         value, mark = F.col(f"__s{k}"), F.lit(k << 32).cast("long")
         points.append(_marked(F.concat(F.array(value), ball(value, 0, 32)), mark))
-    table = unique.select("__node", F.explode(F.concat(*points)).alias("point"))
+    names = [f"__s{k}" for k in range(WIDE_SEGMENTS)]
+    prints = unique.select("__node", *names)
+    table = prints.select("__node", F.explode(F.concat(*points)).alias("point"))
     together = Window.partitionBy("point")
     # only points that several nodes share are kept
     open_rows = saved(table.withColumn("n", F.count("*").over(together)).filter("n > 1").drop("n"), "points")
-    shared = open_rows.select("__node").distinct()
-    texts = unique.join(shared.hint("merge"), "__node", "left_semi").select("__node", "text", *[f"__s{k}" for k in range(WIDE_SEGMENTS)])
-
-    def sets(batches):
-        for batch in batches:
-            own = [_shingle_hashes(t, n) for t in batch.column("text").to_pylist()]
-            rest = [batch.column(k) for k in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rest, pa.array(own, pa.list_(pa.int64()))], ["__node", *(f"__s{k}" for k in range(WIDE_SEGMENTS)), "shingles"])
-
-    schema = "__node long, " + ", ".join(f"__s{k} long" for k in range(WIDE_SEGMENTS)) + ", shingles array<long>"
-    known = saved(texts.mapInArrow(sets, schema), "shingle-sets")
-    distance = sum((F.bit_count(F.col(f"__s{k}").bitwiseXOR(F.col(f"h{k}"))) for k in range(WIDE_SEGMENTS)), F.lit(0))
-    common = F.size(F.array_intersect("shingles", "head_shingles"))
-    heads = known.select(F.col("__node").alias("head"), *[F.col(f"__s{k}").alias(f"h{k}") for k in range(WIDE_SEGMENTS)], F.col("shingles").alias("head_shingles"))
+    distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h{c}"))) for c in names), F.lit(0))
+    heads = prints.select(F.col("__node").alias("head"), *[F.col(c).alias(f"h{c}") for c in names])
     links = None
     while True:
-        headed = saved(open_rows.withColumn("head", F.min("__node").over(together)).filter("__node <> head"), "points-headed")
+        first = open_rows.groupBy("point").agg(F.min("__node").alias("head"))
+        headed = saved(open_rows.join(first.hint("merge"), "point").filter("__node <> head"), "points-headed")
         pairs = headed.select("__node", "head").distinct()
-        if pairs.isEmpty():
-            return links if links is not None else pairs.select(F.col("__node").alias("src"), F.col("head").alias("dst"))
-        # prints first: the sets are only fetched for pairs that are near
-        narrow = pairs.join(known.drop("shingles").hint("merge"), "__node").join(heads.drop("head_shingles").hint("merge"), "head").filter(distance <= WIDE_DISTANCE).select("__node", "head")
-        both = saved(narrow, "pairs-near").join(known.select("__node", "shingles").hint("merge"), "__node").join(heads.select("head", "head_shingles").hint("merge"), "head")
-        alike = saved(both.filter(common >= similarity * (F.size("shingles") + F.size("head_shingles") - common)).select("__node", "head"), "pairs-alike")
-        found = alike.select(F.col("__node").alias("src"), F.col("head").alias("dst"))
+        near = saved(pairs.join(prints.hint("merge"), "__node").join(heads.hint("merge"), "head").filter(distance <= WIDE_DISTANCE).select("__node", "head"), "pairs-near")
+        found = near.select(F.col("__node").alias("src"), F.col("head").alias("dst"))
         links = found if links is None else links.unionByName(found)
-        before = open_rows
-        open_rows = saved(headed.join(alike.hint("merge"), ["__node", "head"], "left_anti").select("__node", "point"), "points")
+        before, open_rows = open_rows, saved(headed.join(near.hint("merge"), ["__node", "head"], "left_anti").select("__node", "point"), "points")
         drop(before)
         drop(headed)
+        if open_rows.isEmpty():
+            return links
+
+
+def _groups_of(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the sets that are alike: the sets that share nothing with others cost no comparison."""
+    n = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[number] > 1
+    order = np.cumsum(count > 1) - 1
+    number, owner = order[number[shared]], owner[shared]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    size, step = int((count > 1).sum()), 8192
+    by = np.argsort(number, kind="stable")
+    number, owner = number[by], owner[by]
+    for at in range(0, size, step):
+        a, b = np.searchsorted(number, [at, at + step])
+        part = np.zeros((len(sets), min(step, size - at)), dtype=np.float32)
+        part[owner[a:b], number[a:b] - at] = 1
+        common += part @ part.T
+    # compared as counts: 5 common >= 4 (a + b - common) is exact where a division isn't
+    alike = common * (1 + similarity) >= similarity * (n[:, None] + n[None]) - 1e-3
+    links, left = [], np.ones(len(sets), dtype=bool)
+    for k in range(len(sets)):
+        if not left[k]:
+            continue
+        left[k], edge = False, [k]
+        while edge:
+            x = edge.pop()
+            new = np.flatnonzero(alike[x] & left)
+            left[new] = False
+            links += [(x, int(y)) for y in new]
+            edge += new.tolist()
+    return links
+
+
+def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links (src, dst) that connect the nodes whose ``n``-word shingle sets have that Jaccard similarity or more.
+
+    Candidates' components are groups; a group's members are dealt into blocks, and each pair of
+    blocks is compared in one task by a matrix product, which returns no pairs but a spanning forest.
+    """
+    groups = saved(connected_components(candidate_links(unique)), "candidate-groups")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # the block pairs of a member: its own block with every other, the smaller number first; small groups share a task
+    buckets = max(1, groups.count() // BLOCK)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = groups.join(sizes.hint("merge"), "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.xxhash64("root"))
+    dealt = dealt.select("root", F.col("node").alias("__node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), task.alias("task"))
+    texts = unique.join(groups.select(F.col("node").alias("__node")).hint("merge"), "__node", "left_semi").select("__node", "text")
+
+    def sets(batches):
+        for batch in batches:
+            own = [_shingle_hashes(t, n) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__node"), pa.array(own, pa.list_(pa.int64()))], ["__node", "shingles"])
+
+    known = saved(texts.mapInArrow(sets, "__node long, shingles array<long>"), "shingle-sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("root")
+        nodes, root = table.column("__node").to_numpy(), table.column("root").to_numpy()
+        column = table.column("shingles").combine_chunks()
+        flat, offsets, links = column.values.to_numpy(), column.offsets.to_numpy(), []
+        edges = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            links += [(a + x, a + y) for x, y in _groups_of([flat[offsets[k] : offsets[k + 1]] for k in range(a, b)], similarity)]
+        x, y = zip(*links) if links else ((), ())
+        return pa.table({"src": pa.array(nodes[list(x)], pa.int64()), "dst": pa.array(nodes[list(y)], pa.int64())})
+
+    joined = dealt.join(known.hint("merge"), "__node")
+    return saved(joined.groupBy("task", "i", "j").applyInArrow(compare, "src long, dst long"), "similar-links")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
