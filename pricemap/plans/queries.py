@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricemap.functions import classify, contacts, dates, normalize, similarity, text
-from pricemap.operators import attachments, checks, coverage, documents, grids, participation, prices, resolve, usage
+from pricemap.operators import attachments, checks, coverage, documents, enrichment, grids, participation, prices, resolve, usage
 from pricemap.plans.bindings import ATTACHMENTS, DOCUMENTS, ITEMS, MESSAGES, USAGE, bound, items, messages, table, twin
 from pricemap.sources import store
 
@@ -476,13 +476,8 @@ tb AS (SELECT *, list_filter(list_distinct(string_split(n, ' ')), lambda x: leng
 j AS (SELECT s_suppkey, c_custkey, ta.n AS an, tb.n AS bn, len(list_intersect(ta.t, tb.t)) AS i, len(ta.t) AS la, len(tb.t) AS lb FROM ta, tb)
 SELECT s_suppkey, c_custkey, CAST(i AS INT) AS n_common FROM j WHERE contains(an, bn) OR contains(bn, an) OR i / greatest(la, 1) >= 0.6 OR i / greatest(lb, 1) >= 0.6 OR i >= 2""")
 def name_match(spark: SparkSession, d: str) -> DataFrame:
-    """Names meet over a token that they share; one that contains the other shares its tokens too."""
-    a = bound(spark, d, f"WITH {SQL_COMPANIES} SELECT * FROM a").select("s_suppkey", contacts.normalize_name(F.col("name")).alias("an"), contacts.name_tokens(F.col("name")).alias("at"))
-    b = bound(spark, d, f"WITH {SQL_COMPANIES} SELECT * FROM b").select("c_custkey", contacts.normalize_name(F.col("name")).alias("bn"), contacts.name_tokens(F.col("name")).alias("bt"))
-    met = a.withColumn("t", F.explode("at")).join(b.withColumn("t", F.explode("bt")).hint("merge"), "t").drop("t").dropDuplicates(["s_suppkey", "c_custkey"])
-    common = F.size(F.array_intersect("at", "bt"))
-    alike = F.col("an").contains(F.col("bn")) | F.col("bn").contains(F.col("an")) | (common / F.greatest(F.size("at"), F.lit(1)) >= 0.6) | (common / F.greatest(F.size("bt"), F.lit(1)) >= 0.6) | (common >= 2)
-    return met.filter(alike).select("s_suppkey", "c_custkey", common.alias("n_common"))
+    a, b = (bound(spark, d, f"WITH {SQL_COMPANIES} SELECT * FROM {t}") for t in "ab")
+    return enrichment.name_match(a, b, "s_suppkey", "c_custkey")
 
 
 @query(f"""WITH {SQL_ITEMS} SELECT process_id, supplier, count(*) AS n_divergent, min(seq) AS first_seq FROM items WHERE total_price IS NOT NULL AND unit_price IS NOT NULL AND quantity IS NOT NULL AND total_price <> 0
