@@ -33,11 +33,16 @@ def scored_pairs(rows: DataFrame, least: float, metric: str = "levenshtein") ->
     step = step if metric == "levenshtein" else math.log(200.0 / least - 1)
     base = rows.select("process_id", "row_id", "row_seq", "unit", token_sorted(F.col("text")).alias("text")).withColumn("hist", histogram(F.col("text")))
     base = base.withColumn("band", F.floor(F.log(F.length("text") + 1.0) / step).cast("int"))
-    a = base.select("process_id", *[F.col(c).alias(f"a_{c}") for c in ("row_id", "row_seq", "unit", "text", "hist")], F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    b = base.select("process_id", "band", *[F.col(c).alias(f"b_{c}") for c in ("row_id", "row_seq", "unit", "text", "hist")])
-    units = F.col("a_unit").isNull() | F.col("b_unit").isNull() | (F.col("a_unit") == F.col("b_unit"))
+    # a known unit meets itself and the unknown one, an unknown unit meets all: each pair under one key
+    none, any_unit = F.lit("\x01none"), F.lit("\x01any")
+    a_units = F.when(F.col("unit").isNotNull(), F.array("unit", none)).otherwise(F.array(any_unit))
+    b_units = F.array(F.coalesce("unit", none), any_unit)
+    names = ("row_id", "row_seq", "unit", "text", "hist")
+    a = base.select("process_id", *[F.col(c).alias(f"a_{c}") for c in names], F.explode(a_units).alias("key"), "band")
+    a = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    b = base.select("process_id", "band", *[F.col(c).alias(f"b_{c}") for c in names], F.explode(b_units).alias("key"))
     bound = levenshtein_bound if metric == "levenshtein" else ratio_bound
-    met = a.join(b.hint("merge"), ["process_id", "band"]).filter((F.col("a_row_seq") > F.col("b_row_seq")) & units)
+    met = a.join(b.hint("merge"), ["process_id", "key", "band"]).filter(F.col("a_row_seq") > F.col("b_row_seq"))
     if metric == "levenshtein":
         met = met.filter(length_bound(F.col("a_text"), F.col("b_text")) >= least - 1e-6)
     met = met.filter(bound(F.col("a_hist"), F.col("b_hist"), F.col("a_text"), F.col("b_text")) >= least - 1e-6)
