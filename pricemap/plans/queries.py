@@ -11,6 +11,8 @@ from pricemap.functions import classify, contacts, dates, normalize, similarity,
 from pricemap.operators import attachments, checks, coverage, documents, enrichment, grids, participation, prices, resolve, usage
 from pricemap.plans.bindings import ATTACHMENTS, DOCUMENTS, ITEMS, MESSAGES, USAGE, bound, items, messages, table, twin
 from pricemap.sources import store
+from pricemap.streaming import ingest
+from pricemap.work import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -361,6 +363,36 @@ def best_attachment(spark: SparkSession, d: str) -> DataFrame:
     return attachments.best_attachment(own.withColumn("score", score)).select("message_id", "name", "pos", "score")
 
 
+@query(f"""WITH {SQL_SCORED}, m AS (SELECT *, row_number() OVER (PARTITION BY sha256, sender ORDER BY ingest_seq) AS n, sha256 IN (SELECT sha256 FROM sc WHERE source = 'src0') AS tpl FROM sc)
+SELECT ingest_seq, CASE WHEN source = 'src0' THEN 'institutional' WHEN tpl THEN 'template' WHEN n > 1 THEN 'duplicate' WHEN score <= 0 THEN 'rejected' ELSE 'accepted' END AS disposition FROM m""")
+def attachment_dispositions(spark: SparkSession, d: str) -> DataFrame:
+    score, _ = attachments.attachment_score(F.col("name"), F.lit("application/octet-stream"), F.col("message_type"), fuzzy=False)
+    own = attached(spark, d).withColumn("score", score)
+    return attachments.dispositions(own, F.col("source") == "src0").select("ingest_seq", "disposition")
+
+
+SQL_MAIL_LINKS = f"""{SQL_MESSAGES}, lk AS (SELECT process_id, CONCAT('email_attachment:', message_id, ':cotacao.pdf:0123456789ab') AS file_id, CASE WHEN ingest_seq % 4 = 0 THEN 'known@x.com' ELSE '' END AS sender_email FROM messages WHERE ingest_seq % 3 = 0)"""
+
+
+@query(f"""WITH {SQL_MAIL_LINKS}, f AS (SELECT process_id, message_id, arg_min(from_email, ingest_seq) AS from_email FROM messages GROUP BY ALL)
+SELECT lk.process_id, file_id, CASE WHEN sender_email = '' THEN coalesce(from_email, sender_email) ELSE sender_email END AS sender_email FROM lk LEFT JOIN f ON f.process_id = lk.process_id AND f.message_id = split_part(file_id, ':', 2)""")
+def backfill_sender(spark: SparkSession, d: str) -> DataFrame:
+    own = messages(spark, d)
+    links = own.filter("ingest_seq % 3 = 0").select("process_id", F.concat(F.lit("email_attachment:"), "message_id", F.lit(":cotacao.pdf:0123456789ab")).alias("file_id"), F.when(F.col("ingest_seq") % 4 == 0, "known@x.com").otherwise("").alias("sender_email"))
+    return participation.backfill_sender(links, own)
+
+
+@query(f"WITH {SQL_MESSAGES} SELECT DISTINCT process_id, message_id FROM messages")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of messages, all that there are, each message once."""
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = spark.sql(MESSAGES, events=events).withColumn("sent_at", F.col("sent_at").cast("timestamp"))
+    out, state = new_folder(spark, "stream"), new_folder(spark, "stream-state")
+    ingest.ingest(stream, out, state).awaitTermination()
+    return spark.read.parquet(out).select("process_id", "message_id")
+
+
 # -- documents and text --------------------------------------------------------------------------------
 
 
