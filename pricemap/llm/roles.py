@@ -25,6 +25,8 @@ STATES = ("start", "system", "user", "assistant")
 #: Role names that count as another spelling, at no cost.
 ALIASES = {"human": "user", "prompter": "user", "customer": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 INF = float("inf")
+#: Turns that one stretch holds at most, about.
+STRETCH_TURNS = 50_000
 
 
 @dataclass(frozen=True)
@@ -164,7 +166,7 @@ def repair_conversations(conversations: DataFrame, costs: Costs = Costs(), parti
     each partition is a stretch, and only one matrix per stretch is brought together.
     """
     spark = conversations.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-conversations.count() // STRETCH_TURNS))
     keys = [*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role")), F.xxhash64("text")]
     rows = conversations.select(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))])
     ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
