@@ -7,58 +7,45 @@ put together from a prefix scan over the blocks' last separators.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.llm import tokens
 from pricemap.llm.store import WholeFile, filesystem, new_dir, saved
-from pricemap.llm.token_files import FILE_DOCUMENTS, id_boundaries, narrow
+from pricemap.llm.token_files import narrow
 
 #: Tokens that one block of the scan holds.
 BLOCK_TOKENS = 1 << 20
 END_ID = 50256
 
 
-def write_flat_files(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_BPE, end_id: int = END_ID, width: int = 2, file_documents: int = FILE_DOCUMENTS) -> DataFrame:
-    """Write ids, each document followed by ``end_id``, in ascending doc_id order; (file, path, n_bytes) per file.
+def write_flat_files(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_BPE, end_id: int = END_ID, width: int = 2) -> DataFrame:
+    """Write ids, each document followed by ``end_id``, a file per input partition; (file, path, n_bytes, doc_ids) per file.
 
-    Null and empty texts are the end id alone; null doc_ids come first; repeated rows are written
-    each; an empty table writes no file; other columns are not read.
+    Documents stay where they are: nothing is shuffled, and a file holds its partition's documents in
+    order.  Null and empty texts are the end id alone; repeated rows are written each; an empty table
+    writes no file; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = id_boundaries(rows, -(-rows.count() // file_documents))
-
-    def file_of(batches):
-        for batch in batches:
-            file = pa.array([0 if x is None else bisect_right(cuts, x) for x in batch.column("doc_id").to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([file, batch.column("doc_id"), batch.column("text")], ["file", "doc_id", "text"])
-
-    def name(file: int) -> str:
-        return f"{path}/part-{file:08d}.ids"
 
     def write(batches):
-        out, open_file = None, None
-
-        def close():
-            return pa.RecordBatch.from_arrays([pa.array([open_file], pa.int32()), pa.array([name(open_file)]), pa.array([out.close()], pa.int64())], ["file", "path", "n_bytes"])
-
+        file = TaskContext.get().partitionId()
+        name, out, ids = f"{path}/part-{file:08d}.ids", None, []
         for batch in batches:
-            for file, ids in zip(batch.column("file").to_pylist(), tokens.encode_column(vocabulary, batch.column("text").to_pylist(), end_id)):
-                if file != open_file:
-                    if out:
-                        yield close()
-                    out, open_file = WholeFile(name(file)), file
-                out.write(narrow(ids, width))
+            if not batch.num_rows:
+                continue
+            out = out or WholeFile(name)
+            ids += batch.column("doc_id").to_pylist()
+            for own in tokens.encode_column(vocabulary, batch.column("text").to_pylist(), end_id):
+                out.write(narrow(own, width))
         if out:
-            yield close()
+            columns = [pa.array([file], pa.int32()), pa.array([name]), pa.array([out.close()], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "path", "n_bytes", "doc_ids"])
 
-    placed = rows.mapInArrow(file_of, "file int, doc_id long, text string").repartition(max(1, len(cuts) + 1), "file")
-    ordered = placed.sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return saved(ordered.mapInArrow(write, "file int, path string, n_bytes long"), "flat-files")
+    return saved(rows.mapInArrow(write, "file int, path string, n_bytes long, doc_ids array<long>"), "flat-files")
 
 
 def scan_blocks(files: DataFrame, end_id: int = END_ID, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -109,6 +96,13 @@ def document_lengths(files: DataFrame, end_id: int = END_ID, width: int = 2, blo
 
 
 def token_counts(docs: DataFrame, vocabulary: str = tokens.BYTE_BPE, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> DataFrame:
-    """Write ``docs`` as flat files and count each document's tokens from the separators alone."""
+    """Write ``docs`` as flat files and count each document's tokens from the separators alone.
+
+    (doc_id, file, ordinal, start, n_tokens): the n-th separator of a file ends the n-th document that was written to it.
+    """
     where = path or new_dir(docs.sparkSession, "flat")
-    return document_lengths(write_flat_files(docs, where, vocabulary, end_id), end_id, block_tokens=block_tokens)
+    files = write_flat_files(docs, where, vocabulary, end_id)
+    written = files.select(F.col("file").alias("f"), F.posexplode("doc_ids").alias("k", "doc_id"))
+    lengths = document_lengths(files.drop("doc_ids"), end_id, block_tokens=block_tokens)
+    joined = lengths.join(written.hint("merge"), (F.col("file") == F.col("f")) & (F.col("ordinal") == F.col("k")))
+    return joined.select("doc_id", "file", "ordinal", "start", "n_tokens")
