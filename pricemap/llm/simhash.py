@@ -11,6 +11,7 @@ a group of copies is, so no bucket is ever a quadratic one.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.llm.components import connected_components
-from pricemap.llm.store import drop, saved
+from pricemap.llm.store import saved
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
@@ -70,10 +71,6 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(prints, "doc_id long, fp long")
 
 
-def _marked(values: Column, mark: Column) -> Column:
-    return F.transform(values, lambda x: x.bitwiseOR(mark))
-
-
 def ball(value: Column, low: int, bits: int) -> Column:
     """``value`` with each one of ``bits`` bits from ``low`` on flipped."""
     return F.transform(F.sequence(F.lit(low), F.lit(low + bits - 1)), lambda k: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
@@ -112,25 +109,12 @@ def near_duplicates(docs: DataFrame, n: int = 3, segments: int = 2) -> DataFrame
 
 # -- near-duplicates by similarity: one document of each group stays ---------------------------------
 
-#: Segments, of 32 bits, of the fingerprints over distinct words; and the most bits that may differ in all
-#: (texts at the similarity limit differ in about 9, unrelated ones in about 50).
-WIDE_SEGMENTS, WIDE_DISTANCE = 4, 28
 #: Documents of one side of a comparison of a group's blocks.
 BLOCK = 512
-#: Words of at least so many bytes count, where a text has enough of them: short ones are shared by all texts.
-LONG_WORD, ENOUGH = 5, 8
-
-
-def _wide_prints(words: list[bytes]) -> list[int]:
-    """WIDE_SEGMENTS fingerprints of 32 bits over the distinct words."""
-    own = set(words)
-    long = {w for w in own if len(w) >= LONG_WORD}
-    own = long if len(long) >= ENOUGH else own
-    out = []
-    for seed in range(WIDE_SEGMENTS // 2):
-        both = majority_bits(np.fromiter((xxhash.xxh64_intdigest(w, SEED + seed) for w in own), dtype=np.uint64, count=len(own)))
-        out += [both & 0xFFFFFFFF, both >> 32]
-    return out
+#: A shingle that so many prefixes hold at most has its pairs listed; those that more hold make groups, compared in blocks.
+PAIRED = 16
+#: Bits of a shingle's hash that number its counter; counters only order shingles, so sharing one loses nothing.
+COUNTER_BITS = 18
 
 
 def _shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -139,60 +123,103 @@ def _shingle_hashes(text: str | None, n: int) -> np.ndarray:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row per different word sequence (the smallest doc_id's), with ``__node`` and the segments ``__s0``...
+    """One row per different word sequence (the smallest doc_id's), with ``__node``.
 
     Copies meet in a partial aggregation before they are shuffled.
     """
     names = docs.columns
 
-    def prints(batches):
+    def digests(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                rows.append((*np.frombuffer(digest, "<i8").tolist(), *_wide_prints(words)))
-            more = list(zip(*rows)) if rows else [[]] * (2 + WIDE_SEGMENTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in more)], [*names, "__node", "__twin", *(f"__s{k}" for k in range(WIDE_SEGMENTS))])
-
-    extra = ", ".join(f"{c} long" for c in ("__node", "__twin", *(f"__s{k}" for k in range(WIDE_SEGMENTS))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + extra
-    marked = docs.mapInArrow(prints, schema)
-    picked = marked.groupBy("__node", "__twin").agg(F.min_by(F.struct(*[c for c in marked.columns if c not in ("__node", "__twin")]), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("row"))
+            own = [np.frombuffer(hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest(), "<i8").tolist() for t in batch.column("text").to_pylist()]
+            node, twin = zip(*own) if own else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64()), pa.array(twin, pa.int64())], [*names, "__node", "__twin"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __node long, __twin long"
+    marked = docs.mapInArrow(digests, schema)
+    picked = marked.groupBy("__node", "__twin").agg(F.min_by(F.struct(*names), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("row"))
     return picked.select("row.*", "__node")
 
 
-def candidate_links(unique: DataFrame) -> DataFrame:
-    """Links (src, dst) between nodes of ``unique`` that share a point of a segment's ball and are near in all bits.
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def shingle_counts(unique: DataFrame, n: int) -> np.ndarray:
+    """Documents by counter of their distinct shingles, over all documents: each task adds up its own in a table of fixed size."""
+    size = 1 << COUNTER_BITS
+    parts = 64
+
+    def count(batches):
+        sums = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            held, waiting = [], 0
+            for t in batch.column("text").to_pylist():
+                held.append(_counter(_shingle_hashes(t, n)))
+                waiting += len(held[-1])
+                if waiting > 1 << 20:
+                    sums += np.bincount(np.concatenate(held), minlength=size)
+                    held, waiting = [], 0
+            if waiting:
+                sums += np.bincount(np.concatenate(held), minlength=size)
+        if sums.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in sums.reshape(parts, -1)], pa.binary())], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    found = unique.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    own = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in found}
+    return np.concatenate([own.get(k, np.zeros(size // parts, dtype=np.int64)) for k in range(parts)])
+
+
+def prefix_points(unique: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(point, __node, size, at): each document's rarest shingles, as many as make it sure that similar documents share one.
+
+    Shingles have one order everywhere (by count, then hash).  Two sets of similarity s have at least s
+    times either's size in common, so the first common one is among the size - ceil(s * size) + 1 first
+    of both; ``at`` is its place and ``size`` the set's.
+    """
+    counts = unique.sparkSession.sparkContext.broadcast(shingle_counts(unique, n))
 
-    Of the nodes at a point, all are held against the first; those that are far from it, against the
-    first of them, and so on until the point is used up.  A group of copies meets its first node at once.
+    def points(batches):
+        for batch in batches:
+            # wide steps of few documents, so that a batch of long texts stays small
+            nodes, texts = batch.column("__node").to_numpy(), batch.column("text").to_pylist()
+            for k in range(0, len(texts), 500):
+                point, node, size, at = [], [], [], []
+                for own_node, t in zip(nodes[k : k + 500].tolist(), texts[k : k + 500]):
+                    own = _shingle_hashes(t, n)
+                    if not len(own):
+                        continue
+                    first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
+                    point.append(own[np.lexsort((own, counts.value[_counter(own)]))[:first]])
+                    node.append(np.full(len(point[-1]), own_node))
+                    size.append(np.full(len(point[-1]), len(own)))
+                    at.append(np.arange(len(point[-1])))
+                if point:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (point, node, size, at)], ["point", "__node", "size", "at"])
+
+    return unique.select("__node", "text").mapInArrow(points, "point long, __node long, size long, at long")
+
+
+def candidates(unique: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (src, dst), and links (src, dst) of groups to be compared whole: every similar pair is in one of the two.
+
+    A pair is only listed where the sizes, and the shingles left after the common one, allow the similarity.
     """
-    points = []
-    for k in range(WIDE_SEGMENTS):
-        value, mark = F.col(f"__s{k}"), F.lit(k << 32).cast("long")
-        points.append(_marked(F.concat(F.array(value), ball(value, 0, 32)), mark))
-    names = [f"__s{k}" for k in range(WIDE_SEGMENTS)]
-    prints = unique.select("__node", *names)
-    table = prints.select("__node", F.explode(F.concat(*points)).alias("point"))
     together = Window.partitionBy("point")
-    # only points that several nodes share are kept
-    open_rows = saved(table.withColumn("n", F.count("*").over(together)).filter("n > 1").drop("n"), "points")
-    distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h{c}"))) for c in names), F.lit(0))
-    heads = prints.select(F.col("__node").alias("head"), *[F.col(c).alias(f"h{c}") for c in names])
-    links = None
-    while True:
-        first = open_rows.groupBy("point").agg(F.min("__node").alias("head"))
-        headed = saved(open_rows.join(first.hint("merge"), "point").filter("__node <> head"), "points-headed")
-        pairs = headed.select("__node", "head").distinct()
-        near = saved(pairs.join(prints.hint("merge"), "__node").join(heads.hint("merge"), "head").filter(distance <= WIDE_DISTANCE).select("__node", "head"), "pairs-near")
-        found = near.select(F.col("__node").alias("src"), F.col("head").alias("dst"))
-        links = found if links is None else links.unionByName(found)
-        before, open_rows = open_rows, saved(headed.join(near.hint("merge"), ["__node", "head"], "left_anti").select("__node", "point"), "points")
-        drop(before)
-        drop(headed)
-        if open_rows.isEmpty():
-            return links
+    table = prefix_points(unique, n, similarity).withColumns({"members": F.count("*").over(together), "head": F.min("__node").over(together)})
+    shared = saved(table.filter("members > 1"), "points")
+    a = shared.filter(F.col("members") <= PAIRED)
+    b = a.select("point", F.col("__node").alias("dst"), F.col("size").alias("dst_size"), F.col("at").alias("dst_at"))
+    left = 1 + F.least(F.col("size") - F.col("at") - 1, F.col("dst_size") - F.col("dst_at") - 1)
+    enough = left * (1 + similarity) >= similarity * (F.col("size") + F.col("dst_size")) - 1e-3
+    fits = F.least("size", "dst_size") >= similarity * F.greatest("size", "dst_size") - 1e-3
+    pairs = a.join(b.hint("merge"), "point").filter((F.col("__node") < F.col("dst")) & enough & fits).select(F.col("__node").alias("src"), "dst").distinct()
+    heads = shared.filter((F.col("members") > PAIRED) & (F.col("__node") != F.col("head"))).select(F.col("__node").alias("src"), F.col("head").alias("dst")).distinct()
+    return saved(pairs, "candidate-pairs"), heads
 
 
 def _groups_of(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -228,13 +255,32 @@ def _groups_of(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
     return links
 
 
+def _rows_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of (__node, text) whose node is in ``nodes``.  A bitmap of fixed size keeps most others out of the shuffle."""
+    low = F.col("__node").bitwiseAND(F.lit((1 << 23) - 1))
+    parts = nodes.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    bits = np.zeros((256, 32768), dtype=bool)
+    for r in parts:
+        bits[r["part"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def likely(batches):
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column("__node").to_numpy() & ((1 << 23) - 1)]))
+
+    return texts.mapInArrow(likely, texts.schema).join(nodes.hint("merge"), "__node", "left_semi")
+
+
 def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
     """Links (src, dst) that connect the nodes whose ``n``-word shingle sets have that Jaccard similarity or more.
 
-    Candidates' components are groups; a group's members are dealt into blocks, and each pair of
-    blocks is compared in one task by a matrix product, which returns no pairs but a spanning forest.
+    Candidate pairs are verified one by one.  Nodes that meet at a shingle of many prefixes are groups; a
+    group's members are dealt into blocks, and each pair of blocks is compared in one task by a matrix
+    product, which returns no pairs but a spanning forest.
     """
-    groups = saved(connected_components(candidate_links(unique)), "candidate-groups")
+    pairs, heads = candidates(unique, n, similarity)
+    groups = saved(connected_components(heads), "candidate-groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # the block pairs of a member: its own block with every other, the smaller number first; small groups share a task
     buckets = max(1, groups.count() // BLOCK)
@@ -242,28 +288,34 @@ def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
     dealt = groups.join(sizes.hint("merge"), "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.xxhash64("root"))
     dealt = dealt.select("root", F.col("node").alias("__node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), task.alias("task"))
-    texts = unique.join(groups.select(F.col("node").alias("__node")).hint("merge"), "__node", "left_semi").select("__node", "text")
-
-    def sets(batches):
-        for batch in batches:
-            own = [_shingle_hashes(t, n) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__node"), pa.array(own, pa.list_(pa.int64()))], ["__node", "shingles"])
-
-    known = saved(texts.mapInArrow(sets, "__node long, shingles array<long>"), "shingle-sets")
+    nodes = groups.select(F.col("node").alias("__node")).unionByName(pairs.select(F.col("src").alias("__node"))).unionByName(pairs.select(F.col("dst").alias("__node"))).distinct()
+    known = saved(_rows_of(unique.select("__node", "text"), saved(nodes, "candidate-nodes")), "candidate-texts")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("root")
         nodes, root = table.column("__node").to_numpy(), table.column("root").to_numpy()
-        column = table.column("shingles").combine_chunks()
-        flat, offsets, links = column.values.to_numpy(), column.offsets.to_numpy(), []
+        texts, links = table.column("text").to_pylist(), []
         edges = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            links += [(a + x, a + y) for x, y in _groups_of([flat[offsets[k] : offsets[k + 1]] for k in range(a, b)], similarity)]
+            links += [(a + x, a + y) for x, y in _groups_of([_shingle_hashes(t, n) for t in texts[a:b]], similarity)]
         x, y = zip(*links) if links else ((), ())
         return pa.table({"src": pa.array(nodes[list(x)], pa.int64()), "dst": pa.array(nodes[list(y)], pa.int64())})
 
     joined = dealt.join(known.hint("merge"), "__node")
-    return saved(joined.groupBy("task", "i", "j").applyInArrow(compare, "src long, dst long"), "similar-links")
+    in_groups = joined.groupBy("task", "i", "j").applyInArrow(compare, "src long, dst long")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                x, y = _shingle_hashes(x, n), _shingle_hashes(y, n)
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-3)
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    # texts are shuffled, not their shingles: those take twice the room and can't be compressed
+    text_of = lambda key, name: known.select(F.col("__node").alias(key), F.col("text").alias(name)).hint("merge")
+    met = pairs.join(text_of("src", "a"), "src").join(text_of("dst", "b"), "dst").select("src", "dst", "a", "b")
+    return saved(met.mapInArrow(verify, "src long, dst long").unionByName(in_groups), "similar-links")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -373,6 +373,31 @@ def test_one_of_each_group(docs, nothing):
     assert simhash.one_of_each_group(nothing).count() == 0
 
 
+def test_every_similar_pair_is_found(spark):
+    def similarity(a, b):
+        x, y = (set(simhash.shingles_of(simhash.words_of(t), 5)) for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    rng, pairs = random.Random(11), []
+    for k in range(150):
+        words = [f"word{rng.randrange(10**6)}" if rng.random() < 0.5 else rng.choice(["of", "the", "la", "und"]) for _ in range(rng.randrange(14, 60))]
+        pairs.append((" ".join(words), " ".join([*words[:-1], f"other{k}"])))
+    # a few words repeated in a long text; below, a common passage heads all of them
+    few = [f"longer{k}" for k in range(12)]
+    for k in range(20):
+        words = [rng.choice(few) for _ in range(300)]
+        pairs.append((" ".join(words), " ".join([*words, *(f"new{k}x{j}" for j in range(60))])))
+    assert all(similarity(*p) >= 0.8 for p in pairs)
+    passage = "the same passage stands at the head of every text here "
+    texts = [passage + t for p in pairs for t in p]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == list(range(0, len(texts), 2))
+    # a group over PAIRED, and pairs under the limit stay
+    many = [" ".join([*texts[0].split(), f"end{k}"]) for k in range(3 * simhash.PAIRED)] + ["a b c d e f g", "a b c d e f h"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(many)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == [0, len(many) - 2, len(many) - 1]
+
+
 # -- 8 languages -----------------------------------------------------------------------------------------
 
 
