@@ -398,6 +398,18 @@ def test_every_similar_pair_is_found(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == [0, len(many) - 2, len(many) - 1]
 
 
+def test_a_step_in_the_number_of_long_words_hides_no_copy(spark):
+    rng, texts = random.Random(12), []
+    for k in range(40):
+        words = [f"longword{rng.randrange(10**6)}" for _ in range(8)] + [f"w{rng.randrange(100)}" for _ in range(6)]
+        rng.shuffle(words)
+        last = next(w for w in reversed(words) if w.startswith("long"))
+        words = [*(w for w in words if w != last), last]
+        texts += [" ".join(words), " ".join(words[:-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == list(range(0, len(texts), 2))
+
+
 # -- 8 languages -----------------------------------------------------------------------------------------
 
 
