@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricemap.llm.store import saved
+from pricemap.llm.store import drop, saved
 
 #: Lower-cases A-Z and turns every byte that is neither a digit, a letter nor beyond ASCII into a space.
 WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -159,49 +159,85 @@ def _scanned(rows: DataFrame, windows, schema: str, final: bool) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """``docs`` without the documents in which a test window occurs; all columns stay.
-
-    The benchmark must fit one block (else ValueError: use :func:`contamination` and an anti-join).
-    """
+def _window_sets(benchmark: DataFrame, n: int, block_windows: int):
+    """The number of the benchmark's blocks, and an iterator of their broadcast sets."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    if _blocks(items, n, BLOCK_WINDOWS) > 1:
-        dirty = contamination(docs, benchmark, n).filter("contaminated").select("doc_id").distinct()
-        return docs.join(dirty.hint("merge"), docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
-    windows = _window_set(items, n)
-
-    def clean(batches):
-        block = windows.value
-        for batch in batches:
-            yield batch.filter(pa.array([not block.scan(t)[1] for t in batch.column("text").to_pylist()], pa.bool_()))
+    blocks = _blocks(items, n, block_windows)
+    return blocks, (_window_set(items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), n) for k in range(blocks))
 
-    return docs.mapInArrow(clean, docs.schema)
 
+def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` without the documents in which a test window occurs; all columns stay.
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """``docs`` with the hit words cut out of ``text`` (again until none occurs); ``n_chars`` follows if present."""
-    windows = _window_set(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), n)
+    Each row is judged by its own text.  A benchmark of several blocks is scanned block by block, and
+    what a block leaves is written for the next one.
+    """
 
-    @F.udf("string")
-    def cut(text):
-        while text:
-            _, spans, _ = windows.value.scan(text)
-            if not spans:
+    def clean_of(windows):
+        def clean(batches):
+            block = windows.value
+            for batch in batches:
+                yield batch.filter(pa.array([not block.scan(t)[1] for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        return clean
+
+    blocks, sets = _window_sets(benchmark, n, block_windows)
+    for k, windows in enumerate(sets):
+        before, docs = docs, docs.mapInArrow(clean_of(windows), docs.schema)
+        if blocks > 1:
+            docs = saved(docs, "clean")
+            if k:
+                drop(before)
+            windows.unpersist()
+    return docs
+
+
+def _cut(text: str, spans) -> str:
+    """``text`` without the words of the merged spans [from, to)."""
+    raw = text.encode("utf-8", "replace")
+    flat = raw.translate(WORD_BYTES)
+    starts, ends, at = [], [], 0
+    for w in flat.split():
+        at = flat.index(w, at)
+        starts.append(at)
+        at += len(w)
+        ends.append(at)
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(raw[last : starts[a]])
+        last = ends[b - 1]
+    return b"".join([*kept, raw[last:]]).decode()
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` with the hit words cut out of ``text`` (again until none occurs); ``n_chars`` follows if present.
+
+    A benchmark of several blocks is scanned block by block, and the hits of all blocks are cut together.
+    """
+    blocks, sets = _window_sets(benchmark, n, block_windows)
+    out = docs
+    if blocks == 1:
+        windows = next(sets)
+
+        @F.udf("string")
+        def cut_all(text):
+            while text and (spans := windows.value.scan(text)[1]):
+                text = _cut(text, spans)
+            return text
+
+        out = docs.withColumn("text", cut_all("text"))
+    else:
+        span = "array<struct<from:int,to:int>>"
+        cut = F.udf(lambda text, spans: _cut(text, merged((s["from"], s["to"]) for s in spans)) if spans else text, "string")
+        hits_of = lambda windows: F.udf(lambda text: windows.value.scan(text)[1], span)
+        while True:
+            out = out.withColumn("__spans", F.array().cast(span))
+            for windows in sets:
+                out = saved(out.withColumn("__spans", F.concat("__spans", hits_of(windows)("text"))), "spans")
+                windows.unpersist()
+            found = not out.filter(F.size("__spans") > 0).isEmpty()
+            out = saved(out.withColumn("text", cut("text", "__spans")).drop("__spans"), "cut")
+            if not found:
                 break
-            raw = text.encode("utf-8", "replace")
-            flat = raw.translate(WORD_BYTES)
-            starts, ends, at = [], [], 0
-            for w in flat.split():
-                at = flat.index(w, at)
-                starts.append(at)
-                at += len(w)
-                ends.append(at)
-            kept, last = [], 0
-            for a, b in spans:
-                kept.append(raw[last : starts[a]])
-                last = ends[b - 1]
-            text = b"".join([*kept, raw[last:]]).decode()
-        return text
-
-    out = docs.withColumn("text", cut("text"))
+            _, sets = _window_sets(benchmark, n, block_windows)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

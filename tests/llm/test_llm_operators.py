@@ -169,6 +169,18 @@ def test_removal(spark, docs):
     assert len(cut[5].text.split()) == 105 and cut[5].n_chars == len(cut[5].text) and cut[8].text == LONG
 
 
+@pytest.mark.parametrize("block", [200_000, 40])
+def test_removal_by_blocks(spark, block):
+    words = [f"t{k}" for k in range(300)]
+    items = spark.createDataFrame([(k, " ".join(words[20 * k : 20 * k + 20])) for k in range(10)], "item_id long, text string")
+    dirty = "before " + " ".join(words[15:45]) + " after"
+    own = spark.createDataFrame([(1, dirty, 0), (1, "clean row of the same id", 0), (None, dirty, 0), (None, "clean row without id", 0)], "doc_id long, text string, n_chars int")
+    left = decontamination.remove_documents(own, items, block_windows=block)
+    assert sorted(r.text for r in left.collect()) == ["clean row of the same id", "clean row without id"]
+    cut = {r.text for r in decontamination.remove_spans(own, items, block_windows=block).collect()}
+    assert cut == {f"before {' '.join(words[15:20])}  {' '.join(words[40:45])} after", "clean row of the same id", "clean row without id"}
+
+
 # -- 3 quality rules ---------------------------------------------------------------------------------
 
 
