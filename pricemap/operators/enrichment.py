@@ -14,6 +14,30 @@ def filled(col: Column) -> Column:
     return F.when(F.trim(F.coalesce(col, F.lit(""))) != "", F.trim(col))
 
 
+#: Characters of the pieces over which a text meets those that contain it; shorter texts meet as they are.
+GRAM = 8
+
+
+def containing(wholes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Different pairs (whole, part) of the two tables' texts, where ``whole`` contains ``part`` anywhere; blank parts have none.
+
+    A part meets the texts that hold its rarest piece; a piece that no text holds rules it out.
+    """
+    wholes, parts = wholes.select("whole").distinct(), parts.select("part").filter("part <> ''").distinct()
+    lengths = [r[0] for r in parts.select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect()] or [GRAM]
+
+    def pieces(text: str, n) -> Column:
+        last = F.length(text) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substr(text, k, n))).otherwise(F.array().cast("array<string>"))
+
+    held = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[pieces("whole", F.lit(n)) for n in lengths]))).alias("piece"))
+    own = parts.withColumn("pieces", F.array_distinct(pieces("part", F.least(F.length("part"), F.lit(GRAM)))))
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    met = own.select("part", F.size("pieces").alias("all"), F.explode("pieces").alias("piece")).join(counts.hint("merge"), "piece")
+    rarest = met.groupBy("part", "all").agg(F.count("*").alias("found"), F.min(F.struct("n", "piece")).alias("r")).filter("found = all")
+    return rarest.select("part", F.col("r.piece").alias("piece")).join(held.hint("merge"), "piece").filter(F.col("whole").contains(F.col("part"))).select("whole", "part")
+
+
 def name_match(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
     """Pairs of ids whose names (column ``name``) are likely the same company.
 
@@ -56,17 +80,13 @@ def enrich_contacts(links: DataFrame, documents: DataFrame, pages: DataFrame) ->
 def match_members(links: DataFrame, files: DataFrame) -> DataFrame:
     """Archive member of each linked file name: the same or a suffix of one another, else one inside the other; the first.
 
-    Candidates meet over the base name's last four characters before the extension, or its first four.
+    File names are base names in lower case; a blank one has no member.
     """
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        base = F.lower(F.regexp_extract(name, r"([^/\\]*)$", 1))
-        stem = F.regexp_replace(base, r"\.[^.]*$", "")
-        return df.withColumn("__base", base).withColumn("__key", F.explode(F.array_distinct(F.array(F.substring(stem, -4, 4), F.substring(stem, 1, 4)))))
-
-    a = keyed(links, "file_name").withColumnRenamed("__base", "__a")
-    b = keyed(files.select("seq", "name"), "name").withColumnRenamed("__base", "__b")
-    met = a.join(b.hint("merge"), "__key")
+    base = lambda name: F.lower(F.regexp_extract(name, r"([^/\\]*)$", 1))
+    a, b = links.withColumn("__a", base("file_name")), files.select("seq", "name", base("name").alias("__b"))
+    inside = containing(a.select(F.col("__a").alias("whole")), b.select(F.col("__b").alias("part"))).select(F.col("whole").alias("__a"), F.col("part").alias("__b"))
+    around = containing(b.select(F.col("__b").alias("whole")), a.select(F.col("__a").alias("part"))).select(F.col("part").alias("__a"), F.col("whole").alias("__b"))
+    met = a.join(inside.union(around).distinct().hint("merge"), "__a").join(b.hint("merge"), "__b")
     rank = F.when(F.col("__a").endswith(F.col("__b")) | F.col("__b").endswith(F.col("__a")), 0).when(F.col("__a").contains(F.col("__b")) | F.col("__b").contains(F.col("__a")), 1)
     best = met.withColumn("__rank", rank).filter("__rank is not null").groupBy("file_id").agg(F.min(F.struct("__rank", "seq", "name")).alias("m"))
     return links.join(best.select("file_id", F.col("m.name").alias("member")), "file_id", "left")

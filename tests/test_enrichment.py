@@ -34,6 +34,19 @@ def test_members(spark):
     assert {r.file_id: r.member for r in enrichment.match_members(links, files).collect()} == {"1": "cotacao loja.pdf", "2": None}
 
 
+def test_members_inside_names(spark):
+    names = ["1.pdf", "nf1.pdf", "cotacao", "a_cotacao_1.pdf", "x/Proposta Final.PDF", "proposta final.pdf.zip", "b", "outra.doc"]
+    files = ["nf1.pdf", "1.pdf", "a_cotacao_1.pdf", "cotacao", "sta fin", "final.pdf", "nada"]
+
+    def first(n):
+        n = n.rsplit("/", 1)[-1].lower()
+        return next((m for m in files if n.endswith(m) or m.endswith(n)), next((m for m in files if m in n or n in m), None))
+
+    links = spark.createDataFrame([(str(k), n) for k, n in enumerate(names)], "file_id string, file_name string")
+    members = spark.createDataFrame(list(enumerate(files)), "seq int, name string")
+    assert {r.file_id: r.member for r in enrichment.match_members(links, members).collect()} == {str(k): first(n) for k, n in enumerate(names)}
+
+
 def test_proposed_updates(spark):
     s = spark.createDataFrame([(1, "Acme Bombas", "", "9")], "supplier_id long, name string, tax_id string, phone string")
     c = spark.createDataFrame([(5, "ACME BOMBAS LTDA", "t", "p")], "contact_id long, name string, tax_id string, phone string")
