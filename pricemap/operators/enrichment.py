@@ -41,19 +41,34 @@ def containing(wholes: DataFrame, parts: DataFrame) -> DataFrame:
 def name_match(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
     """Pairs of ids whose names (column ``name``) are likely the same company.
 
-    One name contains the other, or 60 % of either's words are common, or two words are.  Candidates
-    meet over a common word; names without a word of their own meet over the whole name.
+    One name contains the other, or 60 % of either's words are common, or two words are.  With one common
+    word, 60 % takes a name of one word: names meet over two words, the only word, or a part of the
+    name.  A name without a word of its own is only contained at the edges of words.
     """
 
     def side(df: DataFrame, key: str, p: str) -> DataFrame:
-        own = df.select(key, normalize_name(F.col("name")).alias(f"{p}n"), name_tokens(F.col("name")).alias(f"{p}t")).filter(F.col(f"{p}n") != "")
-        return own.withColumn("t", F.explode(F.when(F.size(f"{p}t") > 0, F.col(f"{p}t")).otherwise(F.array(f"{p}n"))))
-
-    met = side(a, a_id, "a").join(side(b, b_id, "b").hint("merge"), "t").drop("t").dropDuplicates([a_id, b_id])
-    common = F.size(F.array_intersect("at", "bt"))
-    inside = F.col("an").contains(F.col("bn")) | F.col("bn").contains(F.col("an"))
-    share = F.greatest(common / F.greatest(F.size("at"), F.lit(1)), common / F.greatest(F.size("bt"), F.lit(1)))
-    return met.filter(inside | (share >= 0.6) | (common >= 2)).select(a_id, b_id, common.alias("n_common"))
+        return df.select(key, normalize_name(F.col("name")).alias(f"{p}n"), F.array_sort(name_tokens(F.col("name"))).alias(f"{p}t")).filter(F.col(f"{p}n") != "")
+
+    own_a, own_b = side(a, a_id, "a"), side(b, b_id, "b")
+    names_a, names_b = (own.select(f"{p}n", f"{p}t").distinct() for own, p in ((own_a, "a"), (own_b, "b")))
+
+    def words(names: DataFrame, p: str, which: str) -> DataFrame:
+        return names.filter(F.size(f"{p}t") > 1 if which == "several" else F.size(f"{p}t") == 1 if which == "one" else F.lit(True)).select(f"{p}n", F.explode(f"{p}t").alias("t"))
+
+    def two_words(names: DataFrame, p: str) -> DataFrame:
+        return names.select(f"{p}n", F.posexplode(f"{p}t").alias("k", "w"), f"{p}t").select(f"{p}n", "w", F.explode(F.slice(f"{p}t", F.col("k") + 2, F.greatest(F.size(f"{p}t"), F.lit(1)))).alias("t"))
+
+    met = two_words(names_a, "a").join(two_words(names_b, "b").hint("merge"), ["w", "t"]).select("an", "bn")
+    met = met.unionByName(words(names_a, "a", "one").join(words(names_b, "b", "all").hint("merge"), "t").select("an", "bn"))
+    met = met.unionByName(words(names_a, "a", "several").join(words(names_b, "b", "one").hint("merge"), "t").select("an", "bn"))
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    whole_words = (F.size(name_tokens(F.col("part"))) > 0) | padded("whole").contains(padded("part"))
+    for wholes, parts in (("an", "bn"), ("bn", "an")):
+        source = {"an": names_a, "bn": names_b}
+        inside = containing(source[wholes].select(F.col(wholes).alias("whole")), source[parts].select(F.col(parts).alias("part"))).filter(whole_words)
+        met = met.unionByName(inside.select(F.col("whole").alias(wholes), F.col("part").alias(parts)).select("an", "bn"))
+    met = met.distinct().join(own_a.hint("merge"), "an").join(own_b.hint("merge"), "bn")
+    return met.select(a_id, b_id, F.size(F.array_intersect("at", "bt")).alias("n_common")).dropDuplicates([a_id, b_id])
 
 
 def backfill_contacts_from_mail(suppliers: DataFrame, messages: DataFrame) -> DataFrame:

@@ -498,7 +498,7 @@ def asof_request_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_COMPANIES = """a AS (SELECT s_suppkey, CONCAT(s_name, CASE s_suppkey % 3 WHEN 0 THEN ' LTDA' WHEN 1 THEN ' Comércio ME' ELSE '' END) AS name FROM {supplier}),
-b AS (SELECT c_custkey, CONCAT('Supplier ', c_name) AS name FROM {customer} WHERE c_custkey % 10 = 0)"""
+b AS (SELECT c_custkey, CONCAT('Supplier ', c_name) AS name FROM {customer})"""
 
 
 @query(f"""WITH {SQL_COMPANIES}, na AS (SELECT s_suppkey, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) AS n FROM a),

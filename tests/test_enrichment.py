@@ -13,6 +13,32 @@ def test_name_match(spark):
     assert {(r.a, r.b) for r in enrichment.name_match(a, b, "a", "b").collect()} == {(1, 7), (3, 10)}
 
 
+def test_name_match_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["supplier", "solar", "solartec", "brasil", "tec", "arte", "ltda", "comercio", "bombas", "industriais", "casa", "nova", "7"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(160)} | {"solar", "solartec brasil", "industriais bombas"})
+    stop = {"ltda", "comercio"}
+    tokens = {n: {w for w in n.split() if len(w) >= 3 and w not in stop} for n in names}
+
+    def alike(x, y):
+        common = len(tokens[x] & tokens[y])
+        inside = any(p in w and (tokens[p] or f" {p} " in f" {w} ") for p, w in ((x, y), (y, x)))
+        return bool(inside or common >= 2 or any(t and common / len(t) >= 0.6 for t in (tokens[x], tokens[y])))
+
+    a, b = list(enumerate(names[::2])), list(enumerate(names[1::2] + ["solar", "solartec brasil"]))
+    got = enrichment.name_match(spark.createDataFrame(a, "a long, name string"), spark.createDataFrame(b, "b long, name string"), "a", "b").collect()
+    assert sorted((r.a, r.b, r.n_common) for r in got) == sorted((i, j, len(tokens[x] & tokens[y])) for i, x in a for j, y in b if alike(x, y))
+
+
+def test_all_customers_meet_all_suppliers(spark, small):
+    from pricemap.plans import queries
+
+    got = {r.c_custkey for r in queries.name_match(spark, small).collect()}
+    assert {r.s_suppkey for r in spark.read.parquet(f"{small}/supplier.parquet").collect()} <= got
+
+
 def test_contacts_from_mail(spark):
     suppliers = spark.createDataFrame([("A@x.com", "", None), ("b@x.com", "1", "2")], "email string, tax_id string, phone string")
     mails = spark.createDataFrame([("a@x.com", 1, "CNPJ 11.222.333/0001-81"), ("a@x.com", 3, "oi"), ("a@x.com", 2, "Telefone (21) 3456-7890")], "from_email string, ingest_seq long, body string")
