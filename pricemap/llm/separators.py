@@ -39,7 +39,7 @@ def write_flat_files(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_B
                 continue
             out = out or WholeFile(name)
             ids += batch.column("doc_id").to_pylist()
-            for own in tokens.encode_column(vocabulary, batch.column("text").to_pylist(), end_id):
+            for own in tokens.encode_column(vocabulary, batch.column("text").to_pylist(), end_id, plain=True):
                 out.write(narrow(own, width))
         if out:
             columns = [pa.array([file], pa.int32()), pa.array([name]), pa.array([out.close()], pa.int64()), pa.array([ids], pa.list_(pa.int64()))]

@@ -42,15 +42,22 @@ def widen(raw: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> bytes:
-    """A dictionary from the id arrays of a bounded hash sample of the documents; raw ids where there are too few to train."""
-    picked = docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").select("text").limit(SAMPLE_DOCUMENTS)
+    """A dictionary from the id arrays of a bounded hash sample of the documents; raw ids where there are too few to train.
+
+    A bound on the hash of the doc_id leaves about twice as many documents as are wanted, whatever the
+    table's size, before any text is read or moved; rows that repeat a doc_id count once, those without
+    one and texts that are over the sample's room alone are passed over.
+    """
+    mark, known = F.xxhash64("doc_id"), docs.filter("doc_id is not null")
+    n = known.count()
+    least = (1 << 63) - 1 - min((1 << 64) - 1, (2 * SAMPLE_DOCUMENTS + 100 << 64) // max(1, n))
+    few = known.filter(mark >= F.lit(least)).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     samples, total = [], 0
-    for row in picked.toLocalIterator():
+    for row in few.orderBy(mark, "doc_id").select("text").limit(SAMPLE_DOCUMENTS).toLocalIterator():
         own = next(tokens.encode_column(vocabulary, [row["text"]], end_id))
-        if total + len(own) // 4 > SAMPLE_TOKENS:
-            break
-        total += len(own) // 4
-        samples.append(narrow(own, width))
+        if total + len(own) // 4 <= SAMPLE_TOKENS:
+            total += len(own) // 4
+            samples.append(narrow(own, width))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, total * width // 8)), samples).as_bytes()
     except zstandard.ZstdError:
@@ -69,6 +76,7 @@ def id_boundaries(docs: DataFrame, files: int) -> list[int]:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_BPE, end_id: int = 2, file_documents: int = FILE_DOCUMENTS) -> DataFrame:
     """Write the ids of every whole document in ascending doc_id order; return (file, path, documents, tokens) per file.
 
+    Each file is a range of doc_ids and one task's; the strings of special tokens count as the library counts them.
     Null texts count as empty (the end id alone); null doc_ids come first; rows that repeat a doc_id
     are all written, ordered by their ids' crc32; an empty table writes no file; other columns are not read.
     """
@@ -122,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_
             yield close()
 
     encoded = rows.mapInArrow(encode, "file int, doc_id long, n_tokens long, crc32 long, frame binary")
-    placed = encoded.repartition(max(1, len(cuts) + 1), "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "crc32", "n_tokens")
+    placed = encoded.repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "crc32", "n_tokens")
     return saved(placed.mapInArrow(write, "file int, path string, documents long, tokens long"), "token-files")
 
 

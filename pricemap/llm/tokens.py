@@ -1,8 +1,9 @@
 """Token ids of whole texts, shared by the packing and token-file operators.
 
-Both supported vocabularies never let a token cross a run of ASCII white space that follows a
-non-space character, so a text's ids are the ids of its pieces in order.  Words repeat, so a worker
-keeps the ids of pieces that it has met and hands only new pieces to the tokenizers library.
+Ids are the tokenizers library's own.  A vocabulary's units (words, numbers, marks, white space) don't
+depend on each other, and words repeat, so a worker keeps the ids of units that it has met and hands
+only new ones to the library's model.  A text with letters beyond Latin-1 is cut into pieces at white
+space, where no token can cross; its pieces of Latin-1 go the same way, the others to the library whole.
 """
 
 from __future__ import annotations
@@ -10,22 +11,25 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from struct import pack
+from struct import Struct
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
-#: Pieces whose ids one worker keeps in its young half; the older half goes when it is full.
-MEMO_PIECES = 300_000
-
-#: A cut before a white-space character is safe only between non-space characters.
-_ODD_SPACE = re.compile(r"\s | \s|^ | $")
+#: Units whose ids one worker keeps in its young half; the older half goes when it is full.
+MEMO_UNITS = 500_000
+
+# The units that the two vocabularies' files define, for texts of Latin-1 alone.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
+_UNITS = {
+    BYTE_BPE: re.compile(f" ?[{_L}]++| ?[{_N}]++|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_S}{_L}{_N}]++|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    WORD_BPE: re.compile(f"[{_L}]++|[{_N}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_S}{_L}{_N}]++"),
+}
+_BEYOND = re.compile("[^\x00-\xff]")
+#: A cut before a white-space character is safe after any other.
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])")
-#: A run of letters is one unit of both vocabularies if a plain mark or nothing follows.
-_LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_MARKS = frozenset(".,;:!?*#$%&|()[]\"\n\r\t-/")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,8 +40,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTER_OF = _byte_letters()
-_UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_ENCODERS: dict[str, "Encoder"] = {}
+_PACK = [Struct(f"<{n}I").pack for n in range(64)]
+_ENCODERS: dict[tuple, "Encoder"] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -49,114 +53,81 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Memo(dict):
+    """Ids by unit; a unit that is not known is taken from the older half or encoded."""
+
+    def __init__(self, encode, older: dict):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        self[unit] = found = self.encode(unit) if found is None else found
+        return found
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizers library's own.
 
-    ``lower``: the vocabulary lower-cases and drops white space, so pieces are plain words.
+    ``plain``: the strings of special tokens within a text are ordinary text, where the library's
+    default takes each for that token.  Other vocabularies than the two named go to the library whole.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
-        self.lower = "word_bpe" in os.path.basename(name)
-        self.memo: dict = {}
-        self.older: dict = {}
-        self.words: dict = {}
+        base = os.path.basename(name)
+        self.units = _UNITS[base].findall if base in _UNITS else None
+        self.lower = base == WORD_BPE
+        self.memo = _Memo(self._unit, {})
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """A run of letters, with its leading space if it has one: the model's own unit."""
-        found = self.words.get(word)
-        if found is None:
-            if word.isascii():
-                unit = word.replace(" ", _LETTER_OF[32])
-            else:
-                unit = word.encode().decode("latin-1").translate(_LETTER_OF)
-            ids = [t.id for t in self.model.tokenize(unit)]
-            found = self.words[word] = pack(f"<{len(ids)}I", *ids)
-        return found
+    def _unit(self, unit: str) -> bytes:
+        """A unit of Latin-1: the model's own word, of letters that stand for its UTF-8 bytes."""
+        if unit.isascii() and unit.isprintable():
+            letters = unit.replace(" ", _LETTER_OF[32])
+        else:
+            letters = unit.encode().decode("latin-1").translate(_LETTER_OF)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, dtype="<u4").tobytes()
+
+    def _latin(self, text: str) -> bytes:
+        if len(self.memo) > MEMO_UNITS:
+            self.memo = _Memo(self._unit, dict(self.memo))
+        return b"".join(map(self.memo.__getitem__, self.units(text.lower() if self.lower else text)))
 
     def _piece(self, piece: str) -> bytes:
-        head = _LETTERS.match(piece)
-        if not head:
-            return self._whole(piece)
-        word, tail = head[0], piece[head.end() :]
-        if self.lower:
-            word = word.lower()
-        if not tail:
-            return self._word(word)
-        if tail[0] not in _MARKS:
-            return self._whole(piece)
-        cut = tail.find("\n")
-        if 0 <= cut < len(tail) - 1 and not tail[cut + 1].isspace() and (cut == 0 or not tail[cut - 1].isspace()):
-            # a single line break between two other characters is a unit of its own
-            return self._word(word) + self._mark(tail[:cut]) + self._mark("\n") + self._piece(tail[cut + 1 :])
-        return self._word(word) + self._mark(tail)
-
-    def _mark(self, tail: str) -> bytes:
-        if len(tail) > 4:
-            return self._whole(tail)
-        found = self.words.get(tail)
-        if found is None:
-            found = self.words[tail] = self._whole(tail) if tail else b""
-        return found
+        return self._whole(piece) if _BEYOND.search(piece) else self._latin(piece)
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text; None counts as empty."""
+        if not text:
+            return b""
+        if self.units is None or any(s in text for s in self.special):
+            return self._whole(text)
+        return b"".join(map(self._piece, _CUT.split(text))) if _BEYOND.search(text) else self._latin(text)
+
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One bytes value per text; None counts as empty."""
-        if len(self.memo) > MEMO_PIECES:
-            self.older, self.memo = self.memo, {}
-        if len(self.words) > MEMO_PIECES:
-            self.words = {}
-        memo, older, out = self.memo, self.older, []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            first = b""
-            if self.lower:
-                pieces = text.encode("utf-8", "replace").translate(_UPPER).split()
-            elif _ODD_SPACE.search(text):
-                out.append(b"".join(map(self._piece, _CUT.split(text))))
-                continue
-            else:
-                pieces = text.split(" ")
-                first = self._piece(pieces[0])
-                del pieces[0]
-            for p in {p for p in pieces if p not in memo}:
-                found = older.get(p)
-                if found is None:
-                    found = self._piece(p.decode() if self.lower else " " + p)
-                memo[p] = found
-            out.append(first + b"".join(map(memo.__getitem__, pieces)))
-        return out
-
-
-def encoder(name: str) -> Encoder:
+def encoder(name: str, plain: bool = False) -> Encoder:
     """The worker's encoder of a vocabulary."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
+    if (name, plain) not in _ENCODERS:
+        _ENCODERS[name, plain] = Encoder(name, plain)
+    return _ENCODERS[name, plain]
 
 
-def encode_column(name: str, texts, end_id: int, batch_chars: int = 1 << 20):
-    """Yield each text's id bytes with ``end_id`` appended, a bounded number of characters at a time."""
-    end, own, size = np.array([end_id], dtype="<u4").tobytes(), [], 0
-    coder = encoder(name)
+def encode_column(name: str, texts, end_id: int, plain: bool = False):
+    """Yield each text's id bytes with ``end_id`` appended."""
+    end = np.array([end_id], dtype="<u4").tobytes()
+    coder = encoder(name, plain)
     for text in texts:
-        own.append(text)
-        size += len(text or "")
-        if size >= batch_chars:
-            for b in coder.encode(own):
-                yield b + end
-            own, size = [], 0
-    for b in coder.encode(own):
-        yield b + end
+        yield coder.encode(text) + end
 
 
 def crc32(ids: bytes) -> int:

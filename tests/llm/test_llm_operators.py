@@ -45,25 +45,33 @@ def rows(df):
 # -- tokens ------------------------------------------------------------------------------------------
 
 
-def own_ids(name):
+def own_ids(name, plain=False):
+    """The library as it is; with ``plain`` special tokens' strings are ordinary text."""
     t = Tokenizer.from_file(tokens.vocabulary_path(name))
-    t.encode_special_tokens = True
+    if plain:
+        t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+ODD = ["a  b", "  x", "x ", "\n\n y \n z", "é́ \xa0 b", "x\x1c y .\x1c.z", "w.\nFor it", "w\n\nz", "don't'll 12a3", "ÀÉß-Ñ/ö;", "²³ ½ªµº", "\x85\x85a \xa0\xa0b", "DON'T 'Ll", "Ünï “quoted” — text… and more\n\n привет мир 12 日本語です ok", "ﬁ Å e\u0301 İ ſ K", "Ⅷ x² ٣٤ a\u200db"]
+SPECIAL = ["<|endoftext|> hi", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|>", "“<|endoftext|>”"]
+
+
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize("name", [tokens.WORD_BPE, tokens.BYTE_BPE])
-def test_encoder_equals_the_library(name):
-    ids = own_ids(name)
-    odd = [t for t in TEXTS if t] + ["a  b", "  x", "x ", "\n\n y \n z", "é́ \xa0 b", "x\x1c y .\x1c.z", "w.\nFor it", "w\n\nz", "don't'll 12a3", "ÀÉß-Ñ/ö;"]
-    for text, got in zip(odd, tokens.encode_column(name, odd, 7)):
+def test_encoder_equals_the_library(name, plain, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_UNITS", 50)
+    ids, odd = own_ids(name, plain), [t for t in TEXTS if t] + ODD + SPECIAL
+    for text, got in zip(odd, tokens.encode_column(name, odd, 7, plain)):
         assert np.frombuffer(got, "<u4").tolist() == [*ids(text), 7], text
+    assert own_ids(name)(SPECIAL[0]) != own_ids(name, True)(SPECIAL[0])
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="aZé .,\n'1\t\x1cß½-", max_size=40))
+@given(st.one_of(st.text(alphabet="aZé .,\n'1\t\x1cß½-", max_size=40), st.text(alphabet=st.characters(max_codepoint=255), max_size=25), st.text(alphabet="aé б.,\n'1\t “—\u0301", max_size=25)))
 def test_encoder_on_any_text(text):
     for name in (tokens.WORD_BPE, tokens.BYTE_BPE):
-        assert np.frombuffer(tokens.encoder(name).encode([text])[0], "<u4").tolist() == own_ids_cached(name)(text)
+        assert np.frombuffer(tokens.encoder(name).encode(text), "<u4").tolist() == own_ids_cached(name)(text)
 
 
 _CACHE = {}
@@ -245,7 +253,7 @@ def test_token_files(docs, nothing, tmp_path):
 @pytest.mark.parametrize("block", [3, 1 << 20])
 def test_separator_scan(docs, nothing, tmp_path, block):
     got = rows(separators.token_counts(docs, path=str(tmp_path / str(block)), block_tokens=block))
-    ids = own_ids(tokens.BYTE_BPE)
+    ids = own_ids(tokens.BYTE_BPE, plain=True)
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(r[0]), len(ids(r[1]))) for r in ROWS)
     assert separators.token_counts(nothing).count() == 0
 
