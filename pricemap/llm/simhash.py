@@ -1,11 +1,10 @@
 """SimHash near-duplicates with multi-index hashing.
 
-Two fingerprints link at a small Hamming distance.  Instead of comparing fingerprints, each one
-enumerates the ball of radius 1 within each of its segments (the other segments as they are) and is
-filed under every point of it.  Fingerprints at distance 2 or less have a point in common, whichever
-segments their bits differ in, and those filed under one point are at most 2 apart; the complete
-distance is verified all the same.  A point has at most bits + 1 different fingerprints, however large
-a group of copies is, so no bucket is ever a quadratic one.
+Fingerprints are cut into segments, with a table for each: it files a fingerprint under its value of that
+segment.  Of two fingerprints at distance 2 or less, some segment differs in at most 2 // segments
+bits, so each fingerprint looks up the small Hamming ball of its own value in every segment's table,
+and the complete distance of what it fetches is verified.  A value that many fingerprints have, as
+in a large group of near copies, is looked up in tables of the other segments' halves within it.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from pricemap.llm.store import saved
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
+#: Bits in which linked fingerprints differ at most.
+DISTANCE = 2
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -71,19 +72,63 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(prints, "doc_id long, fp long")
 
 
-def ball(value: Column, low: int, bits: int) -> Column:
-    """``value`` with each one of ``bits`` bits from ``low`` on flipped."""
-    return F.transform(F.sequence(F.lit(low), F.lit(low + bits - 1)), lambda k: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+#: Parts that the members of one component are joined in.
+SALTS = 32
+#: Rows that meet at one value of a segment; beyond, the value has tables of its own.
+BUCKET = 256
+
+
+def _part(low: int, bits: int) -> Column:
+    """``bits`` bits of the fingerprint from bit ``low`` on."""
+    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _ball(value: Column, bits: int, radius: int) -> Column:
+    """The values at distance ``radius`` (0 or 1) or less."""
+    flipped = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+    return F.concat(F.array(value), flipped) if radius else F.array(value)
+
+
+def _tables(rows: DataFrame, windows: list[tuple[int, int]], keep: list[str], entry: str = "true", probe: str = "true") -> DataFrame:
+    """What each of ``windows`` (low, bits) files and looks up: (``keep``, fp, part, value, entry)."""
+    radius = DISTANCE // len(windows)
+    filed = F.array(*[F.struct(F.lit(k).alias("part"), _part(*w).alias("value")) for k, w in enumerate(windows)])
+    place = lambda k: lambda v: F.struct(F.lit(k).alias("part"), v.alias("value"))
+    asked = F.concat(*[F.transform(_ball(_part(*w), w[1], radius), place(k)) for k, w in enumerate(windows)])
+    entries = rows.filter(entry).select(*keep, "fp", F.inline(filed)).withColumn("entry", F.lit(True))
+    return entries.unionByName(rows.filter(probe).select(*keep, "fp", F.inline(asked)).withColumn("entry", F.lit(False)))
+
+
+def _fetched(tables: DataFrame, key: list[str]) -> DataFrame:
+    """(part, src, dst): what each look-up finds under its key, every pair from its larger side."""
+    filed = tables.filter("entry").select(*key, F.col("fp").alias("dst"))
+    asked = tables.filter("not entry").select(*key, F.col("fp").alias("src"))
+    return asked.join(filed.hint("merge"), key).filter("src > dst").select(key[0], "src", "dst")
+
+
+def near_candidates(prints: DataFrame, segments: int = 2) -> DataFrame:
+    """(part, src, dst) of the different fingerprints ``fp`` that meet in a segment's table (part numbers it), in full."""
+    size, half = 64 // segments, 64 // segments // 2
+    key = ["part", "value"]
+    of_value = Window.partitionBy(*key)
+    tables = _tables(prints.select("fp"), [(k * size, size) for k in range(segments)], [])
+    tables = tables.withColumns({"filed": F.count_if("entry").over(of_value), "met": F.count("*").over(of_value)})
+    # a fingerprint that meets only itself has a row that files it and one that looks it up
+    live = saved(tables.filter("filed > 0 and met > 2"), "segment-tables")
+    found = _fetched(live.filter(F.col("met") <= BUCKET), key)
+    many = live.filter(F.col("met") > BUCKET)
+    for k in range(segments):
+        others = [(j * size + low, half) for j in range(segments) if j != k for low in (0, half)]
+        own = many.filter(F.col("part") == k).select(F.col("part").alias("of_part"), F.col("value").alias("of_value"), "fp", "entry")
+        within = _fetched(_tables(own, others, ["of_part", "of_value"], "entry", "not entry"), ["of_part", "of_value", "part", "value"])
+        found = found.unionByName(within.withColumnRenamed("of_part", "part"))
+    return found
 
 
 def near_links(prints: DataFrame, segments: int = 2) -> DataFrame:
-    """Links (src, dst) between different fingerprints ``fp`` at distance 2 or less that connect all that such links connect."""
-    size = 64 // segments
-    points = F.concat(F.array("fp"), *[ball(F.col("fp"), s * size, size) for s in range(segments)])
-    table = prints.select("fp", F.explode(points).alias("point"))
-    order = Window.partitionBy("point").orderBy("fp")
-    met = table.select("fp", F.first("fp").over(order).alias("head")).filter("fp <> head")
-    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= 2).select(F.col("fp").alias("src"), F.col("head").alias("dst")).distinct()
+    """Links (src, dst) between all different fingerprints ``fp`` at distance 2 or less."""
+    near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= DISTANCE
+    return near_candidates(prints, segments).filter(near).select("src", "dst").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, segments: int = 2) -> DataFrame:
@@ -98,8 +143,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, segments: int = 2) -> DataFrame
     links = saved(near_links(distinct, segments), "fingerprint-links")
     linked = connected_components(links).withColumnRenamed("node", "fp")
     member = linked.join(distinct.hint("merge"), "fp")
-    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    renamed = linked.join(smallest.hint("merge"), "root").select("fp", "component_id")
+    # the one row of a component is joined to its members by salt, so a large one is many tasks' work
+    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    renamed = salted.join(smallest.hint("merge"), ["root", "salt"]).select("fp", "component_id")
     of_print = distinct.join(renamed.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     of_print = saved(of_print, "fingerprint-components")
     # a fingerprint that many copies share is split by adaptive execution: its other side is one row

@@ -357,31 +357,36 @@ def test_near_duplicates(spark, docs, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_links_connect_what_is_near(spark):
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+@pytest.mark.parametrize(("segments", "bucket"), [(2, 256), (2, 5), (4, 256), (4, 5)])
+def test_links_are_what_is_near(spark, monkeypatch, segments, bucket):
+    """All links, with buckets that are split and without, in a chain of near values and a group that shares a segment."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     start = RNG.getrandbits(64)
     values = {start}
-    for _ in range(400):
+    for _ in range(200):
         v = RNG.choice(list(values))
         for _ in range(RNG.choice([1, 2, 2, 3])):
             v ^= 1 << RNG.randrange(64)
         values.add(v)
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = rows(simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long")))
-    assert all(((r["src"] ^ r["dst"]) & (2**64 - 1)).bit_count() <= 2 for r in links)
-    parent = {v: v for v in signed}
-    other = dict(parent)
-
-    def root(p, v):
-        while p[v] != v:
-            v = p[v]
-        return v
-
-    for r in links:
-        parent[root(parent, r["src"])] = root(parent, r["dst"])
-    for a, b in itertools.combinations(signed, 2):
-        if ((a ^ b) & (2**64 - 1)).bit_count() <= 2:
-            other[root(other, a)] = root(other, b)
-    assert len({root(parent, v) for v in signed}) == len({root(other, v) for v in signed})
+    values |= {start ^ (RNG.getrandbits(32) << 32) for _ in range(40)} | {start ^ (1 << k) ^ (1 << j) for k in (3, 40) for j in range(64) if j != k}
+    links = rows(simhash.near_links(spark.createDataFrame([(signed(v),) for v in values], "fp long"), segments))
+    want = {(max(p), min(p)) for p in (tuple(map(signed, p)) for p in itertools.combinations(values, 2)) if ((p[0] ^ p[1]) & (2**64 - 1)).bit_count() <= 2}
+    assert len(links) == len(want) and {(r["src"], r["dst"]) for r in links} == want
+
+
+def test_segments_have_tables_of_their_own(spark):
+    """Which table finds a pair depends on where its bits differ; what shares a segment and is far apart is fetched and rejected."""
+    base = 0x0123456789ABCDEF
+    pairs = {"both low": base ^ 0b11, "both high": base ^ (0b11 << 50), "one each": base ^ 1 ^ (1 << 50), "far": base ^ (0xFFFF << 32), "low and a half": base ^ 0b111}
+    for name, other in pairs.items():
+        own = spark.createDataFrame([(signed(base),), (signed(other),)], "fp long")
+        met = {r["part"] for r in rows(simhash.near_candidates(own))}
+        assert met == {"both low": {1}, "both high": {0}, "one each": {0, 1}, "far": {0}, "low and a half": {1}}[name], name
+        assert (len(rows(simhash.near_links(own))) == 1) == (name in ("both low", "both high", "one each"))
 
 
 def test_one_of_each_group(docs, nothing):
