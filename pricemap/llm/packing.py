@@ -34,13 +34,13 @@ class Capacity:
     """What one sequence holds, and how the dimensions weigh in the choice.
 
     ``documents`` and ``attention`` (sum of squared lengths) default to what any sequence of
-    ``tokens`` tokens satisfies, so that they only break ties; lower values bind.
+    ``tokens`` tokens satisfies: they then weigh in the choice but never bind, as lower values do.
     """
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.01)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     score: str = "norm"
 
     def vector(self) -> np.ndarray:
