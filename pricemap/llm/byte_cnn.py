@@ -127,19 +127,25 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> pd.DataFrame:
-    """Text and quality of at most ``documents`` labelled rows outside the held-out fold, in an order fixed by hash."""
+    """Text and quality of at most ``documents`` labelled rows outside the held-out fold, in an order fixed by hash.
+
+    A document with several labels counts as the lower one, one with several texts by the first in order;
+    a text that is over what is left of the sample's bytes is passed over.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    # a document with several labels counts as the lower one
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    # a bound on the hash leaves about twice as many as are wanted, whatever the table's size
+    mark = F.xxhash64("doc_id")
+    least = (1 << 63) - 1 - min((1 << 64) - 1, (2 * documents + 100 << 64) // max(1, known.count()))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter(mark >= F.lit(least))
+    picked = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(mark, "doc_id").limit(documents)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     out, size = [], 0
-    for r in found.toLocalIterator():
-        size += len(r["text"] or "")
-        if size > SAMPLE_BYTES:
-            break
-        out.append((r["text"], r["quality"]))
+    for r in found.orderBy(mark, "doc_id").toLocalIterator():
+        own = len(r["text"].encode("utf-8", "replace"))
+        if size + own <= SAMPLE_BYTES:
+            size += own
+            out.append((r["text"], r["quality"]))
     return pd.DataFrame(out, columns=["text", "quality"])
 
 
