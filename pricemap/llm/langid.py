@@ -4,7 +4,8 @@ Four sources of evidence meet in one posterior per document: the likelihood of t
 models, the language that the markup declares, the suffix of the address, and a prior of the host.
 The trigram counts come from every labelled text; how far declarations and suffixes agree with the
 texts, and the host priors, are grouped aggregates of the text posteriors over every row.  A host with
-few rows takes its prior from its domain, a domain from its suffix, a suffix from all rows.
+few rows takes its prior from its domain, a domain from its suffix, a suffix from all rows.  A row's own
+posterior is left out of every sum that it meets again, so no text counts twice.
 """
 
 from __future__ import annotations
@@ -15,19 +16,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from pricemap.llm.store import saved
+from pricemap.llm.store import drop, saved
 
-#: Hash buckets of the trigram models, and the most languages that get one (the most frequent labels).
-BUCKETS, MAX_LANGUAGES = 1 << 15, 100
+#: Hash buckets of the trigram models, and the languages whose models are counted and broadcast at once (16 MB).
+BUCKETS, LANGUAGE_BLOCK = 1 << 15, 128
 #: The text counts as at most so many independent trigrams: overlapping ones repeat each other's evidence.
 TEXT_WEIGHT = 40.0
 #: Rows that the wider level counts for in a host's or domain's prior, and in the agreement tables.
 HOST_STRENGTH, DOMAIN_STRENGTH, AGREEMENT_STRENGTH = 20.0, 50.0, 10.0
-#: Host tables of up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_HOSTS = 50_000
+#: Tables of hosts, declarations and suffixes of up to so many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Everything in ASCII that isn't a letter separates.
@@ -54,11 +57,10 @@ def trigram_buckets(text: str | None) -> np.ndarray:
 
 @dataclass
 class TextModel:
-    """Log-probabilities of trigram buckets by language, and the languages' shares."""
+    """Log-probabilities of trigram buckets for a block of languages."""
 
     languages: list[str]
     log_p: np.ndarray
-    log_share: np.ndarray
 
     def likelihood(self, text: str | None) -> tuple[int, np.ndarray]:
         """Number of trigrams, and the weighted log-likelihood by language (zero without letters)."""
@@ -71,13 +73,19 @@ class TextModel:
         return len(own), total / len(own) * min(len(own), TEXT_WEIGHT)
 
 
-def train_text_model(labelled: DataFrame, text: str = "text", label: str = "lang") -> TextModel:
-    """Trigram counts over every labelled text.  Each task adds up its own rows, so a row per language, bucket and task is shuffled."""
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.lower(F.trim(F.col(label).cast("string"))).alias("label")).filter("label <> ''")
-    shares = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["label"] for r in shares)
-    if not languages:
-        return TextModel(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+def _labels(labelled: DataFrame, text: str, label: str) -> DataFrame:
+    return labelled.select(F.col(text).cast("string").alias("text"), F.lower(F.trim(F.col(label).cast("string"))).alias("label")).filter("label <> ''")
+
+
+def language_shares(labelled: DataFrame, text: str = "text", label: str = "lang") -> dict[str, float]:
+    """Share of each label among the labelled rows, by name; every label is a language (``und`` where there is none)."""
+    found = {r["label"]: r["count"] for r in _labels(labelled, text, label).groupBy("label").count().orderBy("label").collect()}
+    total = sum(found.values())
+    return {x: n / total for x, n in found.items()} or {"und": 1.0}
+
+
+def train_text_model(labelled: DataFrame, languages: list[str], text: str = "text", label: str = "lang") -> TextModel:
+    """Trigram counts of ``languages`` over every labelled text.  Each task adds up its own rows, so a row per language, bucket and task is shuffled."""
     number = {x: k for k, x in enumerate(languages)}
 
     def count(batches):
@@ -89,44 +97,56 @@ def train_text_model(labelled: DataFrame, text: str = "text", label: str = "lang
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = _labels(labelled, text, label).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(languages)), 0.5)
     table[counts["bucket"].to_numpy(), counts["lang"].to_numpy()] += counts["n"].to_numpy()
-    share = np.array([next(r["count"] for r in shares if r["label"] == x) for x in languages], dtype=float)
-    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32), np.log(share / share.sum()))
+    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+
+
+def _posterior(logs: np.ndarray) -> np.ndarray:
+    p = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def _nullable(schema: StructType) -> StructType:
+    return StructType([StructField(f.name, f.dataType) for f in schema])
+
+
+def with_likelihood(df: DataFrame, labelled: DataFrame, shares: dict[str, float], text: str, is_markup: bool = False) -> DataFrame:
+    """``df`` written with ``__n`` (trigrams), ``__ll`` (log-likelihood by language) and ``__p`` (posterior, null without letters) of ``text``.
+
+    A text column goes, a field of a struct column stays.  Languages are scored in blocks, so what is
+    broadcast has a bound however many there are.
+    """
+    languages = list(shares)
+    out = df.withColumn("__ll", F.array().cast("array<double>"))
+    for at in range(0, len(languages), LANGUAGE_BLOCK):
+        before, out = out, saved(_scored(out, train_text_model(labelled, languages[at : at + LANGUAGE_BLOCK]), shares, text, is_markup), "likelihoods")
+        if at:
+            drop(before)
+    return out
 
 
-def with_likelihood(df: DataFrame, model: TextModel, text: str, is_markup: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns plus ``__n`` (trigrams) and ``__ll`` (log-likelihood by language)."""
-    names = keep if keep is not None else df.columns
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _scored(df: DataFrame, model: TextModel, shares: dict[str, float], text: str, is_markup: bool) -> DataFrame:
+    shared, last = df.sparkSession.sparkContext.broadcast(model), model.languages[-1] == list(shares)[-1]
+    share = np.log(np.array(list(shares.values())))
+    names = [c for c in df.columns if c not in ("__ll", "__n", "__p") and not (last and c == text)]
+    column, *field = text.split(".")
 
     def score(batches):
         for batch in batches:
+            texts = batch.column(column) if not field else pc.struct_field(batch.column(column), field)
             n, ll = [], []
-            for t in batch.column("__text").to_pylist():
+            for t, before in zip(texts.cast(pa.string()).to_pylist(), batch.column("__ll").to_pylist()):
                 k, own = shared.value.likelihood(visible_text(t) if is_markup else t)
                 n.append(k)
-                ll.append(own)
-            arrays = [batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(ll, pa.list_(pa.float64()))], [*names, "__n", "__ll"])
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + (", " if names else "") + "__n long, __ll array<double>"
-    return df.select(*names, F.col(text).cast("string").alias("__text")).mapInArrow(score, schema)
-
+                ll.append([*before, *own.tolist()])
+            p = [x if k else None for k, x in zip(n, _posterior(np.array(ll).reshape(len(ll), -1) + share).tolist())] if last else [None] * len(n)
+            arrays = [pa.array(n, pa.int64()), pa.array(ll, pa.list_(pa.float64())), pa.array(p, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *arrays], schema.names)
 
-def _softmax(logs: Column) -> Column:
-    """Probabilities of an array of logs."""
-    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
-
-
-def _added(*arrays: Column) -> Column:
-    out = arrays[0]
-    for more in arrays[1:]:
-        out = F.zip_with(out, more, lambda a, b: a + b)
-    return out
+    schema = df.select(*names, F.lit(0).cast("long").alias("__n"), "__ll", F.col("__ll").alias("__p")).schema
+    return df.mapInArrow(score, _nullable(schema))
 
 
 def host_of(url: Column) -> Column:
@@ -154,71 +174,91 @@ def declared_language(markup: Column) -> Column:
     return F.coalesce(F.when(own != "", own), F.when(other != "", other))
 
 
-def fuse(scored: DataFrame, model: TextModel, declared: Column, host: Column, domain: Column, suffix: Column) -> DataFrame:
-    """Add language, probability, text_language, declared, host, suffix to a written table with __n and __ll.
+def _smoothed(own: np.ndarray, wider: np.ndarray, strength: float) -> np.ndarray:
+    return (own + strength * wider) / (own.sum(axis=1, keepdims=True) + strength)
+
+
+def fused_posterior(ll: np.ndarray, own: np.ndarray, every: np.ndarray, place: dict[str, np.ndarray], evidence: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Posterior by language of rows, from sums of text posteriors that each row's ``own`` is taken out of.
+
+    ``every``: the sum over all rows.  ``place``: sums of a row's suffix, domain and host.  ``evidence``: for each
+    kind of agreement the sum of the rows with the same value (NaN without one) and that of all rows with any.
+    """
+    rest = np.maximum(every - own, 0.0)
+    prior = (rest + 1.0) / (rest + 1.0).sum(axis=1, keepdims=True)
+    for level, strength in (("suffix", DOMAIN_STRENGTH), ("domain", DOMAIN_STRENGTH), ("host", HOST_STRENGTH)):
+        known = ~np.isnan(place[level][:, :1])
+        prior = np.where(known, _smoothed(np.maximum(np.nan_to_num(place[level]) - own, 0.0), prior, strength), prior)
+    logs = ll + np.log(prior)
+    for same, total in evidence:
+        left, among = np.maximum(np.nan_to_num(same) - own, 0.0), np.maximum(total - own, 0.0)
+        share = (left.sum(axis=1, keepdims=True) + 1e-9) / (among.sum(axis=1, keepdims=True) + 1e-9)
+        logs += np.where(np.isnan(same[:, :1]), 0.0, np.log((left + AGREEMENT_STRENGTH * share) / (among + AGREEMENT_STRENGTH)))
+    return _posterior(logs)
+
+
+def fuse(scored: DataFrame, shares: dict[str, float], declared: Column, host: Column, domain: Column, suffix: Column) -> DataFrame:
+    """Add language, probability, text_language, declared, host, suffix, n_trigrams to a written table with __n, __ll and __p.
 
     Missing evidence (null) says nothing.  A tie goes to the language that comes first by name.
     Columns of those names that ``scored`` has already are replaced.
     """
-    langs, size = model.languages, len(model.languages)
-    share = F.array(*[F.lit(float(x)) for x in model.log_share])
-    known = F.array(*[F.lit(x) for x in langs])
-    rows = scored.withColumns({"__declared": declared, "__host": host, "__domain": domain, "__suffix": suffix})
-    rows = rows.withColumn("__p", F.when(F.col("__n") > 0, _softmax(_added(F.col("__ll"), share))))
+    langs, size = list(shares), len(shares)
+    names = [c for c in scored.columns if c not in ("__n", "__ll", "__p", "language", "probability", "text_language", "declared", "host", "suffix", "n_trigrams")]
+    rows = scored.select(*names, "__n", "__ll", "__p", declared.alias("__declared"), host.alias("__host"), domain.alias("__domain"), suffix.alias("__suffix"))
+    known = rows.filter("__p is not null")
     soft = [F.sum(F.col("__p")[k]).alias(f"p{k}") for k in range(size)]
-    sums = F.array(*[F.coalesce(F.col(f"p{k}"), F.lit(0.0)) for k in range(size)])
-    whole = rows.agg(*soft).first()
-    every = np.array([whole[f"p{k}"] or 0.0 for k in range(size)]) + 1.0
-    every = every / every.sum()
-    base = F.array(*[F.lit(float(x)) for x in every])
-
-    def smoothed(own: Column, wider: Column, strength: float) -> Column:
-        n = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own, wider, lambda a, w: (a + strength * w) / (n + strength))
-
-    # hierarchical priors: suffix, then domain, then host
-    places = rows.filter(F.col("__host").isNotNull() & F.col("__p").isNotNull()).groupBy("__host", "__domain", "__suffix").agg(*soft).select("__host", "__domain", "__suffix", sums.alias("host_sum"))
-    places = saved(places, "host-sums")
-    parts = [F.sum(F.col("host_sum")[k]).alias(f"p{k}") for k in range(size)]
-    of_suffix = places.groupBy("__suffix").agg(*parts).select(F.col("__suffix").alias("s"), smoothed(sums, base, DOMAIN_STRENGTH).alias("suffix_p"))
-    of_domain = places.groupBy("__domain", "__suffix").agg(*parts).select(F.col("__domain").alias("d"), F.col("__suffix").alias("ds"), sums.alias("domain_sum"))
-    of_domain = of_domain.join(of_suffix.hint("shuffle_hash"), F.col("ds").eqNullSafe(F.col("s"))).select("d", "ds", smoothed(F.col("domain_sum"), F.col("suffix_p"), DOMAIN_STRENGTH).alias("domain_p"))
-    joined = places.join(of_domain.hint("merge"), F.col("__domain").eqNullSafe(F.col("d")) & F.col("__suffix").eqNullSafe(F.col("ds")))
-    priors = saved(joined.select(F.col("__host").alias("h"), smoothed(F.col("host_sum"), F.col("domain_p"), HOST_STRENGTH).alias("host_p")), "host-priors")
-    n_hosts = priors.count()
-
-    # how often a declared value or a suffix goes with each language
-    def agreement(column: str) -> dict[str, list[float]]:
-        value = F.when(F.col(column).isin(langs), F.col(column)).otherwise("other") if column == "__declared" else F.col(column)
-        found = rows.filter(F.col(column).isNotNull() & F.col("__p").isNotNull()).groupBy(value.alias("v")).agg(*soft)
-        found = found.orderBy(F.desc(sum((F.col(f"p{k}") for k in range(size)), F.lit(0.0))), "v").limit(500).collect() if column == "__suffix" else found.collect()
-        counts = {r["v"]: np.array([r[f"p{k}"] for k in range(size)]) for r in found}
-        total = sum(counts.values(), np.zeros(size))
-        marginal = {v: c.sum() / max(total.sum(), 1e-9) for v, c in counts.items()}
-        return {v: np.log((c + AGREEMENT_STRENGTH * marginal[v]) / (total + AGREEMENT_STRENGTH)).tolist() for v, c in counts.items()}
-
-    zero = F.array(*[F.lit(0.0)] * size)
-
-    def evidence(table: dict[str, list[float]], value: Column) -> Column:
-        if not table:
-            return zero
-        pairs = [x for v, logs in table.items() for x in (F.lit(v), F.array(*[F.lit(float(y)) for y in logs]))]
-        return F.coalesce(F.create_map(*pairs)[value], zero)
-
-    said = F.when(F.col("__declared").isin(langs), F.col("__declared")).when(F.col("__declared").isNotNull(), F.lit("other"))
-    with_prior = rows.join(F.broadcast(priors) if n_hosts <= BROADCAST_HOSTS else priors.hint("merge"), F.col("__host") == F.col("h"), "left")
-    prior = F.transform(F.coalesce("host_p", base), lambda x: F.log(x))
-    posterior = _softmax(_added(F.col("__ll"), prior, evidence(agreement("__declared"), said), evidence(agreement("__suffix"), F.col("__suffix"))))
-    out = with_prior.withColumn("__q", posterior)
-    out = out.withColumns(
-        {
-            "language": F.element_at(known, F.array_position("__q", F.array_max("__q")).cast("int")),
-            "probability": F.array_max("__q"),
-            "text_language": F.when(F.col("__n") > 0, F.element_at(known, F.array_position("__p", F.array_max("__p")).cast("int"))),
-            "declared": F.col("__declared"), "host": F.col("__host"), "suffix": F.col("__suffix"), "n_trigrams": F.col("__n"),
-        }
-    )
-    return out.drop("__declared", "__host", "__domain", "__suffix", "__p", "__q", "__ll", "__n", "h", "host_p")
+    again = [F.sum(F.col("sums")[k]).alias(f"p{k}") for k in range(size)]
+    sums = F.array(*[F.coalesce(F.col(f"p{k}"), F.lit(0.0)) for k in range(size)]).alias("sums")
+
+    def total(df: DataFrame, parts: list[Column]) -> list[float]:
+        return df.agg(*parts).select(sums).first()[0]
+
+    # the sums of a host, its domain and its suffix: one small row a host
+    hosts = saved(known.filter("__host is not null").groupBy("__host", "__domain", "__suffix").agg(*soft).select("__host", "__domain", "__suffix", sums), "host-sums")
+    of_suffix = hosts.groupBy(F.col("__suffix").alias("s")).agg(*again).select("s", sums.alias("suffix_sum"))
+    of_domain = hosts.groupBy(F.col("__domain").alias("d")).agg(*again).select("d", sums.alias("domain_sum"))
+    placed = hosts.join(of_suffix.hint("merge"), F.col("__suffix") == F.col("s"), "left").join(of_domain.hint("merge"), F.col("__domain") == F.col("d"), "left")
+    placed = saved(placed.select(F.col("__host").alias("h"), F.col("sums").alias("host_sum"), "domain_sum", "suffix_sum"), "host-places")
+    every = total(known, soft)
+
+    out, totals = rows.join(_sized(placed), F.col("__host") == F.col("h"), "left").drop("h"), []
+    # how often a declared value or a suffix goes with each language; declarations of no language of the models are one value
+    value_of = {"__declared": F.when(F.col("__declared").isin(langs), F.col("__declared")).when(F.col("__declared").isNotNull(), F.lit("other")), "__suffix": F.col("__suffix")}
+    for column, value in value_of.items():
+        same = saved(known.filter(value.isNotNull()).groupBy(value.alias("v")).agg(*soft).select("v", sums.alias(f"{column}_sum")), "agreement")
+        totals.append(total(same.withColumnRenamed(f"{column}_sum", "sums"), again))
+        out = out.join(_sized(same), value == F.col("v"), "left").drop("v")
+
+    said = list(value_of)
+
+    def posterior(batches):
+        def array(column, n):
+            return np.array([x or [np.nan] * size for x in column.to_pylist()], dtype=float).reshape(n, size)
+
+        for batch in batches:
+            n = batch.num_rows
+            own = array(batch.column("__p"), n)
+            place = {level: array(batch.column(f"{level}_sum"), n) for level in ("suffix", "domain", "host")}
+            evidence = [(array(batch.column(f"{c}_sum"), n), np.array(t)) for c, t in zip(said, totals)]
+            q = fused_posterior(array(batch.column("__ll"), n), np.nan_to_num(own), np.array(every), place, evidence)
+            text = [None if np.isnan(x[0]) else langs[int(x.argmax())] for x in own]
+            more = {
+                "language": [langs[k] for k in q.argmax(axis=1)], "probability": q.max(axis=1), "text_language": text, "declared": batch.column("__declared"),
+                "host": batch.column("__host"), "suffix": batch.column("__suffix"), "n_trigrams": batch.column("__n"),
+            }
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(more.values(), kinds)]], [*names, *more])
+
+    kinds = [pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    text = F.lit(None).cast("string")
+    added = {"language": text, "probability": F.lit(0.0), "text_language": text, "declared": text, "host": text, "suffix": text, "n_trigrams": F.lit(0).cast("long")}
+    schema = rows.select(*names, *[v.alias(c) for c, v in added.items()]).schema
+    return out.mapInArrow(posterior, _nullable(schema))
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table with the join strategy that its number of rows allows."""
+    return table.hint("broadcast" if table.count() <= BROADCAST_ROWS else "merge")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -227,26 +267,27 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     Null html or url give no evidence; a page without any takes the prior.  Repeated rows each give a
     row; an empty table gives none; other columns are not read.
     """
-    model = train_text_model(labelled)
+    shares = language_shares(labelled)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("__said", declared_language(F.col("html")))
-    scored = saved(with_likelihood(rows, model, "html", True, ["page_id", "url", "__said"]), "page-likelihoods")
+    rows = rows.withColumn("said", declared_language(F.col("html")))
+    scored = with_likelihood(rows, labelled, shares, "html", True)
     host = host_of(F.col("url"))
-    fused = fuse(scored, model, F.col("__said"), host, domain_of(host), suffix_of(host))
+    fused = fuse(scored, shares, F.col("said"), host, domain_of(host), suffix_of(host))
     return fused.select("page_id", "language", F.round("probability", 6).alias("probability"), "text_language", "declared", "host", "suffix", "n_trigrams")
 
 
-def keep_identified(docs: DataFrame, least_probability: float = 0.5) -> DataFrame:
-    """``docs`` (text, lang, source) without the rows whose language can't be told; all columns stay.
+def keep_identified(docs: DataFrame, least_probability: float = 0.5, languages: list[str] | None = None) -> DataFrame:
+    """``docs`` (text, lang, source) without the rows whose language can't be told or isn't among ``languages``; all columns stay.
 
     ``lang`` is taken as the declaration and the label of the text models, ``source`` as the host.  A
-    row goes if its text has no letters, or no language reaches ``least_probability``.
+    row goes if its text has no letters, if no language reaches ``least_probability``, or if the fused
+    language isn't wanted (None: every language is).  Columns of any name are kept.
     """
-    model = train_text_model(docs)
-    names = docs.columns
-    scored = saved(with_likelihood(docs, model, "text"), "document-likelihoods")
+    shares = language_shares(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    said, source = F.lower(F.trim(F.col("lang").cast("string"))), F.lower(F.trim(F.col("source").cast("string")))
+    scored = with_likelihood(docs.select(row, said.alias("said"), source.alias("place")), docs, shares, "row.text")
     nothing = F.lit(None).cast("string")
-    host = F.lower(F.trim(F.col("source").cast("string")))
-    fused = fuse(scored.withColumnsRenamed({c: f"own_{k}" for k, c in enumerate(names) if c not in ("lang", "source")}), model, F.lower(F.trim(F.col("lang").cast("string"))), host, nothing, nothing)
+    fused = fuse(scored, shares, F.col("said"), F.col("place"), nothing, nothing)
     kept = fused.filter((F.col("n_trigrams") > 0) & (F.col("probability") >= least_probability))
-    return kept.select(*[F.col(c if c in ("lang", "source") else f"own_{k}").alias(c) for k, c in enumerate(names)])
+    return (kept if languages is None else kept.filter(F.col("language").isin(languages))).select("row.*")

@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[DataFrame]] = []
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset (tests), a new local one, set for the session."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset under a local master (tests), a new local one."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pricemap-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -28,21 +33,47 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read back with the same schema."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
+#: Spark's own setting: the shuffle files of an execution go when it ends, not when the driver collects garbage.
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`saved` that nothing reads any more."""
+def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and read back with the same schema.
+
+    What the write shuffled isn't needed after it, so its files go at once.
+    """
     spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, before = new_dir(spark, name), spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(table)
+    return table
+
+
+@contextmanager
+def work_tables():
+    """Tables that :func:`saved` makes meanwhile go at the end, but for those put into the list that is given."""
+    keep: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield keep
+    finally:
+        stay = {f for df in keep for f in df.inputFiles()}
+        drop(*[df for df in _SCOPES.pop() if not stay.intersection(df.inputFiles())])
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`saved` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(uri: str):
