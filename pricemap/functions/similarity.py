@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 _WORDS = r"([\p{L}\p{N}_]+)"
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Long values that the letters' and digits' marks take (26 times 4 and 10 times 2 bits).
+LETTER_LONGS = 3
 
 
 def words(col: Column) -> Column:
@@ -34,26 +36,56 @@ def length_bound(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100.0).otherwise(100.0 * F.least(F.length(a), F.length(b)) / longest)
 
 
-def histogram(col: Column) -> Column:
-    """Number of each letter and digit, and of all other characters."""
-    counts = [F.length(col) - F.length(F.translate(col, c, "")) for c in _SYMBOLS]
-    return F.array(*counts, F.length(F.translate(col, _SYMBOLS, "")))
+def marks(col: Column) -> Column:
+    """Bits of a text by which pairs are ruled out: up to four of each letter, two of each digit, and its pairs of neighbours hashed to 256."""
+    most = [(c, 2 if c.isdigit() else 4) for c in _SYMBOLS]
+    longs, used = [[]], 0
+    for c, n in most:
+        if used + n > 63:
+            longs, used = [*longs, []], 0
+        count = F.least(F.length(col) - F.length(F.translate(col, c, "")), F.lit(n))
+        full = F.call_function("shiftleft", F.lit(1).cast("long"), count) - 1
+        longs[-1].append(F.shiftleft(full, used))
+        used += n
+    letters = [_either(own) for own in longs]
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 1, F.lit(1))), lambda k: F.pmod(F.hash(F.substring(col, k, 2)), F.lit(256)))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)))
+    neighbours = [_neighbours(places, k, bit) for k in range(4)]
+    return F.struct(*[v.alias(f"l{k}") for k, v in enumerate(letters)], *[v.alias(f"g{k}") for k, v in enumerate(neighbours)])
 
 
-def common_characters(h1: Column, h2: Column) -> Column:
-    return F.aggregate(F.zip_with(h1, h2, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def _either(values: list[Column]) -> Column:
+    out = values[0]
+    for v in values[1:]:
+        out = out.bitwiseOR(v)
+    return out
 
 
-def ratio_bound(h1: Column, h2: Column, a: Column, b: Column) -> Column:
-    """What the matcher's ratio (times 100) can't exceed."""
+def _neighbours(places: Column, part: int, bit) -> Column:
+    return F.aggregate(places, F.lit(0).cast("long"), lambda s, x: F.when(F.floor(x / 64) == part, s.bitwiseOR(bit(x))).otherwise(s))
+
+
+def _alone(a: Column, b: Column, kind: str) -> Column:
+    """Marks of the kind that ``a`` has and ``b`` hasn't."""
+    names = [f"{kind}{k}" for k in range(LETTER_LONGS if kind == "l" else 4)]
+    out = F.lit(0)
+    for n in names:
+        out = out + F.bit_count(a[n].bitwiseAND(F.bitwise_not(b[n])))
+    return out
+
+
+def ratio_bound(m1: Column, m2: Column, a: Column, b: Column) -> Column:
+    """What the matcher's ratio (times 100) can't exceed: a letter too many has no partner."""
     size = F.length(a) + F.length(b)
-    return F.when(size == 0, 100.0).otherwise(200.0 * common_characters(h1, h2) / size)
+    common = F.least(F.length(a) - _alone(m1, m2, "l"), F.length(b) - _alone(m2, m1, "l"))
+    return F.when(size == 0, 100.0).otherwise(200.0 * common / size)
 
 
-def levenshtein_bound(h1: Column, h2: Column, a: Column, b: Column) -> Column:
-    """What the Levenshtein score can't exceed: characters without a partner cost an edit each."""
+def levenshtein_bound(m1: Column, m2: Column, a: Column, b: Column) -> Column:
+    """What the Levenshtein score can't exceed: an edit settles one letter too many on either side, or two pairs of neighbours."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 100.0).otherwise(100.0 * common_characters(h1, h2) / longest)
+    edits = F.greatest(_alone(m1, m2, "l"), _alone(m2, m1, "l"), F.ceil(_alone(m1, m2, "g") / 2), F.ceil(_alone(m2, m1, "g") / 2))
+    return F.when(longest == 0, 100.0).otherwise(100.0 * (longest - edits) / longest)
 
 
 def matcher_ratio(a: str, b: str) -> float:

@@ -50,14 +50,19 @@ def quartiles(prices: Column) -> tuple[Column, Column]:
     return _median(F.slice(prices, F.lit(1), half), half), _median(F.slice(prices, n - half + 1, half), half)
 
 
+def _row_prices(cells: DataFrame) -> DataFrame:
+    """The priced cells of each row in order of price, one for each supplier."""
+    own = F.array_sort(F.collect_list(F.struct("unit_price", "supplier")))
+    return cells.filter(F.col("unit_price").isNotNull()).groupBy(*ROW).agg(own.alias("c")).withColumn("p", F.col("c.unit_price"))
+
+
 def price_outliers(cells: DataFrame, factor: float = 1.5, least: int = 3) -> DataFrame:
     """Priced cells outside Q1 - factor IQR ... Q3 + factor IQR of a row with ``least`` prices or more."""
-    priced = cells.filter(F.col("unit_price").isNotNull())
-    rows = priced.groupBy(*ROW).agg(F.array_sort(F.collect_list("unit_price")).alias("p")).filter(F.size("p") >= least)
     q1, q3 = quartiles(F.col("p"))
-    limits = rows.select(*ROW, q1.alias("q1"), q3.alias("q3")).withColumns({"low": F.col("q1") - factor * (F.col("q3") - F.col("q1")), "high": F.col("q3") + factor * (F.col("q3") - F.col("q1"))})
-    joined = priced.join(limits, ROW).filter((F.col("unit_price") < F.col("low")) | (F.col("unit_price") > F.col("high")))
-    return joined.select(*ROW, "supplier", "unit_price", "q1", "q3")
+    rows = _row_prices(cells).filter(F.size("p") >= least).select(*ROW, "c", q1.alias("q1"), q3.alias("q3"))
+    low, high = F.col("q1") - factor * (F.col("q3") - F.col("q1")), F.col("q3") + factor * (F.col("q3") - F.col("q1"))
+    outside = F.filter("c", lambda x: (x["unit_price"] < low) | (x["unit_price"] > high))
+    return rows.select(*ROW, "q1", "q3", F.inline(outside)).select(*ROW, "supplier", "unit_price", "q1", "q3")
 
 
 def price_amplitude(cells: DataFrame) -> DataFrame:
@@ -80,10 +85,9 @@ def supplier_concentration(cells: DataFrame) -> DataFrame:
 
 def ratio_outliers(cells: DataFrame, factor: float = 3.0) -> DataFrame:
     """Priced cells of ``factor`` times their row's median or more."""
-    priced = cells.filter(F.col("unit_price").isNotNull())
-    rows = priced.groupBy(*ROW).agg(F.array_sort(F.collect_list("unit_price")).alias("p")).filter(F.size("p") >= 2)
-    medians = rows.select(*ROW, _median(F.col("p"), F.size("p")).alias("median_price"))
-    return priced.join(medians, ROW).filter(F.col("unit_price") >= factor * F.col("median_price")).select(*ROW, "supplier", "unit_price", "median_price")
+    rows = _row_prices(cells).filter(F.size("p") >= 2).select(*ROW, "c", _median(F.col("p"), F.size("p")).alias("median_price"))
+    above = F.filter("c", lambda x: x["unit_price"] >= factor * F.col("median_price"))
+    return rows.select(*ROW, "median_price", F.inline(above)).select(*ROW, "supplier", "unit_price", "median_price")
 
 
 def suppliers(cells: DataFrame) -> DataFrame:
@@ -97,11 +101,44 @@ def display_rows(rows: DataFrame, cells: DataFrame) -> DataFrame:
         F.min(F.when(F.col("unit").isNotNull(), F.struct("supplier", "unit"))).alias("u"),
         F.min(F.when(F.col("quantity").isNotNull(), F.struct("supplier", "quantity"))).alias("q"),
     )
-    joined = rows.join(own, ROW, "left")
+    joined = rows.join(own.hint("merge"), ROW, "left")
     return joined.withColumns({"unit": F.coalesce("unit", "u.unit", F.lit("UN")), "quantity": F.coalesce("quantity", "q.quantity")}).drop("u", "q")
 
 
+def map_rows(assigned: DataFrame) -> DataFrame:
+    """One pass from assigned items to the map: each row's attributes (as ``canonical_rows``) and its ``cells`` (as ``price_cells``).
+
+    Items meet by row and supplier first, so a row with many items is many tasks' work until one row a supplier is left.
+    """
+    known = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v")))).alias(f"first_{c}")
+    text = F.struct(F.length(F.coalesce("description", F.lit(""))).alias("n"), (-F.col("seq")).alias("s"), "description")
+    value = F.struct("unit_price", "quantity", "unit", "file_id", "confidence", "seq")
+    names = ("quantity", "unit", "item_no", "material_code")
+    of_supplier = assigned.groupBy(*ROW, "supplier").agg(
+        F.max_by(value, "seq").alias("cell"), F.min("seq").alias("row_seq"), *[known(c) for c in names],
+        F.max(F.when(F.col("unit_price").isNotNull(), text)).alias("priced_text"), F.max(text).alias("any_text"),
+    )
+    cell = F.when(F.col("supplier").isNotNull(), F.struct("supplier", "cell.*"))
+    whole = of_supplier.groupBy(*ROW).agg(
+        F.min("row_seq").alias("row_seq"), *[F.min(f"first_{c}").alias(f"first_{c}") for c in names],
+        F.max("priced_text").alias("priced_text"), F.max("any_text").alias("any_text"), F.array_sort(F.collect_list(cell)).alias("cells"),
+    )
+    return whole.select(*ROW, "row_seq", *[F.col(f"first_{c}.v").alias(c) for c in names], F.coalesce("priced_text.description", "any_text.description").alias("description"), "cells")
+
+
+def shown_rows(mapped: DataFrame) -> DataFrame:
+    """Mapped rows with the unit and quantity that a reader sees (W12), from the row or the first supplier by name that has them."""
+    first = lambda c: F.get(F.filter(F.col(f"cells.{c}"), lambda x: x.isNotNull()), F.lit(0))
+    return mapped.withColumns({"unit": F.coalesce("unit", first("unit"), F.lit("UN")), "quantity": F.coalesce("quantity", first("quantity"))})
+
+
 def wide_map(cells: DataFrame, names: list[str]) -> DataFrame:
-    """One column of prices per supplier of ``names`` (a process' list is bounded), and which supplier is cheapest."""
-    wide = cells.groupBy(*ROW).pivot("supplier", names).agg(F.first("unit_price"))
-    return wide.join(min_price(cells), ROW)
+    """The map as it is read: per row one price column per supplier of ``names`` (a process' list is bounded), the lowest
+    price and who has it, and which suppliers' cells are of low confidence (S11)."""
+    own = cells.groupBy(*ROW)
+    price = {n: F.max(F.when(F.col("supplier") == n, F.col("unit_price"))).alias(n) for n in names}
+    low = F.array_sort(F.collect_set(F.when(F.col("confidence") != "alta", F.col("supplier"))))
+    best = F.min(F.when(F.col("unit_price").isNotNull(), F.struct("unit_price", "supplier")))
+    wide = own.agg(*price.values(), best.alias("b"), F.count("unit_price").alias("n_quotes"), low.alias("low_confidence"))
+    is_min = F.filter(F.array(*[F.when(F.col(f"`{n}`") == F.col("b.unit_price"), F.lit(n)) for n in names]), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
+    return wide.select(*ROW, *[F.col(f"`{n}`") for n in names], F.col("b.unit_price").alias("min_price"), F.col("b.supplier").alias("min_supplier"), "n_quotes", is_min.alias("is_min"), "low_confidence")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.functions.normalize import derived_unit_price, normalize_code, normalize_unit, quantity_diverges
-from pricemap.functions.similarity import histogram, length_bound, levenshtein_bound, levenshtein_score, ratio_bound, token_sort_ratio, token_sorted
+from pricemap.functions.similarity import length_bound, levenshtein_bound, levenshtein_score, marks, ratio_bound, token_sort_ratio, token_sorted
 from pricemap.functions.text import normalize_desc
 from pricemap.work import written
 
@@ -26,18 +26,19 @@ def scored_pairs(rows: DataFrame, least: float, metric: str = "levenshtein") ->
 
     ``rows``: process_id, row_id, row_seq, text, unit.  Rows meet by process and band of length: texts
     whose lengths differ too much for the score are in bands apart and never meet.  Bounds by length
-    and by characters come before the score itself.  Different known units never meet.
+    and by bits of characters (a few integer operations, within the join) come before the score itself.
+    Different known units never meet.
     """
     step = math.log(100.0 / least)
     # under the matcher's ratio a text may be longer: 2 min / (a + b) >= s allows a factor of 2/s - 1
     step = step if metric == "levenshtein" else math.log(200.0 / least - 1)
-    base = rows.select("process_id", "row_id", "row_seq", "unit", token_sorted(F.col("text")).alias("text")).withColumn("hist", histogram(F.col("text")))
+    base = rows.select("process_id", "row_id", "row_seq", "unit", token_sorted(F.col("text")).alias("text")).withColumn("marks", marks(F.col("text")))
     base = base.withColumn("band", F.floor(F.log(F.length("text") + 1.0) / step).cast("int"))
     # a known unit meets itself and the unknown one, an unknown unit meets all: each pair under one key
     none, any_unit = F.lit("\x01none"), F.lit("\x01any")
     a_units = F.when(F.col("unit").isNotNull(), F.array("unit", none)).otherwise(F.array(any_unit))
     b_units = F.array(F.coalesce("unit", none), any_unit)
-    names = ("row_id", "row_seq", "unit", "text", "hist")
+    names = ("row_id", "row_seq", "unit", "text", "marks")
     a = base.select("process_id", *[F.col(c).alias(f"a_{c}") for c in names], F.explode(a_units).alias("key"), "band")
     a = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     b = base.select("process_id", "band", *[F.col(c).alias(f"b_{c}") for c in names], F.explode(b_units).alias("key"))
@@ -45,7 +46,7 @@ def scored_pairs(rows: DataFrame, least: float, metric: str = "levenshtein") ->
     met = a.join(b.hint("merge"), ["process_id", "key", "band"]).filter(F.col("a_row_seq") > F.col("b_row_seq"))
     if metric == "levenshtein":
         met = met.filter(length_bound(F.col("a_text"), F.col("b_text")) >= least - 1e-6)
-    met = met.filter(bound(F.col("a_hist"), F.col("b_hist"), F.col("a_text"), F.col("b_text")) >= least - 1e-6)
+    met = met.filter(bound(F.col("a_marks"), F.col("b_marks"), F.col("a_text"), F.col("b_text")) >= least - 1e-6)
     score = levenshtein_score(F.col("a_text"), F.col("b_text")) if metric == "levenshtein" else token_sort_ratio(F.col("a_text"), F.col("b_text"))
     return met.withColumn("score", score).filter(F.col("score") >= least).select("process_id", "a_row_id", "a_row_seq", "a_unit", "b_row_id", "b_row_seq", "b_unit", "score")
 

@@ -95,8 +95,7 @@ def price_outliers_iqr(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_COV} SELECT * FROM cov")
 def coverage_items(spark: SparkSession, d: str) -> DataFrame:
-    c = cells(spark, d)
-    return coverage.coverage(c.select("process_id", "row_id").distinct(), c)
+    return coverage.coverage(None, cells(spark, d))
 
 
 @query(f"""WITH {SQL_COV} SELECT count(*) AS n_rows, count(*) FILTER (n_quotes = 0) AS n_none, round(count(*) FILTER (n_quotes = 0) * 100.0 / count(*), 1) AS pct_none,
@@ -106,9 +105,9 @@ def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
     return coverage.coverage_summary(coverage_items(spark, d))
 
 
-@query(f"WITH {SQL_COV} SELECT process_id, CAST(least(n_quotes, 3) AS INT) AS band, count(*) AS n_rows, string_agg(row_id, '|' ORDER BY row_id) AS rows_in_band FROM cov GROUP BY ALL")
+@query(f"WITH {SQL_COV} SELECT process_id, band, part, count(*) AS n_rows, string_agg(row_id, '|' ORDER BY row_id) AS rows_in_band FROM (SELECT process_id, row_id, CAST(least(n_quotes, 3) AS INT) AS band, CAST((row_number() OVER (PARTITION BY process_id, least(n_quotes, 3) ORDER BY row_id) - 1) // 200 AS INT) AS part FROM cov) GROUP BY ALL")
 def coverage_lists(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.coverage_lists(coverage_items(spark, d))
+    return coverage.coverage_lists(coverage_items(spark, d), chunk=200)
 
 
 @query(f"WITH {SQL_CELLS} SELECT * FROM cells")
@@ -142,9 +141,7 @@ def ratio_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SQL_ROWS} SELECT process_id, row_id, coalesce(r.unit, (SELECT arg_min(c.unit, c.supplier) FROM cells c WHERE c.process_id = r.process_id AND c.row_id = r.row_id AND c.unit IS NOT NULL), 'UN') AS unit, r.quantity AS quantity FROM rws r""")
 def display_rows(spark: SparkSession, d: str) -> DataFrame:
-    own = assigned(spark, d)
-    shown = prices.display_rows(resolve.canonical_rows(own).select("process_id", "row_id", "unit", "quantity"), prices.price_cells(own))
-    return shown.select("process_id", "row_id", "unit", "quantity")
+    return prices.shown_rows(prices.map_rows(assigned(spark, d))).select("process_id", "row_id", "unit", "quantity")
 
 
 @query(f"WITH {SQL_ASSIGNED} SELECT process_id, seq, row_id, unit_price, confidence FROM assigned")
@@ -518,16 +515,22 @@ def arithmetic_check(spark: SparkSession, d: str) -> DataFrame:
     return checks.arithmetic_check(items(spark, d))
 
 
-@query(f"WITH {SQL_CELLS} SELECT process_id, supplier, count(*) AS n_cells FROM cells GROUP BY ALL HAVING count(unit_price) = 0")
+SQL_SILENT = f"""{SQL_CELLS}, seen AS (SELECT process_id, supplier, CASE WHEN supplier NOT LIKE '%7' THEN unit_price END AS unit_price FROM cells),
+sup AS (SELECT DISTINCT process_id, supplier FROM cells UNION ALL SELECT CONCAT('P', CAST(s_suppkey % 20 AS STRING)) AS process_id, CONCAT(s_name, ' sem itens') AS supplier FROM {{supplier}} WHERE s_suppkey % 7 = 0)"""
+
+
+@query(f"WITH {SQL_SILENT} SELECT process_id, supplier, count(c.supplier) AS n_cells FROM sup LEFT JOIN seen c USING (process_id, supplier) GROUP BY ALL HAVING count(unit_price) = 0")
 def empty_columns(spark: SparkSession, d: str) -> DataFrame:
-    return checks.empty_columns(cells(spark, d))
+    own = cells(spark, d)
+    silent = table(spark, d, "supplier").filter("s_suppkey % 7 = 0").select(F.concat(F.lit("P"), (F.col("s_suppkey") % 20).cast("string")).alias("process_id"), F.concat("s_name", F.lit(" sem itens")).alias("supplier"))
+    known = own.select("process_id", "supplier").distinct().unionByName(silent)
+    return checks.empty_columns(own.withColumn("unit_price", F.when(~F.col("supplier").endswith("7"), F.col("unit_price"))), known)
 
 
 @query(f"""WITH {SQL_ROWS} SELECT r.process_id, count(*) AS n_blank FROM rws r WHERE r.row_seq % 5 = 0 AND EXISTS (SELECT 1 FROM cells c WHERE c.process_id = r.process_id AND c.row_id = r.row_id AND c.unit_price IS NOT NULL) GROUP BY ALL""")
 def blank_priced_rows(spark: SparkSession, d: str) -> DataFrame:
-    own = assigned(spark, d)
-    blanked = resolve.canonical_rows(own).withColumn("description", F.when(F.col("row_seq") % 5 == 0, " ").otherwise(F.col("description")))
-    return checks.blank_priced_rows(blanked, prices.price_cells(own))
+    own = prices.map_rows(assigned(spark, d))
+    return checks.blank_priced_rows(own.withColumn("description", F.when(F.col("row_seq") % 5 == 0, " ").otherwise(F.col("description"))))
 
 
 SQL_DOCS = f"docs AS ({DOCUMENTS})"

@@ -139,7 +139,7 @@ def test_bounds_hold(spark):
     words = ["parafuso inox", "porca inox m8", "arruela lisa", "PARAFUSO sextavado inox", "", "cabo 10mm"]
     df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
     a, b = similarity.token_sorted(F.col("a")), similarity.token_sorted(F.col("b"))
-    h1, h2 = similarity.histogram(a), similarity.histogram(b)
+    h1, h2 = similarity.marks(a), similarity.marks(b)
     out = df.select(a.alias("x"), b.alias("y"), similarity.levenshtein_score(a, b).alias("lev"), similarity.levenshtein_bound(h1, h2, a, b).alias("lb"), similarity.length_bound(a, b).alias("len"), similarity.token_sort_ratio(F.col("a"), F.col("b")).alias("r"), similarity.ratio_bound(h1, h2, a, b).alias("rb"), similarity.token_set_ratio(F.col("a"), F.col("b")).alias("s"))
     for r in out.collect():
         want = SequenceMatcher(None, r.x, r.y).ratio() * 100 if r.x or r.y else 100.0
