@@ -89,46 +89,36 @@ def _ball(value: Column, bits: int, radius: int) -> Column:
     return F.concat(F.array(value), flipped) if radius else F.array(value)
 
 
-def _tables(rows: DataFrame, windows: list[tuple[int, int]], keep: list[str], entry: str = "true", probe: str = "true") -> DataFrame:
-    """What each of ``windows`` (low, bits) files and looks up: (``keep``, fp, part, value, entry)."""
+def _tables(rows: DataFrame, windows: list[tuple[int, int]], keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """What the fingerprints file (dst) and look up (src) under ``keep``, part and value of each of ``windows`` (low, bits)."""
     radius = DISTANCE // len(windows)
-    filed = F.array(*[F.struct(F.lit(k).alias("part"), _part(*w).alias("value")) for k, w in enumerate(windows)])
     place = lambda k: lambda v: F.struct(F.lit(k).alias("part"), v.alias("value"))
+    filed = F.array(*[place(k)(_part(*w)) for k, w in enumerate(windows)])
     asked = F.concat(*[F.transform(_ball(_part(*w), w[1], radius), place(k)) for k, w in enumerate(windows)])
-    entries = rows.filter(entry).select(*keep, "fp", F.inline(filed)).withColumn("entry", F.lit(True))
-    return entries.unionByName(rows.filter(probe).select(*keep, "fp", F.inline(asked)).withColumn("entry", F.lit(False)))
+    return rows.select(*keep, F.col("fp").alias("dst"), F.inline(filed)), rows.select(*keep, F.col("fp").alias("src"), F.inline(asked))
 
 
-def _fetched(tables: DataFrame, key: list[str]) -> DataFrame:
-    """(part, src, dst): what each look-up finds under its key, every pair from its larger side."""
-    filed = tables.filter("entry").select(*key, F.col("fp").alias("dst"))
-    asked = tables.filter("not entry").select(*key, F.col("fp").alias("src"))
-    return asked.join(filed.hint("merge"), key).filter("src > dst").select(key[0], "src", "dst")
+def near_links(prints: DataFrame, segments: int = 2, verify: bool = True) -> DataFrame:
+    """(part, src, dst) of all different fingerprints ``fp`` at distance 2 or less, by the segments' tables in which they meet.
 
-
-def near_candidates(prints: DataFrame, segments: int = 2) -> DataFrame:
-    """(part, src, dst) of the different fingerprints ``fp`` that meet in a segment's table (part numbers it), in full."""
+    Without ``verify``, all that is fetched.  The tables' rows are hashed, those that look up stream by.
+    """
     size, half = 64 // segments, 64 // segments // 2
-    key = ["part", "value"]
-    of_value = Window.partitionBy(*key)
-    tables = _tables(prints.select("fp"), [(k * size, size) for k in range(segments)], [])
-    tables = tables.withColumns({"filed": F.count_if("entry").over(of_value), "met": F.count("*").over(of_value)})
-    # a fingerprint that meets only itself has a row that files it and one that looks it up
-    live = saved(tables.filter("filed > 0 and met > 2"), "segment-tables")
-    found = _fetched(live.filter(F.col("met") <= BUCKET), key)
-    many = live.filter(F.col("met") > BUCKET)
+    key, within = ["part", "value"], ["of_part", "of_value", "part", "value"]
+    near = (F.col("src") > F.col("dst")) & ((F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= DISTANCE) | F.lit(not verify))
+    filed, asked = _tables(prints.select("fp"), [(k * size, size) for k in range(segments)], [])
+    many = saved(filed.groupBy(*key).count().filter(F.col("count") > BUCKET).select(*key), "many-of-a-value")
+    # a value that many have is one row without a fingerprint: who meets it looks on in the tables within it
+    few = filed.join(many.hint("merge"), key, "left_anti").unionByName(many.withColumn("dst", F.lit(None).cast("long")))
+    met = saved(asked.join(few.hint("shuffle_hash"), key).filter(near | F.col("dst").isNull()), "met-in-segments")
+    found = met.filter("dst is not null").select("part", "src", "dst")
     for k in range(segments):
         others = [(j * size + low, half) for j in range(segments) if j != k for low in (0, half)]
-        own = many.filter(F.col("part") == k).select(F.col("part").alias("of_part"), F.col("value").alias("of_value"), "fp", "entry")
-        within = _fetched(_tables(own, others, ["of_part", "of_value"], "entry", "not entry"), ["of_part", "of_value", "part", "value"])
-        found = found.unionByName(within.withColumnRenamed("of_part", "part"))
-    return found
-
-
-def near_links(prints: DataFrame, segments: int = 2) -> DataFrame:
-    """Links (src, dst) between all different fingerprints ``fp`` at distance 2 or less."""
-    near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= DISTANCE
-    return near_candidates(prints, segments).filter(near).select("src", "dst").distinct()
+        rows = lambda df, name, k=k: df.filter(F.col("part") == k).select(F.col("part").alias("of_part"), F.col("value").alias("of_value"), F.col(name).alias("fp"))
+        entries, _ = _tables(rows(filed.join(many.hint("merge"), key, "left_semi"), "dst"), others, within[:2])
+        _, lookups = _tables(rows(met.filter("dst is null"), "src"), others, within[:2])
+        found = found.unionByName(lookups.join(entries.hint("shuffle_hash"), within).filter(near).select(F.col("of_part").alias("part"), "src", "dst"))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, segments: int = 2) -> DataFrame:
@@ -140,7 +130,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, segments: int = 2) -> DataFrame
     """
     rows = saved(fingerprints(docs, n), "fingerprints")
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints-distinct")
-    links = saved(near_links(distinct, segments), "fingerprint-links")
+    links = saved(near_links(distinct, segments).select("src", "dst").distinct(), "fingerprint-links")
     linked = connected_components(links).withColumnRenamed("node", "fp")
     member = linked.join(distinct.hint("merge"), "fp")
     # the one row of a component is joined to its members by salt, so a large one is many tasks' work
