@@ -10,18 +10,18 @@ in a large group of near copies, is looked up in tables of the other segments' h
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.llm.components import connected_components
-from pricemap.llm.store import saved
+from pricemap.llm.similar import likely, similar_links, words_of
+from pricemap.llm.store import drop, saved
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 #: Bits in which linked fingerprints differ at most.
 DISTANCE = 2
@@ -29,11 +29,6 @@ DISTANCE = 2
 CHUNK = 1 << 16
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased; None has none."""
-    return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
-
-
 def shingles_of(words: list[bytes], n: int) -> list[bytes]:
     """Every run of ``n`` words, repeats included; the whole sequence if it is shorter, none if it is empty."""
     if not words:
@@ -74,6 +69,8 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
 
 #: Parts that the members of one component are joined in.
 SALTS = 32
+#: Fingerprints whose rows one task makes.
+TASK_PRINTS = 20_000
 #: Rows that meet at one value of a segment; beyond, the value has tables of its own.
 BUCKET = 256
 
@@ -106,7 +103,9 @@ def near_links(prints: DataFrame, segments: int = 2, verify: bool = True) -> Dat
     size, half = 64 // segments, 64 // segments // 2
     key, within = ["part", "value"], ["of_part", "of_value", "part", "value"]
     near = (F.col("src") > F.col("dst")) & ((F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= DISTANCE) | F.lit(not verify))
-    filed, asked = _tables(prints.select("fp"), [(k * size, size) for k in range(segments)], [])
+    # a fingerprint becomes some 70 rows: few of them to a task
+    prints = prints.select("fp").repartition(max(1, -(-prints.count() // TASK_PRINTS)), "fp")
+    filed, asked = _tables(prints, [(k * size, size) for k in range(segments)], [])
     many = saved(filed.groupBy(*key).count().filter(F.col("count") > BUCKET).select(*key), "many-of-a-value")
     # a value that many have is one row without a fingerprint: who meets it looks on in the tables within it
     few = filed.join(many.hint("merge"), key, "left_anti").unionByName(many.withColumn("dst", F.lit(None).cast("long")))
@@ -146,224 +145,37 @@ def near_duplicates(docs: DataFrame, n: int = 3, segments: int = 2) -> DataFrame
 
 # -- near-duplicates by similarity: one document of each group stays ---------------------------------
 
-#: Documents of one side of a comparison of a group's blocks.
-BLOCK = 512
-#: A shingle that so many prefixes hold at most has its pairs listed; those that more hold make groups, compared in blocks.
-PAIRED = 16
-#: Bits of a shingle's hash that number its counter; counters only order shingles, so sharing one loses nothing.
-COUNTER_BITS = 18
-
-
-def _shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    own = set(shingles_of(words_of(text), n))
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), dtype=np.uint64, count=len(own))).view(np.int64)
-
-
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row per different word sequence (the smallest doc_id's), with ``__node``.
+    """One row per different word sequence (the smallest doc_id's): ``__node`` and ``__row``, the row as it was.
 
     Copies meet in a partial aggregation before they are shuffled.
     """
-    names = docs.columns
 
     def digests(batches):
         for batch in batches:
-            own = [np.frombuffer(hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest(), "<i8").tolist() for t in batch.column("text").to_pylist()]
+            texts = pc.struct_field(batch.column("row"), "text").cast(pa.string()).to_pylist()
+            own = [np.frombuffer(hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest(), "<i8").tolist() for t in texts]
             node, twin = zip(*own) if own else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64()), pa.array(twin, pa.int64())], [*names, "__node", "__twin"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __node long, __twin long"
-    marked = docs.mapInArrow(digests, schema)
-    picked = marked.groupBy("__node", "__twin").agg(F.min_by(F.struct(*names), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("row"))
-    return picked.select("row.*", "__node")
-
-
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
-
-
-def shingle_counts(unique: DataFrame, n: int) -> np.ndarray:
-    """Documents by counter of their distinct shingles, over all documents: each task adds up its own in a table of fixed size."""
-    size = 1 << COUNTER_BITS
-    parts = 64
-
-    def count(batches):
-        sums = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            held, waiting = [], 0
-            for t in batch.column("text").to_pylist():
-                held.append(_counter(_shingle_hashes(t, n)))
-                waiting += len(held[-1])
-                if waiting > 1 << 20:
-                    sums += np.bincount(np.concatenate(held), minlength=size)
-                    held, waiting = [], 0
-            if waiting:
-                sums += np.bincount(np.concatenate(held), minlength=size)
-        if sums.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in sums.reshape(parts, -1)], pa.binary())], ["part", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    found = unique.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    own = {r["part"]: np.frombuffer(r["counts"], np.int64) for r in found}
-    return np.concatenate([own.get(k, np.zeros(size // parts, dtype=np.int64)) for k in range(parts)])
-
-
-def prefix_points(unique: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(point, __node, size, at): each document's rarest shingles, as many as make it sure that similar documents share one.
-
-    Shingles have one order everywhere (by count, then hash).  Two sets of similarity s have at least s
-    times either's size in common, so the first common one is among the size - ceil(s * size) + 1 first
-    of both; ``at`` is its place and ``size`` the set's.
-    """
-    counts = unique.sparkSession.sparkContext.broadcast(shingle_counts(unique, n))
-
-    def points(batches):
-        for batch in batches:
-            # wide steps of few documents, so that a batch of long texts stays small
-            nodes, texts = batch.column("__node").to_numpy(), batch.column("text").to_pylist()
-            for k in range(0, len(texts), 500):
-                point, node, size, at = [], [], [], []
-                for own_node, t in zip(nodes[k : k + 500].tolist(), texts[k : k + 500]):
-                    own = _shingle_hashes(t, n)
-                    if not len(own):
-                        continue
-                    first = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1
-                    point.append(own[np.lexsort((own, counts.value[_counter(own)]))[:first]])
-                    node.append(np.full(len(point[-1]), own_node))
-                    size.append(np.full(len(point[-1]), len(own)))
-                    at.append(np.arange(len(point[-1])))
-                if point:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (point, node, size, at)], ["point", "__node", "size", "at"])
-
-    return unique.select("__node", "text").mapInArrow(points, "point long, __node long, size long, at long")
-
-
-def candidates(unique: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (src, dst), and links (src, dst) of groups to be compared whole: every similar pair is in one of the two.
-
-    A pair is only listed where the sizes, and the shingles left after the common one, allow the similarity.
-    """
-    together = Window.partitionBy("point")
-    table = prefix_points(unique, n, similarity).withColumns({"members": F.count("*").over(together), "head": F.min("__node").over(together)})
-    shared = saved(table.filter("members > 1"), "points")
-    a = shared.filter(F.col("members") <= PAIRED)
-    b = a.select("point", F.col("__node").alias("dst"), F.col("size").alias("dst_size"), F.col("at").alias("dst_at"))
-    left = 1 + F.least(F.col("size") - F.col("at") - 1, F.col("dst_size") - F.col("dst_at") - 1)
-    enough = left * (1 + similarity) >= similarity * (F.col("size") + F.col("dst_size")) - 1e-3
-    fits = F.least("size", "dst_size") >= similarity * F.greatest("size", "dst_size") - 1e-3
-    pairs = a.join(b.hint("merge"), "point").filter((F.col("__node") < F.col("dst")) & enough & fits).select(F.col("__node").alias("src"), "dst").distinct()
-    heads = shared.filter((F.col("members") > PAIRED) & (F.col("__node") != F.col("head"))).select(F.col("__node").alias("src"), F.col("head").alias("dst")).distinct()
-    return saved(pairs, "candidate-pairs"), heads
-
-
-def _groups_of(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the sets that are alike: the sets that share nothing with others cost no comparison."""
-    n = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
-    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[number] > 1
-    order = np.cumsum(count > 1) - 1
-    number, owner = order[number[shared]], owner[shared]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    size, step = int((count > 1).sum()), 8192
-    by = np.argsort(number, kind="stable")
-    number, owner = number[by], owner[by]
-    for at in range(0, size, step):
-        a, b = np.searchsorted(number, [at, at + step])
-        part = np.zeros((len(sets), min(step, size - at)), dtype=np.float32)
-        part[owner[a:b], number[a:b] - at] = 1
-        common += part @ part.T
-    # compared as counts: 5 common >= 4 (a + b - common) is exact where a division isn't
-    alike = common * (1 + similarity) >= similarity * (n[:, None] + n[None]) - 1e-3
-    links, left = [], np.ones(len(sets), dtype=bool)
-    for k in range(len(sets)):
-        if not left[k]:
-            continue
-        left[k], edge = False, [k]
-        while edge:
-            x = edge.pop()
-            new = np.flatnonzero(alike[x] & left)
-            left[new] = False
-            links += [(x, int(y)) for y in new]
-            edge += new.tolist()
-    return links
-
-
-def _rows_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of (__node, text) whose node is in ``nodes``.  A bitmap of fixed size keeps most others out of the shuffle."""
-    low = F.col("__node").bitwiseAND(F.lit((1 << 23) - 1))
-    parts = nodes.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")).collect()
-    bits = np.zeros((256, 32768), dtype=bool)
-    for r in parts:
-        bits[r["part"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    def likely(batches):
-        known = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(known[batch.column("__node").to_numpy() & ((1 << 23) - 1)]))
-
-    return texts.mapInArrow(likely, texts.schema).join(nodes.hint("merge"), "__node", "left_semi")
-
-
-def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Links (src, dst) that connect the nodes whose ``n``-word shingle sets have that Jaccard similarity or more.
-
-    Candidate pairs are verified one by one.  Nodes that meet at a shingle of many prefixes are groups; a
-    group's members are dealt into blocks, and each pair of blocks is compared in one task by a matrix
-    product, which returns no pairs but a spanning forest.
-    """
-    pairs, heads = candidates(unique, n, similarity)
-    groups = saved(connected_components(heads), "candidate-groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    # the block pairs of a member: its own block with every other, the smaller number first; small groups share a task
-    buckets = max(1, groups.count() // BLOCK)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = groups.join(sizes.hint("merge"), "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.xxhash64("root"))
-    dealt = dealt.select("root", F.col("node").alias("__node"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), task.alias("task"))
-    nodes = groups.select(F.col("node").alias("__node")).unionByName(pairs.select(F.col("src").alias("__node"))).unionByName(pairs.select(F.col("dst").alias("__node"))).distinct()
-    known = saved(_rows_of(unique.select("__node", "text"), saved(nodes, "candidate-nodes")), "candidate-texts")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("root")
-        nodes, root = table.column("__node").to_numpy(), table.column("root").to_numpy()
-        texts, links = table.column("text").to_pylist(), []
-        edges = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            links += [(a + x, a + y) for x, y in _groups_of([_shingle_hashes(t, n) for t in texts[a:b]], similarity)]
-        x, y = zip(*links) if links else ((), ())
-        return pa.table({"src": pa.array(nodes[list(x)], pa.int64()), "dst": pa.array(nodes[list(y)], pa.int64())})
-
-    joined = dealt.join(known.hint("merge"), "__node")
-    in_groups = joined.groupBy("task", "i", "j").applyInArrow(compare, "src long, dst long")
-
-    def verify(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = _shingle_hashes(x, n), _shingle_hashes(y, n)
-                keep.append(len(np.intersect1d(x, y, assume_unique=True)) * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-3)
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(node, pa.int64()), pa.array(twin, pa.int64())], ["row", "node", "twin"])
 
-    # texts are shuffled, not their shingles: those take twice the room and can't be compressed
-    text_of = lambda key, name: known.select(F.col("__node").alias(key), F.col("text").alias(name)).hint("merge")
-    met = pairs.join(text_of("src", "a"), "src").join(text_of("dst", "b"), "dst").select("src", "dst", "a", "b")
-    return saved(met.mapInArrow(verify, "src long, dst long").unionByName(in_groups), "similar-links")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = whole.withColumns({"node": F.lit(0).cast("long"), "twin": F.lit(0).cast("long")}).schema
+    marked = whole.mapInArrow(digests, schema)
+    first = F.min_by("row", F.struct(F.col("row.doc_id").isNull(), "row.doc_id"))
+    return marked.groupBy("node", "twin").agg(first.alias("__row")).select(F.col("node").alias("__node"), "__row")
 
 
 def one_of_each_group(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies (the smallest doc_id), all columns as they were.
 
-    Texts without words are copies of each other; rows with a null doc_id go before those with one.
+    Texts without words are copies of each other; a row with a null doc_id stays only where no copy has
+    one; an empty table gives none; columns of any name are kept.
     """
-    unique = saved(distinct_documents(docs), "distinct-documents")
+    whole = saved(distinct_documents(docs), "distinct-documents")
+    unique = whole.select("__node", F.col("__row.doc_id").cast("long").alias("__id"), F.col("__row.text").cast("string").alias("__text"))
     groups = saved(connected_components(similar_links(unique, n, similarity)), "similar-groups")
-    ids = unique.select(F.col("__node").alias("node"), F.col("doc_id"))
-    own = groups.join(ids.hint("merge"), "node")
-    stays = own.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stays"))
-    leave = groups.join(stays.hint("merge"), "root").filter("node <> stays").select(F.col("node").alias("__node"))
-    return unique.join(leave.hint("merge"), "__node", "left_anti").select(*docs.columns)
+    ids = likely(unique.select("__node", "__id"), groups.select(F.col("node").alias("__node")), groups.count())
+    own = groups.join(ids.withColumnRenamed("__node", "node").hint("merge"), "node")
+    stays = own.groupBy("root").agg(F.min_by("node", F.struct(F.col("__id").isNull(), "__id", "node")).alias("stays"))
+    leave = saved(groups.join(stays.hint("merge"), "root").filter("node <> stays").select(F.col("node").alias("__node")), "leaving")
+    return whole.join(leave.hint("merge"), "__node", "left_anti").select("__row.*")
