@@ -29,6 +29,11 @@ PHONE = r"(?:\+?55\s*)?(?:\(?\d{2}\)?\s*)?\d{4,5}[\s.-]?\d{4}"
 WEIGHTS = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
 
 
+def bound(col: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(col), f), F.lit(0))
+
+
 def digits(col: Column) -> Column:
     return F.regexp_replace(col, r"\D", "")
 
@@ -41,9 +46,12 @@ def _check_digit(d: Column, weights: list[int]) -> Column:
 
 def tax_id_valid(col: Column) -> Column:
     """Whether the 14 digits of a tax id carry the right check digits; false for other lengths and one repeated digit."""
-    d = digits(F.coalesce(col, F.lit("")))
-    right = (F.substring(d, 13, 1).cast("int") == _check_digit(d, WEIGHTS)) & (F.substring(d, 14, 1).cast("int") == _check_digit(d, [6, *WEIGHTS]))
-    return F.when(d.rlike(r"^\d{14}$") & ~d.rlike(r"^(\d)\1{13}$"), right).otherwise(False)
+
+    def right(d: Column) -> Column:
+        checks = (F.substring(d, 13, 1).cast("int") == _check_digit(d, WEIGHTS)) & (F.substring(d, 14, 1).cast("int") == _check_digit(d, [6, *WEIGHTS]))
+        return F.when(d.rlike(r"^\d{14}$") & ~d.rlike(r"^(\d)\1{13}$"), checks).otherwise(False)
+
+    return bound(digits(F.coalesce(col, F.lit(""))), right)
 
 
 def format_tax_id(d: Column) -> Column:
@@ -54,20 +62,17 @@ def format_tax_id(d: Column) -> Column:
 
 def first_tax_id(text: Column) -> Column:
     """The first tax id in a text, formatted; its check digits are not looked at."""
-    d = digits(F.regexp_extract(text, f"({TAX_ID})", 1))
-    return F.when(F.length(d) == 14, format_tax_id(d))
+    return bound(digits(F.regexp_extract(text, f"({TAX_ID})", 1)), lambda d: F.when(F.length(d) == 14, format_tax_id(d)))
 
 
 def strong_tax_id(text: Column) -> Column:
     """A labelled valid tax id, else the first written one if valid, else any 14 digits of the text that validate."""
     labelled = digits(F.regexp_extract(text, r"(?i)\bcnpj\b[^\d]{0,12}([\d./-]{10,30})", 1))
-    labelled = F.when(F.length(labelled) >= 14, F.substring(labelled, -14, 14))
+    labelled = bound(labelled, lambda d: F.when(F.length(d) >= 14, F.substring(d, -14, 14)))
     written = digits(F.regexp_extract(text, f"({TAX_ID_STRICT})", 1))
-    every = digits(text)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(every) - 13, F.lit(1))), lambda i: F.substr(every, i, F.lit(14)))
-    found = F.get(F.filter(windows, tax_id_valid), F.lit(0))
-    best = F.coalesce(F.when(tax_id_valid(labelled), labelled), F.when(tax_id_valid(written), written), found)
-    return F.when(best.isNotNull(), format_tax_id(best))
+    windows = bound(digits(text), lambda every: F.transform(F.sequence(F.lit(1), F.greatest(F.length(every) - 13, F.lit(1))), lambda i: F.substr(every, i, F.lit(14))))
+    best = F.get(F.filter(F.concat(F.array(labelled, written), windows), tax_id_valid), F.lit(0))
+    return bound(best, lambda d: F.when(d.isNotNull(), format_tax_id(d)))
 
 
 def _local(d: Column) -> Column:
@@ -82,8 +87,8 @@ def format_phone(d: Column) -> Column:
 
 def phone_valid(col: Column) -> Column:
     """10 or 11 digits, without the country's, that start with an area code in use."""
-    d = _local(digits(F.coalesce(col, F.lit(""))))
-    return F.length(d).isin(10, 11) & F.substring(d, 1, 2).isin(AREA_CODES)
+    right = lambda d: F.length(d).isin(10, 11) & F.substring(d, 1, 2).isin(AREA_CODES)
+    return bound(bound(digits(F.coalesce(col, F.lit(""))), _local), right)
 
 
 def first_phone(text: Column) -> Column:
@@ -95,7 +100,7 @@ def first_phone(text: Column) -> Column:
 
 def strong_phone(text: Column) -> Column:
     """A labelled phone with an area code in use, else the best window of a run of digits (near a phone word first), else the first phone."""
-    labelled = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:telefone|fone|tel|contato)[^\d]{0,12}([\d()\s+\-.]{6,30}\d)"), F.lit(1)), lambda m: _local(digits(m)))
+    labelled = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:telefone|fone|tel|contato)[^\d]{0,12}([\d()\s+\-.]{6,30}\d)"), F.lit(1)), lambda m: bound(digits(m), _local))
     first = F.get(F.filter(labelled, phone_valid), F.lit(0))
     runs = F.regexp_extract_all(text, F.lit(r"(\d{6,})"), F.lit(1))
 
@@ -111,8 +116,9 @@ def strong_phone(text: Column) -> Column:
         return around.rlike("telefone|fone|contato|cel|whatsapp|tel")
 
     # windows next to a phone word come first; within a class the first found
-    best = F.coalesce(F.get(F.filter(every, near), F.lit(0)), F.get(every, F.lit(0)))
-    return F.coalesce(F.when(first.isNotNull(), format_phone(first)), F.when(best.isNotNull(), format_phone(_local(best))), first_phone(text))
+    best = bound(every, lambda own: F.coalesce(F.get(F.filter(own, near), F.lit(0)), F.get(own, F.lit(0))))
+    shown = lambda d: F.when(d.isNotNull(), format_phone(d))
+    return F.coalesce(bound(first, shown), bound(bound(best, _local), shown), first_phone(text))
 
 
 def legal_name(text: Column) -> Column:

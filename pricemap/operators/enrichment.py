@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricemap.functions.contacts import PHONE, TAX_ID_STRICT, format_tax_id, digits, name_tokens, normalize_name, phone_valid, strong_phone, strong_tax_id, tax_id_valid
 from pricemap.functions.normalize import unit_and_quantity
+from pricemap.work import written
 
 
 def filled(col: Column) -> Column:
@@ -74,9 +75,10 @@ def name_match(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
 def backfill_contacts_from_mail(suppliers: DataFrame, messages: DataFrame) -> DataFrame:
     """Suppliers (email, tax_id, phone) with missing data from their newest message that has any."""
     lacking = suppliers.filter(filled(F.col("tax_id")).isNull() | filled(F.col("phone")).isNull())
-    own = messages.select(F.lower("from_email").alias("__email"), "ingest_seq", strong_tax_id(F.col("body")).alias("t"), strong_phone(F.col("body")).alias("p")).filter("t is not null or p is not null")
-    met = own.join(lacking.select(F.lower("email").alias("__email")).distinct(), "__email", "left_semi")
-    newest = met.groupBy("__email").agg(F.max_by(F.struct("t", "p"), "ingest_seq").alias("c"))
+    wanted = messages.select(F.lower("from_email").alias("__email"), "ingest_seq", "body").join(lacking.select(F.lower("email").alias("__email")).distinct().hint("merge"), "__email", "left_semi")
+    # written, or the filter would be planned on the patterns again
+    own = written(wanted.select("__email", "ingest_seq", strong_tax_id(F.col("body")).alias("t"), strong_phone(F.col("body")).alias("p")), "contacts-found")
+    newest = own.filter("t is not null or p is not null").groupBy("__email").agg(F.max_by(F.struct("t", "p"), "ingest_seq").alias("c"))
     joined = suppliers.join(newest, F.lower("email") == F.col("__email"), "left")
     return joined.withColumns({"tax_id": F.coalesce(filled(F.col("tax_id")), "c.t"), "phone": F.coalesce(filled(F.col("phone")), "c.p")}).drop("__email", "c")
 

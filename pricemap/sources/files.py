@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import tarfile
 import zipfile
@@ -63,17 +64,24 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_quote_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Cells (file_id, grid_id, row, col, text) of delimited files; the delimiter is the one its first line has most of."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), "value")
-    first = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    found = [(d, F.length(first) - F.length(F.replace(first, F.lit(d), F.lit("")))) for d in (",", ";", "\t", "|")]
-    best = F.greatest(*[n for _, n in found])
-    sep = F
-    for d, n in found:
-        sep = sep.when(n == best, d)
-    rows = lines.withColumn("sep", sep).select("file_id", "sep", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("row", "line")).filter("trim(line) <> ''")
-    cells = F.split("line", F.concat(F.lit("\\Q"), "sep", F.lit("\\E")))
-    return rows.select("file_id", F.lit("csv").alias("grid_id"), "row", F.posexplode(cells).alias("col", "raw")).select("file_id", "grid_id", "row", "col", F.trim(F.regexp_replace("raw", r'^\s*"|"\s*$', "")).alias("text"))
+    """Cells (file_id, grid_id, row, col, text) of delimited files; the delimiter is the one its first line has most of.
+
+    Cells in quotes may hold the delimiter and line breaks.  A quotation file is one document and is parsed whole.
+    """
+
+    def parse(batches):
+        csv.field_size_limit(1 << 30)
+        for pdf in batches:
+            rows = []
+            for file_id, value in zip(pdf["file_id"], pdf["value"]):
+                first = value.splitlines()[0] if value else ""
+                sep = max(",;\t|", key=lambda d: (first.count(d), -",;\t|".index(d)))
+                for row, cells in enumerate(csv.reader(io.StringIO(value, newline=""), delimiter=sep)):
+                    rows += [(file_id, "csv", row, col, text.strip()) for col, text in enumerate(cells) if any(x.strip() for x in cells)]
+            yield pd.DataFrame(rows, columns=["file_id", "grid_id", "row", "col", "text"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), "value")
+    return whole.mapInPandas(parse, "file_id string, grid_id string, row int, col int, text string")
 
 
 # Header names of a master list, per field.

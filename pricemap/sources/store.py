@@ -66,8 +66,8 @@ def incremental(files: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def delete_process(tables: dict[str, DataFrame], process_id: str) -> dict[str, DataFrame]:
-    """Every table without one process."""
-    return {name: df.filter(F.col("process_id") != process_id) for name, df in tables.items()}
+    """Every table without one process; rows of no process stay."""
+    return {name: df.filter(~F.col("process_id").eqNullSafe(process_id)) for name, df in tables.items()}
 
 
 def purge_versions(df: DataFrame, version: str = EXTRACTION_VERSION) -> DataFrame:
