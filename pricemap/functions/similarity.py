@@ -30,12 +30,6 @@ def levenshtein_score(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 100.0).otherwise(F.round(100.0 * (longest - F.levenshtein(a, b)) / longest, 4))
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """What the score can't exceed, by length alone."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 100.0).otherwise(100.0 * F.least(F.length(a), F.length(b)) / longest)
-
-
 def marks(col: Column) -> Column:
     """Bits of a text by which pairs are ruled out: up to four of each letter, two of each digit, and its pairs of neighbours hashed to 256."""
     most = [(c, 2 if c.isdigit() else 4) for c in _SYMBOLS]
@@ -74,18 +68,20 @@ def _alone(a: Column, b: Column, kind: str) -> Column:
     return out
 
 
-def ratio_bound(m1: Column, m2: Column, a: Column, b: Column) -> Column:
-    """What the matcher's ratio (times 100) can't exceed: a letter too many has no partner."""
-    size = F.length(a) + F.length(b)
-    common = F.least(F.length(a) - _alone(m1, m2, "l"), F.length(b) - _alone(m2, m1, "l"))
-    return F.when(size == 0, 100.0).otherwise(200.0 * common / size)
+def ratio_possible(m1: Column, m2: Column, n1: Column, n2: Column, least: float) -> Column:
+    """Whether the matcher's ratio (times 100) of texts of ``n1`` and ``n2`` characters can be ``least`` or more: a letter too many has no partner."""
+    size = (n1 + n2) * F.lit(least / 200.0) - 1e-6
+    return (n1 - _alone(m1, m2, "l") >= size) & (n2 - _alone(m2, m1, "l") >= size)
 
 
-def levenshtein_bound(m1: Column, m2: Column, a: Column, b: Column) -> Column:
-    """What the Levenshtein score can't exceed: an edit settles one letter too many on either side, or two pairs of neighbours."""
-    longest = F.greatest(F.length(a), F.length(b))
-    edits = F.greatest(_alone(m1, m2, "l"), _alone(m2, m1, "l"), F.ceil(_alone(m1, m2, "g") / 2), F.ceil(_alone(m2, m1, "g") / 2))
-    return F.when(longest == 0, 100.0).otherwise(100.0 * (longest - edits) / longest)
+def levenshtein_possible(m1: Column, m2: Column, n1: Column, n2: Column, least: float) -> Column:
+    """Whether the Levenshtein score of texts of ``n1`` and ``n2`` characters can be ``least`` or more.
+
+    An edit settles one letter too many on either side, or two pairs of neighbours.
+    """
+    edits = F.greatest(n1, n2) * F.lit(1 - least / 100.0) + 1e-6
+    near = F.abs(n1 - n2) <= edits
+    return near & (_alone(m1, m2, "l") <= edits) & (_alone(m2, m1, "l") <= edits) & (_alone(m1, m2, "g") <= 2 * edits) & (_alone(m2, m1, "g") <= 2 * edits)
 
 
 def matcher_ratio(a: str, b: str) -> float:

@@ -139,6 +139,6 @@ def wide_map(cells: DataFrame, names: list[str]) -> DataFrame:
     price = {n: F.max(F.when(F.col("supplier") == n, F.col("unit_price"))).alias(n) for n in names}
     low = F.array_sort(F.collect_set(F.when(F.col("confidence") != "alta", F.col("supplier"))))
     best = F.min(F.when(F.col("unit_price").isNotNull(), F.struct("unit_price", "supplier")))
-    wide = own.agg(*price.values(), best.alias("b"), F.count("unit_price").alias("n_quotes"), low.alias("low_confidence"))
-    is_min = F.filter(F.array(*[F.when(F.col(f"`{n}`") == F.col("b.unit_price"), F.lit(n)) for n in names]), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
-    return wide.select(*ROW, *[F.col(f"`{n}`") for n in names], F.col("b.unit_price").alias("min_price"), F.col("b.supplier").alias("min_supplier"), "n_quotes", is_min.alias("is_min"), "low_confidence")
+    wide = own.agg(*price.values(), best.alias("__best"), F.count("unit_price").alias("n_quotes"), low.alias("low_confidence"))
+    is_min = F.filter(F.array(*[F.when(F.col(f"`{n}`") == F.col("__best.unit_price"), F.lit(n)) for n in names]), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
+    return wide.select(*ROW, *[F.col(f"`{n}`") for n in names], F.col("__best.unit_price").alias("min_price"), F.col("__best.supplier").alias("min_supplier"), "n_quotes", is_min.alias("is_min"), "low_confidence")

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.functions.normalize import derived_unit_price, normalize_code, normalize_unit, quantity_diverges
-from pricemap.functions.similarity import length_bound, levenshtein_bound, levenshtein_score, marks, ratio_bound, token_sort_ratio, token_sorted
+from pricemap.functions.similarity import levenshtein_possible, levenshtein_score, marks, ratio_possible, token_sort_ratio, token_sorted
 from pricemap.functions.text import normalize_desc
 from pricemap.work import written
 
 SAME_UNIT_BONUS, SAME_UNIT_FLOOR = 8.0, 60.0
+#: Parts of one process' descriptions of a unit and length that pairs are made in.
+SALTS = 4
 
 
 def unit_threshold(a: Column, b: Column, threshold: float) -> Column:
@@ -32,21 +34,24 @@ def scored_pairs(rows: DataFrame, least: float, metric: str = "levenshtein") ->
     step = math.log(100.0 / least)
     # under the matcher's ratio a text may be longer: 2 min / (a + b) >= s allows a factor of 2/s - 1
     step = step if metric == "levenshtein" else math.log(200.0 / least - 1)
-    base = rows.select("process_id", "row_id", "row_seq", "unit", token_sorted(F.col("text")).alias("text")).withColumn("marks", marks(F.col("text")))
+    base = rows.select("process_id", "row_id", "row_seq", "unit", token_sorted(F.col("text")).alias("text")).withColumns({"marks": marks(F.col("text")), "n": F.length("text")})
     base = base.withColumn("band", F.floor(F.log(F.length("text") + 1.0) / step).cast("int"))
     # a known unit meets itself and the unknown one, an unknown unit meets all: each pair under one key
     none, any_unit = F.lit("\x01none"), F.lit("\x01any")
     a_units = F.when(F.col("unit").isNotNull(), F.array("unit", none)).otherwise(F.array(any_unit))
     b_units = F.array(F.coalesce("unit", none), any_unit)
-    names = ("row_id", "row_seq", "unit", "text", "marks")
+    names = ("row_id", "row_seq", "unit", "text", "marks", "n")
     a = base.select("process_id", *[F.col(c).alias(f"a_{c}") for c in names], F.explode(a_units).alias("key"), "band")
     a = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     b = base.select("process_id", "band", *[F.col(c).alias(f"b_{c}") for c in names], F.explode(b_units).alias("key"))
-    bound = levenshtein_bound if metric == "levenshtein" else ratio_bound
-    met = a.join(b.hint("merge"), ["process_id", "key", "band"]).filter(F.col("a_row_seq") > F.col("b_row_seq"))
-    if metric == "levenshtein":
-        met = met.filter(length_bound(F.col("a_text"), F.col("b_text")) >= least - 1e-6)
-    met = met.filter(bound(F.col("a_marks"), F.col("b_marks"), F.col("a_text"), F.col("b_text")) >= least - 1e-6)
+    possible = levenshtein_possible if metric == "levenshtein" else ratio_possible
+    # few bytes make much work here: tasks are cut by key and salt, not by size
+    spark = rows.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    a = a.withColumn("salt", F.pmod(F.xxhash64("a_row_id"), F.lit(SALTS)).cast("int")).repartition(tasks, "process_id", "key", "band", "salt")
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(tasks, "process_id", "key", "band", "salt")
+    met = a.join(b.hint("merge"), ["process_id", "key", "band", "salt"]).filter(F.col("a_row_seq") > F.col("b_row_seq"))
+    met = met.filter(possible(F.col("a_marks"), F.col("b_marks"), F.col("a_n"), F.col("b_n"), least))
     score = levenshtein_score(F.col("a_text"), F.col("b_text")) if metric == "levenshtein" else token_sort_ratio(F.col("a_text"), F.col("b_text"))
     return met.withColumn("score", score).filter(F.col("score") >= least).select("process_id", "a_row_id", "a_row_seq", "a_unit", "b_row_id", "b_row_seq", "b_unit", "score")
 
@@ -104,7 +109,7 @@ def number_rows(items: DataFrame, sanity: float = 50.0, blocking: bool = True) -
     score = levenshtein_score(token_sorted(F.col("description")), token_sorted(F.col("first_desc")))
     apart = (score < sanity) & F.lit(blocking)
     own = F.concat(F.lit("N:"), "item_no", F.lit(":"), F.substring(normalize_desc(F.col("description")), 1, 180))
-    return joined.withColumns({"score": score, "row_id": F.when(apart, own).otherwise(F.concat(F.lit("N:"), "item_no"))}).drop("first_desc")
+    return joined.withColumns({"score": score, "row_id": F.when(apart, own).otherwise(F.concat(F.lit("N:"), "item_no"))})
 
 
 def quantity_reviews(assigned: DataFrame, factor: float = 2.0) -> DataFrame:
@@ -146,23 +151,59 @@ def description_rows(items: DataFrame, threshold: float = 85.0, metric: str = "l
     return own.select("process_id", F.concat(F.lit("D:"), "text").alias("row_id"), "row_seq", "text", F.col("u.unit").alias("unit"))
 
 
-def resolve_items(items: DataFrame, threshold: float = 85.0, metric: str = "levenshtein") -> DataFrame:
-    """Every item with its row: connected codes and numbers, else the earliest leading description that is alike."""
+def corrected_pairs(rows: DataFrame, pairs: DataFrame, corrections: DataFrame | None) -> DataFrame:
+    """Matching pairs of description rows without those saved as different and with those saved as equal (J7); the newest decision counts."""
+    if corrections is None:
+        return pairs
+    saved = corrections.groupBy(correction_key(F.col("desc_a"), F.col("desc_b")).alias("key")).agg(F.max_by(F.struct("decision", normalize_desc(F.col("desc_a")).alias("x"), normalize_desc(F.col("desc_b")).alias("y")), "created_at").alias("v")).select("key", "v.*")
+    text = lambda c: F.substring(c, 3, 1 << 20)
+    kept = pairs.withColumn("key", correction_key(text(F.col("a_row_id")), text(F.col("b_row_id")))).join(saved.filter("decision = 'nao_casar'").select("key").hint("merge"), "key", "left_anti").drop("key")
+    side = lambda p, key: rows.select("process_id", F.col("row_id").alias(f"{p}_row_id"), F.col("row_seq").alias(f"{p}_row_seq"), F.col("unit").alias(f"{p}_unit"), F.col("text").alias(key)).hint("merge")
+    equal = saved.filter("decision = 'casar' and x <> y").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("v")).select("v.*")
+    forced = equal.join(side("a", "x"), "x").join(side("b", "y"), ["process_id", "y"]).filter("a_row_seq > b_row_seq").withColumn("score", F.lit(100.0))
+    return kept.unionByName(forced.select(*kept.columns)).groupBy(*[c for c in kept.columns if c != "score"]).agg(F.max("score").alias("score"))
+
+
+def resolve_items(items: DataFrame, threshold: float = 85.0, metric: str = "levenshtein", corrections: DataFrame | None = None, sanity: float | None = None) -> DataFrame:
+    """Every item with its row: connected codes and numbers, else the earliest leading description that is alike.
+
+    With ``sanity``, an item whose description is unlike the first one of its number, and that has no
+    code, doesn't count as that number's.  ``matched_desc`` and ``score`` tell what an item was matched by
+    description with, or which first description of its number it is unlike.
+    """
     priced = items.withColumn("unit_price", derived_unit_price(F.col("unit_price"), F.col("total_price"), F.col("quantity")))
-    by_key = key_components(priced)
+    nothing = {"matched_desc": F.lit(None).cast("string"), "match_score": F.lit(None).cast("double")}
+    if sanity is None:
+        priced = priced.withColumns({"__no": F.col("item_no"), **nothing})
+    else:
+        bare = F.col("item_no").isNotNull() & normalize_code(F.col("material_code")).isNull()
+        checked = number_rows(priced.filter(bare), sanity)
+        unlike = F.col("score") < sanity
+        checked = checked.withColumns({"__no": F.substring("row_id", 3, 1 << 20), "matched_desc": F.when(unlike, F.col("first_desc")), "match_score": F.when(unlike, F.col("score"))}).drop("row_id", "score", "first_desc")
+        priced = checked.unionByName(priced.filter(~bare).withColumns({"__no": F.col("item_no"), **nothing}))
+        priced = written(priced, "numbered")
+    by_key = key_components(priced.withColumn("item_no", F.col("__no")))
     rows = written(description_rows(priced), "description-rows")
     node = lambda p, r: F.concat_ws("\x01", p, r)
-    pairs = fuzzy_pairs(rows, threshold, metric)
-    edges = pairs.select(node(F.col("process_id"), F.col("a_row_id")).alias("later"), node(F.col("process_id"), F.col("b_row_id")).alias("earlier"))
+    pairs = corrected_pairs(rows, fuzzy_pairs(rows, threshold, metric), corrections)
+    edges = written(pairs.select(node(F.col("process_id"), F.col("a_row_id")).alias("later"), node(F.col("process_id"), F.col("b_row_id")).alias("earlier"), "score"), "description-pairs")
     nodes = rows.select(node(F.col("process_id"), F.col("row_id")).alias("id"), F.col("row_seq").alias("seq"))
-    lead = leaders(nodes, edges)
+    lead = leaders(nodes, edges).filter("leader is not null")
+    lead = lead.join(edges.select(F.col("later").alias("id"), F.col("earlier").alias("leader"), F.col("score").alias("lead_score")).hint("merge"), ["id", "leader"], "left")
     text = normalize_desc(F.col("description"))
     joined = priced.join(by_key.hint("merge"), ["process_id", "seq"], "left")
     joined = joined.withColumn("__node", F.when(F.col("row_id").isNull(), node(F.col("process_id"), F.concat(F.lit("D:"), text))))
     joined = joined.join(lead.hint("merge"), joined["__node"] == lead["id"], "left")
     row = F.coalesce("row_id", F.element_at(F.split("leader", "\x01"), -1))
     keyed = normalize_code(F.col("material_code")).isNotNull() | F.col("item_no").isNotNull()
-    return joined.withColumns({"row_id": row, "confidence": F.when(keyed, "alta").otherwise("média")}).filter("row_id is not null").drop("__node", "id", "leader")
+    led = F.col("lead_score").isNotNull()
+    out = joined.withColumns(
+        {
+            "row_id": row, "confidence": F.when(keyed, "alta").otherwise("média"), "score": F.coalesce("match_score", "lead_score"),
+            "matched_desc": F.when(led, F.substring(F.element_at(F.split("leader", "\x01"), -1), 3, 1 << 20)).otherwise(F.col("matched_desc")),
+        }
+    )
+    return out.filter("row_id is not null").drop("__node", "id", "leader", "__no", "match_score", "lead_score")
 
 
 def canonical_rows(assigned: DataFrame) -> DataFrame:
@@ -200,13 +241,17 @@ def consensus_master(items: DataFrame, min_agree: int = 3, threshold: float = 80
     return agreed.withColumn("n", best).filter((F.col("n") == 1) & (F.col("n_agree") >= min_agree)).select("process_id", "item_no", "description", "n_agree")
 
 
-def gray_zone_pairs(rows: DataFrame, cells: DataFrame, low: float = 60.0, high: float = 85.0, cap: int | None = 60, metric: str = "levenshtein") -> DataFrame:
-    """Pairs of unnumbered rows that score in [low, high) and share no supplier, the first ``cap`` of a process by row order."""
+def gray_zone_pairs(rows: DataFrame, cells: DataFrame, low: float = 60.0, high: float = 85.0, cap: int | None = 60, metric: str = "levenshtein", corrections: DataFrame | None = None) -> DataFrame:
+    """Pairs of unnumbered rows that score in [low, high), share no supplier and have no saved decision; the first ``cap`` of a process by row order, all without one."""
     own = cells.groupBy("process_id", F.col("row_id").alias("r")).agg(F.collect_set("supplier").alias("s"))
     pairs = scored_pairs(rows, low, metric).filter(F.col("score") < high)
+    if corrections is not None:
+        decided = corrections.select(correction_key(F.col("desc_a"), F.col("desc_b")).alias("key")).distinct()
+        text = lambda c: F.substring(c, 3, 1 << 20)
+        pairs = pairs.withColumn("key", correction_key(text(F.col("a_row_id")), text(F.col("b_row_id")))).join(decided.hint("merge"), "key", "left_anti").drop("key")
     a = own.select("process_id", F.col("r").alias("a_row_id"), F.col("s").alias("a_s"))
     b = own.select("process_id", F.col("r").alias("b_row_id"), F.col("s").alias("b_s"))
-    joined = pairs.join(a, ["process_id", "a_row_id"], "left").join(b, ["process_id", "b_row_id"], "left")
+    joined = pairs.join(a.hint("merge"), ["process_id", "a_row_id"], "left").join(b.hint("merge"), ["process_id", "b_row_id"], "left")
     apart = joined.filter(~F.coalesce(F.arrays_overlap("a_s", "b_s"), F.lit(False))).drop("a_s", "b_s")
     if cap is None:
         return apart
@@ -226,11 +271,11 @@ def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, cells: DataFrame, min_
     Pairs (pair_id, process_id, row_a, row_b) are taken in pair order; a pair whose rows by then share a
     supplier is skipped.  A process has few pairs, so each is one group.
     """
-    approved = pairs.join(verdicts, "pair_id").filter(F.col("same_item") & (F.col("confidence") >= min_confidence))
+    approved = pairs.join(verdicts.hint("merge"), "pair_id").filter(F.col("same_item") & (F.col("confidence") >= min_confidence))
     own = cells.groupBy("process_id", "row_id").agg(F.collect_set("supplier").alias("s"))
     a = own.select("process_id", F.col("row_id").alias("row_a"), F.col("s").alias("s_a"))
     b = own.select("process_id", F.col("row_id").alias("row_b"), F.col("s").alias("s_b"))
-    joined = approved.join(a, ["process_id", "row_a"], "left").join(b, ["process_id", "row_b"], "left").select("process_id", "pair_id", "row_a", "row_b", "s_a", "s_b")
+    joined = approved.join(a.hint("merge"), ["process_id", "row_a"], "left").join(b.hint("merge"), ["process_id", "row_b"], "left").select("process_id", "pair_id", "row_a", "row_b", "s_a", "s_b")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         into: dict[str, str] = {}

@@ -182,6 +182,16 @@ def gray_zone_pairs_lev(spark: SparkSession, d: str) -> DataFrame:
     return resolve.gray_zone_pairs(resolve.description_rows(own), sellers)
 
 
+@query(f"""WITH {SQL_PAIRS}, s AS (SELECT process_id, 'D:' || {SQL_DESC} AS row_id, list(DISTINCT supplier) AS s FROM items GROUP BY ALL)
+SELECT p.* FROM pairs p LEFT JOIN s x ON x.process_id = p.process_id AND x.row_id = a_row_id LEFT JOIN s y ON y.process_id = p.process_id AND y.row_id = b_row_id
+WHERE score >= 70 AND score < 85 AND NOT coalesce(list_has_any(x.s, y.s), false)""")
+def gray_zone_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of the upper gray zone, whatever their number."""
+    own = items(spark, d)
+    sellers = own.select("process_id", F.concat(F.lit("D:"), text.normalize_desc(F.col("description"))).alias("row_id"), "supplier")
+    return resolve.gray_zone_pairs(resolve.description_rows(own), sellers, low=70.0, cap=None)
+
+
 @query(f"""WITH {SQL_ITEMS}, g AS (SELECT process_id, item_no, trim(description) AS description, count(*) AS w, min(seq) AS seq FROM items WHERE item_no IS NOT NULL AND trim(description) <> '' GROUP BY ALL),
 t AS (SELECT *, sum(w) OVER (PARTITION BY process_id, item_no) AS total, {SQL_TOKENS.format('description')} AS t FROM g),
 a AS (SELECT x.process_id, x.item_no, x.description, x.seq, sum(y.w) AS n_agree FROM t x JOIN t y ON x.process_id = y.process_id AND x.item_no = y.item_no AND {_score('x.t', 'y.t')} >= 80 WHERE x.total >= 3 GROUP BY ALL)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path (not yet created) below ``spark.checkpoint.dir`` (a new local folder where that is unset)."""
+    """A fresh path (not yet created) below ``spark.checkpoint.dir`` (a new local folder where that is unset under a local master)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pricemap-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -139,8 +139,12 @@ def test_bounds_hold(spark):
     words = ["parafuso inox", "porca inox m8", "arruela lisa", "PARAFUSO sextavado inox", "", "cabo 10mm"]
     df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
     a, b = similarity.token_sorted(F.col("a")), similarity.token_sorted(F.col("b"))
-    h1, h2 = similarity.marks(a), similarity.marks(b)
-    out = df.select(a.alias("x"), b.alias("y"), similarity.levenshtein_score(a, b).alias("lev"), similarity.levenshtein_bound(h1, h2, a, b).alias("lb"), similarity.length_bound(a, b).alias("len"), similarity.token_sort_ratio(F.col("a"), F.col("b")).alias("r"), similarity.ratio_bound(h1, h2, a, b).alias("rb"), similarity.token_set_ratio(F.col("a"), F.col("b")).alias("s"))
+    m, n = (similarity.marks(a), similarity.marks(b)), (F.length(a), F.length(b))
+    possible = [F.struct(F.lit(float(p)).alias("p"), similarity.levenshtein_possible(*m, *n, p).alias("lev"), similarity.ratio_possible(*m, *n, p).alias("r")) for p in range(5, 101, 5)]
+    out = df.select(a.alias("x"), b.alias("y"), similarity.levenshtein_score(a, b).alias("lev"), similarity.token_sort_ratio(F.col("a"), F.col("b")).alias("r"), similarity.token_set_ratio(F.col("a"), F.col("b")).alias("s"), F.array(*possible).alias("possible"))
     for r in out.collect():
         want = SequenceMatcher(None, r.x, r.y).ratio() * 100 if r.x or r.y else 100.0
-        assert abs(r.r - want) < 1e-9 and r.r <= r.rb + 1e-9 and r.lev <= r.lb + 1e-3 and r.lev <= r.len + 1e-3 and r.s >= 0
+        assert abs(r.r - want) < 1e-9 and r.s >= 0
+        for p in r.possible:
+            assert (p.lev or r.lev < p.p) and (p.r or r.r < p.p), (r, p)
+    assert not all(p.lev for r in out.collect() for p in r.possible)
