@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.functions.similarity import item_similarity
-from pricemap.work import written
+from pricemap.work import drop, written
 
 
 def prefilter_lines(pages: DataFrame, least_repeats: int = 3, long_line: int = 150) -> DataFrame:
@@ -84,17 +84,30 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     pair = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
     score = item_similarity(*pair("item_no"), *pair("description"), *pair("unit"), *pair("quantity"))
     scored = written(left.join(right.hint("merge"), "file_id").select("file_id", "a_seq", "b_seq", F.round(score, 4).alias("score")), "reconcile")
-    taken = None
+    taken, rounds = None, [scored]
     while True:
-        order = [F.desc("score"), "a_seq", "b_seq"]
-        of_a = F.row_number().over(Window.partitionBy("file_id", "a_seq").orderBy(*order))
-        of_b = F.row_number().over(Window.partitionBy("file_id", "b_seq").orderBy(*order))
-        best = written(scored.withColumns({"ra": of_a, "rb": of_b}).filter("ra = 1 and rb = 1").drop("ra", "rb"), "reconcile-best")
+        of_a = scored.groupBy("file_id", "a_seq").agg(F.min(F.struct(-F.col("score"), "b_seq")).alias("p")).select("file_id", "a_seq", "p.b_seq")
+        of_b = scored.groupBy("file_id", "b_seq").agg(F.min(F.struct(-F.col("score"), "a_seq")).alias("p")).select("file_id", "p.a_seq", "b_seq", (-F.col("p.col1")).alias("score"))
+        best = written(of_a.join(of_b.hint("merge"), ["file_id", "a_seq", "b_seq"]), "reconcile-best")
         if best.isEmpty():
+            drop(*rounds)
             return taken if taken is not None else best
         taken = best if taken is None else taken.unionByName(best)
-        rest = scored.join(best.select("file_id", "a_seq"), ["file_id", "a_seq"], "left_anti").join(best.select("file_id", "b_seq"), ["file_id", "b_seq"], "left_anti")
+        rest = scored.join(best.select("file_id", "a_seq").hint("merge"), ["file_id", "a_seq"], "left_anti").join(best.select("file_id", "b_seq").hint("merge"), ["file_id", "b_seq"], "left_anti")
         scored = written(rest, "reconcile")
+        drop(rounds.pop())
+        rounds.append(scored)
+
+
+def reconciled(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Items of two extractions of a document: pairs merged, the rest of either side as it is (J5, G7); ``side`` tells whose ``seq`` it is."""
+    names = ["seq", "description", "unit", "quantity", "unit_price"]
+    taken = reconcile(a, b)
+    left, right = (df.select("file_id", *[F.col(c).alias(f"{p}_{c}") for c in names]) for df, p in ((a, "a"), (b, "b")))
+    pairs = left.join(taken.hint("merge"), ["file_id", "a_seq"]).join(right.hint("merge"), ["file_id", "b_seq"]).withColumn("side", F.lit("a"))
+    of_a = left.join(taken.select("file_id", "a_seq").hint("merge"), ["file_id", "a_seq"], "left_anti").withColumn("side", F.lit("a"))
+    of_b = right.join(taken.select("file_id", "b_seq").hint("merge"), ["file_id", "b_seq"], "left_anti").withColumnsRenamed({f"b_{c}": f"a_{c}" for c in names}).withColumn("side", F.lit("b"))
+    return merge_pair(pairs.unionByName(of_a, allowMissingColumns=True).unionByName(of_b, allowMissingColumns=True)).withColumnRenamed("a_seq", "seq")
 
 
 def merge_pair(pairs: DataFrame) -> DataFrame:
@@ -108,7 +121,7 @@ def merge_pair(pairs: DataFrame) -> DataFrame:
     agrees = F.coalesce(gap < 0.01, price_a.isNull() & price_b.isNull())
     longer = F.length(F.coalesce("b_description", F.lit(""))) > F.length(F.coalesce("a_description", F.lit("")))
     return pairs.select(
-        "file_id", "a_seq",
+        "file_id", "a_seq", *[c for c in ("side",) if c in pairs.columns],
         F.when(longer, F.col("b_description")).otherwise(F.col("a_description")).alias("description"),
         F.coalesce("a_unit", "b_unit").alias("unit"), F.coalesce("a_quantity", "b_quantity").alias("quantity"), F.coalesce(price_a, price_b).alias("unit_price"),
         F.when(alone, "média").when((F.col("score") >= 70) & agrees, "alta").otherwise("baixa").alias("item_confidence"),

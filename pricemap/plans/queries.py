@@ -210,7 +210,21 @@ def duplicate_suppliers_lev(spark: SparkSession, d: str) -> DataFrame:
     return resolve.duplicate_suppliers(bound(spark, d, f"WITH {SQL_NAMES} SELECT * FROM names"))
 
 
-@query()
+SQL_LEADERS = f"""{SQL_PAIRS},
+ranked AS (SELECT process_id, row_id, row_number() OVER (PARTITION BY process_id ORDER BY row_seq) AS k FROM dr),
+near AS (SELECT p.process_id, x.k, list(y.k) AS nb FROM pairs p JOIN ranked x ON x.process_id = p.process_id AND x.row_id = a_row_id JOIN ranked y ON y.process_id = p.process_id AND y.row_id = b_row_id
+  WHERE score >= CASE WHEN a_unit = b_unit THEN 77 ELSE 85 END GROUP BY ALL),
+walk AS (SELECT process_id, CAST(0 AS BIGINT) AS k, []::BIGINT[] AS heads, CAST(NULL AS BIGINT) AS head FROM ranked GROUP BY ALL
+  UNION ALL SELECT w.process_id, r.k, CASE WHEN len(list_intersect(heads, coalesce(nb, []))) > 0 THEN heads ELSE list_append(heads, r.k) END,
+    coalesce(list_min(list_intersect(heads, coalesce(nb, []))), r.k) FROM walk w JOIN ranked r ON r.process_id = w.process_id AND r.k = w.k + 1 LEFT JOIN near n ON n.process_id = r.process_id AND n.k = r.k),
+lead AS (SELECT w.process_id, x.row_id, y.row_id AS leader FROM walk w JOIN ranked x USING (process_id, k) JOIN ranked y ON y.process_id = w.process_id AND y.k = w.head)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_LEADERS},
+priced AS (SELECT *, {SQL_CODE} AS code, CASE WHEN unit_price IS NULL THEN total_price / nullif(quantity, 0) WHEN abs(unit_price - total_price) < 1e-6 THEN coalesce(total_price / nullif(quantity, 0), unit_price) ELSE unit_price END AS price FROM items),
+placed AS (SELECT p.process_id, supplier, seq, price, CASE WHEN code IS NOT NULL THEN 'K:' || min(seq) OVER (PARTITION BY p.process_id, code) ELSE leader END AS row_id FROM priced p LEFT JOIN lead ON lead.process_id = p.process_id AND code IS NULL AND lead.row_id = 'D:' || {SQL_DESC}),
+cells AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY process_id, row_id, supplier ORDER BY seq DESC) = 1)
+SELECT process_id, row_id, arg_min(price, (price, supplier)) FILTER (price IS NOT NULL) AS min_price, arg_min(supplier, (price, supplier)) FILTER (price IS NOT NULL) AS min_supplier, count(price) AS n_quotes FROM cells GROUP BY ALL""")
 def resolve_full(spark: SparkSession, d: str) -> DataFrame:
     own = resolve.resolve_items(items(spark, d))
     return prices.min_price(prices.price_cells(own))
@@ -237,13 +251,34 @@ def apply_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return resolve.apply_verdicts(pairs, verdicts, sellers)
 
 
-@query()
+SQL_GREEDY = f"""{SQL_ITEMS}, a AS (SELECT file_id, seq, description, unit, quantity, {SQL_TOKENS.format('description')} AS t FROM items),
+b AS (SELECT file_id, seq, description, unit, quantity + CASE WHEN seq % 3 = 0 THEN 1.0 ELSE 0.0 END AS quantity, t FROM a WHERE seq % 5 <> 0),
+s AS (SELECT file_id, a.seq AS a_seq, b.seq AS b_seq, round(0.6 * {_score('a.t', 'b.t')} + 0.25 * CASE WHEN a.unit IS NOT NULL AND a.unit = b.unit THEN 100.0 ELSE 0.0 END
+  + 0.15 * CASE WHEN a.quantity = b.quantity OR abs(a.quantity - b.quantity) / greatest(abs(a.quantity), abs(b.quantity)) < 0.05 THEN 100.0 ELSE 0.0 END, 4) AS score FROM a JOIN b USING (file_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, a_seq, b_seq) AS k FROM s),
+g AS (SELECT file_id, CAST(0 AS BIGINT) AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub, false AS took FROM o GROUP BY ALL
+  UNION ALL SELECT g.file_id, o.k, CASE WHEN NOT list_contains(ua, a_seq) AND NOT list_contains(ub, b_seq) THEN list_append(ua, a_seq) ELSE ua END, CASE WHEN NOT list_contains(ua, a_seq) AND NOT list_contains(ub, b_seq) THEN list_append(ub, b_seq) ELSE ub END,
+    NOT list_contains(ua, a_seq) AND NOT list_contains(ub, b_seq) FROM g JOIN o ON o.file_id = g.file_id AND o.k = g.k + 1)"""
+
+
+@query(f"WITH RECURSIVE {SQL_GREEDY} SELECT file_id, a_seq, b_seq, score FROM o JOIN g USING (file_id, k) WHERE took")
 def reconcile_greedy(spark: SparkSession, d: str) -> DataFrame:
     own = items(spark, d).select("file_id", "seq", "item_no", "description", "unit", "quantity")
     other = own.filter("seq % 5 <> 0").withColumns({"item_no": F.lit(None).cast("string"), "quantity": F.col("quantity") + F.when(F.col("seq") % 3 == 0, 1.0).otherwise(0.0)})
     return documents.reconcile(own, other)
 
 
+@query(f"""WITH RECURSIVE {SQL_GREEDY}, taken AS (SELECT file_id, a_seq, b_seq, score FROM o JOIN g USING (file_id, k) WHERE took)
+SELECT file_id, a_seq AS seq, 'a' AS side, score >= 70 AS sure, score < 70 AS conflict FROM taken
+UNION ALL SELECT file_id, seq, 'a' AS side, false AS sure, true AS conflict FROM a WHERE (file_id, seq) NOT IN (SELECT (file_id, a_seq) FROM taken)
+UNION ALL SELECT file_id, seq, 'b' AS side, false AS sure, true AS conflict FROM b WHERE (file_id, seq) NOT IN (SELECT (file_id, b_seq) FROM taken)""")
+def reconciled_items(spark: SparkSession, d: str) -> DataFrame:
+    """Both extractions' items: pairs merged, the rest of either side kept and marked."""
+    own = items(spark, d).select("file_id", "seq", "item_no", "description", "unit", "quantity", F.lit(1.0).alias("unit_price"))
+    other = own.filter("seq % 5 <> 0").withColumns({"item_no": F.lit(None).cast("string"), "quantity": F.col("quantity") + F.when(F.col("seq") % 3 == 0, 1.0).otherwise(0.0)})
+    return documents.reconciled(own, other).select("file_id", "seq", "side", (F.col("item_confidence") == "alta").alias("sure"), "conflict")
+
+
 # -- participation -----------------------------------------------------------------------------------
 
 
