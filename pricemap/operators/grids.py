@@ -62,10 +62,10 @@ def items_from_grid(cells: DataFrame) -> DataFrame:
     """Item rows below each grid's header; grids without a description or with fewer than two known columns give none."""
     key = ["file_id", "grid_id"]
     header = detect_header(cells)
-    joined = cells.join(header, key)
+    joined = cells.join(header.hint("merge"), key)
     mapping = map_columns(joined.filter("row = header_row").select(*key, "col", "text"))
     usable = mapping.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("field") == "description").alias("d")).filter("n >= 2 and d").select(*key)
-    below = joined.filter("row > header_row").join(mapping.join(usable, key), [*key, "col"])
+    below = joined.filter("row > header_row").join(mapping.join(usable.hint("merge"), key).hint("merge"), [*key, "col"])
     wide = below.groupBy(*key, "row").pivot("field", FIELDS).agg(F.first("text"))
     out = wide.withColumns(
         {

@@ -426,13 +426,28 @@ def backfill_sender(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_MESSAGES} SELECT DISTINCT process_id, message_id FROM messages")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of messages, all that there are, each message once."""
-    schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    stream = spark.sql(MESSAGES, events=events).withColumn("sent_at", F.col("sent_at").cast("timestamp"))
-    out, state = new_folder(spark, "stream"), new_folder(spark, "stream-state")
-    ingest.ingest(stream, out, state).awaitTermination()
-    return spark.read.parquet(out).select("process_id", "message_id")
+    """The events as a stream of messages in several batches, each message once."""
+    return spark.read.parquet(_ingested(spark, d)).select("process_id", "message_id")
+
+
+def _ingested(spark: SparkSession, d: str) -> str:
+    events = table(spark, d, "events")
+    parts, out, state = (new_folder(spark, name) for name in ("stream-in", "stream", "stream-state"))
+    events.repartition(4, "event_id").write.parquet(parts)
+    stream = spark.sql(MESSAGES, events=spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(parts))
+    ingest.ingest(stream.withColumn("sent_at", F.col("sent_at").cast("timestamp")), out, state).awaitTermination()
+    return out
+
+
+@query(f"WITH {SQL_MESSAGES} SELECT process_id, from_email, bool_or(type = 'pedido_orcamento') AS asked, bool_or(type = 'orcamento_recebido') AS sent_quote, bool_or(type = 'declinio') AS declined, bool_or(type = 'confirmacao_leitura') AS read_ok FROM messages WHERE ingest_seq % 10 <> 9 GROUP BY ALL")
+def stream_participations(spark: SparkSession, d: str) -> DataFrame:
+    """Participations kept up over the batches of a stream of messages."""
+    events = table(spark, d, "events").filter("event_id % 10 <> 9")
+    parts, out, state = (new_folder(spark, name) for name in ("stream-in", "participations", "stream-state"))
+    events.repartition(3, "event_id").write.parquet(parts)
+    stream = spark.sql(MESSAGES, events=spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(parts))
+    ingest.follow_participations(stream.withColumn("sent_at", F.col("sent_at").cast("timestamp")), out, state).awaitTermination()
+    return ingest.latest_participations(spark, out).select("process_id", "from_email", "asked", "sent_quote", "declined", "read_ok")
 
 
 # -- documents and text --------------------------------------------------------------------------------

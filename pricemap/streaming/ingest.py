@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pricemap.operators.participation import new_messages
+
 PAIR = ["process_id", "from_email"]
 
 
 def distinct_messages(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """A stream without messages that came before under the same id; ids are forgotten ``delay`` after."""
+    """A stream without messages that came before under the same id, for streams in order: what is over ``delay`` late is dropped."""
     return messages.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(["process_id", "message_id"])
 
 
@@ -25,10 +27,39 @@ def running_participations(messages: DataFrame) -> DataFrame:
     )
 
 
+def _stored(spark, path: str) -> DataFrame | None:
+    """The table below ``path``, None before the first write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
 def ingest(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the stream's new messages to a table, all that is there now, then stop; a replayed batch overwrites its own folder."""
+    """Append the stream's new messages to a table, all that is there now, then stop.
+
+    A message is new if the table hasn't it, however late it comes: a watermark would drop late ones.
+    A replayed batch overwrites its own folder.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        stored = _stored(batch.sparkSession, path)
+        known = batch.limit(0) if stored is None else stored.filter(F.col("batch") != number)
+        batch = new_messages(batch, known).select(batch.columns)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow_participations(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the participations of a stream of messages as a table: each batch's pairs replace what was known of them."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return distinct_messages(messages).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return running_participations(messages).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_participations(spark, path: str) -> DataFrame:
+    """The newest state of each pair that :func:`follow_participations` wrote."""
+    table = spark.read.parquet(path)
+    own = [c for c in table.columns if c not in (*PAIR, "batch")]
+    return table.groupBy(*PAIR).agg(F.max_by(F.struct(*own), "batch").alias("v")).select(*PAIR, "v.*")
