@@ -146,16 +146,20 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS, blocks: int = B
     asks = askers.join(order.hint("merge"), _same(askers, order, "doc_id")).select(askers["doc_id"].alias("for_id"), askers["salt"].alias("for_salt"), "k", F.col("next.doc_id").alias("doc_id"), F.col("next.first.d0").alias("d0"), F.col("next.first.d1").alias("d1"))
     asks = saved(asks.withColumn("salt", F.pmod("d0", F.lit(SALTS)).cast("int")), "document-asks")
 
-    # whole texts are shuffled once, for both joins, and what is asked for once more
-    key = F.hash(F.coalesce("doc_id", F.lit(-1)), "salt").alias("key")
-    dealt = whole.withColumn("salt", F.pmod("d0", F.lit(SALTS)).cast("int")).withColumn("key", key)
-    dealt = dealt.repartition("key")
-    asking = asks.withColumn("key", key).hint("shuffle_hash")
-    met = dealt.join(asking, (dealt["key"] == asking["key"]) & _same(dealt, asking, "doc_id", "salt", *digest))
+    # Whole texts are shuffled once, by one key for both joins; what is asked for is shuffled once more.  The rest
+    # is compared as no key of a join, or each join would deal the texts by its own.
+    key = lambda i, salt: F.xxhash64(F.coalesce(i, F.lit(0)), F.col(i).isNull(), salt).alias("key")
+    alike = lambda a, b: a.bitwiseXOR(b) == 0
+    same_id = lambda a, b: alike(F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))) & alike(a.isNull().cast("int"), b.isNull().cast("int"))
+    dealt = whole.withColumn("salt", F.pmod("d0", F.lit(SALTS)).cast("int"))
+    dealt = dealt.withColumn("key", key("doc_id", "salt")).repartition("key")
+    asking = asks.withColumn("key", key("doc_id", "salt")).hint("shuffle_hash")
+    same_text = reduce(lambda x, y: x & y, [alike(dealt[c], asking[c]) for c in ("salt", *digest)])
+    met = dealt.join(asking, (dealt["key"] == asking["key"]) & same_id(dealt["doc_id"], asking["doc_id"]) & same_text)
     # rows may repeat: one of them answers
-    given = met.select("for_id", "for_salt", F.expr("substring(text, 1, k)").alias("piece")).dropDuplicates(["for_id", "for_salt"])
-    given = given.withColumn("key", F.hash(F.coalesce("for_id", F.lit(-1)), "for_salt")).hint("shuffle_hash")
-    paired = dealt.join(given, (dealt["key"] == given["key"]) & dealt["doc_id"].eqNullSafe(given["for_id"]) & (dealt["salt"] == given["for_salt"]))
+    given = met.select("for_id", "for_salt", F.expr("substring(text, 1, k)").alias("piece")).withColumn("key", key("for_id", "for_salt"))
+    given = given.repartition("key").dropDuplicates(["key", "for_id", "for_salt"]).hint("shuffle_hash")
+    paired = dealt.join(given, (dealt["key"] == given["key"]) & same_id(dealt["doc_id"], given["for_id"]) & alike(dealt["salt"], given["for_salt"]))
     n = F.length("text")
     k = F.floor(n / 3)
     edited = F.concat(F.substring("text", F.lit(1), (n - k).cast("int")), F.substring("piece", F.lit(1), k.cast("int")))
@@ -176,8 +180,9 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS, blocks: int = B
     counts = saved(index.join(prints.hint("merge"), digest).groupBy("fp").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False))).alias("asks")), "different-prints")
     found = within_radius(counts.filter("asks"), counts, radius, blocks)
     near = found.join(counts.hint("merge"), found["held"] == counts["fp"]).groupBy("asked").agg(F.sum("n").alias("n_within"))
-    rows = rows.withColumn("__asks", F.when(F.col("doc_id") % EVERY == 0, F.col("fp")))
-    rows = rows.join(near.hint("merge"), rows["__asks"] == near["asked"], "left")
+    asks_too = F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False))
+    asking_rows = rows.filter(asks_too).join(near.hint("merge"), F.col("fp") == F.col("asked")).drop("asked")
+    rows = asking_rows.unionByName(rows.filter(~asks_too).withColumn("n_within", F.lit(None).cast("long")))
     return rows.select(
         "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_within",
