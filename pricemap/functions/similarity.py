@@ -95,6 +95,11 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(ratio, "double")(a, b)
 
 
+def matcher_ratio_of(a: Column, b: Column) -> Column:
+    """The matcher's ratio of two texts as they are."""
+    return _ratio(a, b)
+
+
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Matcher ratio of the sorted words."""
     return _ratio(token_sorted(a), token_sorted(b))
@@ -111,7 +116,7 @@ def token_set_ratio(a: Column, b: Column) -> Column:
 
 
 def best_term_ratio(token: Column, terms: list[str]) -> Column:
-    """Best score of a token against a list of terms (N31), by Levenshtein."""
+    """Best Levenshtein score of a token against a short list of terms, without an index (``operators.terms`` has the matcher's ratio)."""
     return F.greatest(F.lit(0.0), *[levenshtein_score(token, F.lit(t)) / 100 for t in terms])
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricemap.functions.similarity import levenshtein_score
 from pricemap.functions.text import file_tokens, is_budget_file
+from pricemap.operators.terms import near_terms
 
 # Words and prefixes of file names that speak for and against a quotation.
 POSITIVE = ["orcamento", "orc", "cotacao", "cot", "proposta", "preco", "precos", "precificacao", "planilha", "plan", "itens", "lote", "mapa", "valor", "valores", "comercial", "fornecedor"]
@@ -18,20 +18,44 @@ NEGATIVE_PREFIXES = ["img", "image", "imagem", "foto", "whatsapp", "assinatura",
 PDF_WORDS = ["cotacao", "proposta", "orcamento"]
 
 
-def _hits(tokens: Column, terms: list[str], least: float, fuzzy: bool) -> Column:
-    """Tokens that are among the terms, or as near to one as ``least``."""
-    exact = F.size(F.array_intersect(tokens, F.array(*[F.lit(t) for t in terms])))
-    if not fuzzy:
-        return exact
-    near = F.filter(tokens, lambda t: ~t.isin(terms) & (F.greatest(*[levenshtein_score(t, F.lit(x)) for x in terms]) >= 100 * least))
-    return exact + F.size(near)
+#: Least ratio of a word that is nearly one of the terms.
+NEAR_NEGATIVE, NEAR_POSITIVE = 0.85, 0.82
 
 
-def attachment_score(name: Column, mime: Column, message_type: Column, fuzzy: bool = True) -> tuple[Column, Column]:
-    """(score, reason) of an attachment; only scores over 0 are candidates."""
+def _exact(tokens: Column, terms: list[str]) -> Column:
+    return F.size(F.array_intersect(tokens, F.array(*[F.lit(t) for t in terms])))
+
+
+def name_hits(names: DataFrame) -> DataFrame:
+    """(low, negative, positive) per different lower-cased file ``name``: how many of its words are, or nearly are, among the terms."""
+    low = names.select(F.lower(F.coalesce("name", F.lit(""))).alias("low")).distinct().withColumn("tokens", file_tokens(F.col("low")))
+    words = low.select("low", F.explode("tokens").alias("token"))
+    out = low.select("low")
+    for kind, terms, least in (("negative", NEGATIVE, NEAR_NEGATIVE), ("positive", POSITIVE, NEAR_POSITIVE)):
+        # a term itself has ratio 1
+        hit = near_terms(words.select("token"), terms, least).select("token").distinct()
+        counts = words.join(hit.hint("merge"), "token").groupBy("low").agg(F.count("*").cast("int").alias(kind))
+        out = out.join(counts.hint("merge"), "low", "left").withColumn(kind, F.coalesce(kind, F.lit(0)))
+    return out
+
+
+def scored_attachments(attachments: DataFrame) -> DataFrame:
+    """``attachments`` (name, mime, message_type) with score and reason, misspelt words included."""
+    hits = name_hits(attachments).hint("merge")
+    joined = attachments.withColumn("low", F.lower(F.coalesce("name", F.lit("")))).join(hits, "low")
+    score, reason = attachment_score(F.col("name"), F.col("mime"), F.col("message_type"), F.col("negative"), F.col("positive"))
+    return joined.withColumns({"score": score, "reason": reason}).drop("low", "negative", "positive")
+
+
+def attachment_score(name: Column, mime: Column, message_type: Column, negative: Column | None = None, positive: Column | None = None) -> tuple[Column, Column]:
+    """(score, reason) of an attachment; only scores over 0 are candidates.
+
+    ``negative`` and ``positive`` count its words for and against; by default only words that are terms themselves.
+    """
     low = F.lower(F.coalesce(name, F.lit("")))
     tokens = file_tokens(low)
-    negative, positive = _hits(tokens, NEGATIVE, 0.85, fuzzy), _hits(tokens, POSITIVE, 0.82, fuzzy)
+    negative = _exact(tokens, NEGATIVE) if negative is None else negative
+    positive = _exact(tokens, POSITIVE) if positive is None else positive
     quote = F.coalesce(message_type == "orcamento_recebido", F.lit(False))
     ext = F.when(low.rlike(r"\.(pdf|xlsx|xls|csv)$"), 3).when(low.rlike(r"\.(docx|doc)$"), 2).otherwise(0)
     bonus = F.when(low.endswith(".pdf") & F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in PDF_WORDS])), 2).otherwise(0)

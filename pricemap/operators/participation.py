@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricemap.functions.classify import is_institutional
 from pricemap.functions.contacts import preferred_name
 from pricemap.functions.dates import elapsed_hours
+from pricemap.operators.asof import asof_join
 
 PAIR = ["process_id", "from_email"]
 
@@ -20,23 +21,38 @@ def new_messages(messages: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.withColumn("__n", first).filter("__n = 1").drop("__n")
 
 
+REPLIES = ("orcamento_recebido", "declinio", "duvida")
+
+
+def with_quoted_dates(messages: DataFrame, quoted: DataFrame) -> DataFrame:
+    """Messages with ``quoted_at``: of the dates that one quotes (process_id, message_id, at), the latest up to its own, else the latest."""
+    key = ["process_id", "message_id"]
+    left = messages.withColumn("at", F.col("sent_at"))
+    return asof_join(left, quoted.withColumn("__quoted", F.col("at")), key, "at", "__quoted", "quoted_at", else_latest=True).drop("at")
+
+
 def participations(messages: DataFrame, exclude_institutional: bool = False) -> DataFrame:
-    """Flags and first dates of each sender in a process; "first" is by arrival."""
+    """Flags and first dates of each sender in a process; "first" is by arrival.
+
+    A request's own date, or the date that a quote, decline or question quotes (``quoted_at``, where the
+    messages have it), tells when the request was made; read receipts tell none.
+    """
     rows = messages.filter(~is_institutional(F.col("from_email"))) if exclude_institutional else messages
     kind = F.col("type")
-
-    def first_date(test):
-        return F.min(F.when(test & F.col("sent_at").isNotNull(), F.struct("ingest_seq", "sent_at")))
-
+    asked_at = F.when(kind == "pedido_orcamento", F.col("sent_at"))
+    if "quoted_at" in messages.columns:
+        asked_at = asked_at.when(kind.isin(*REPLIES), F.col("quoted_at"))
+    replied_at = F.when(kind.isin(*REPLIES), F.col("sent_at"))
+    first = lambda at: F.min(F.when(at.isNotNull(), F.struct("ingest_seq", at.alias("at"))))
     out = rows.groupBy(*PAIR).agg(
         F.max(kind == "pedido_orcamento").alias("asked"),
         F.max(kind == "orcamento_recebido").alias("sent_quote"),
         F.max(kind == "declinio").alias("declined"),
         F.max(kind == "confirmacao_leitura").alias("read_ok"),
-        first_date(kind == "pedido_orcamento").alias("r"),
-        first_date(kind.isin("orcamento_recebido", "declinio", "duvida")).alias("a"),
+        first(asked_at).alias("r"),
+        first(replied_at).alias("a"),
     )
-    return out.select(*PAIR, "asked", "sent_quote", "declined", "read_ok", F.col("r.sent_at").alias("requested_at"), F.col("a.sent_at").alias("first_reply_at"))
+    return out.select(*PAIR, "asked", "sent_quote", "declined", "read_ok", F.col("r.at").alias("requested_at"), F.col("a.at").alias("first_reply_at"))
 
 
 def type_distribution(messages: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pricemap.functions.normalize import derived_unit_price, normalize_code, normalize_unit, quantity_diverges
 from pricemap.functions.similarity import levenshtein_possible, levenshtein_score, marks, ratio_possible, token_sort_ratio, token_sorted
 from pricemap.functions.text import normalize_desc
-from pricemap.work import written
+from pricemap.operators.graph import LOCAL_EDGES, components, solve_small, split_by_component
+from pricemap.operators.order import ranked
+from pricemap.work import drop, written
 
 SAME_UNIT_BONUS, SAME_UNIT_FLOOR = 8.0, 60.0
 #: Parts of one process' descriptions of a unit and length that pairs are made in.
@@ -23,27 +25,36 @@ def unit_threshold(a: Column, b: Column, threshold: float) -> Column:
     return F.when(a.isNull() | b.isNull(), threshold).when(a == b, max(threshold - SAME_UNIT_BONUS, SAME_UNIT_FLOOR)).otherwise(101.0)
 
 
-def scored_pairs(rows: DataFrame, least: float, metric: str = "levenshtein") -> DataFrame:
-    """Pairs (later, earlier) of one process that could score ``least`` or more, with their score.
+def prepared(rows: DataFrame) -> DataFrame:
+    """``rows`` (process_id, row_id, row_seq, text, unit) with sorted words, marks of characters and length, written.
 
-    ``rows``: process_id, row_id, row_seq, text, unit.  Rows meet by process and band of length: texts
-    whose lengths differ too much for the score are in bands apart and never meet.  Bounds by length
-    and by bits of characters (a few integer operations, within the join) come before the score itself.
-    Different known units never meet.
+    Without the write, what joins infer about these columns would compute them several times a row.
+    """
+    own = rows.select("process_id", "row_id", "row_seq", "unit", token_sorted(F.col("text")).alias("text"), *[c for c in ("place",) if c in rows.columns])
+    return written(written(own, "sorted-words").withColumns({"marks": marks(F.col("text")), "n": F.length("text")}), "marked-rows")
+
+
+def scored_pairs(rows: DataFrame, least: float, metric: str = "levenshtein", earlier: DataFrame | None = None) -> DataFrame:
+    """Pairs (later, earlier) of one process that could score ``least`` or more, with their score; the earlier ones out of ``earlier`` where it is given.
+
+    ``rows`` (and ``earlier``): as :func:`prepared` gives them, or process_id, row_id, row_seq, text, unit.  Rows meet by
+    process and band of length: texts whose lengths differ too much for the score are in bands apart and never meet.
+    Bounds by length and by bits of characters (a few integer operations, within the join) come before the
+    score itself.  Different known units never meet.
     """
     step = math.log(100.0 / least)
     # under the matcher's ratio a text may be longer: 2 min / (a + b) >= s allows a factor of 2/s - 1
     step = step if metric == "levenshtein" else math.log(200.0 / least - 1)
-    base = rows.select("process_id", "row_id", "row_seq", "unit", token_sorted(F.col("text")).alias("text")).withColumns({"marks": marks(F.col("text")), "n": F.length("text")})
-    base = base.withColumn("band", F.floor(F.log(F.length("text") + 1.0) / step).cast("int"))
+    rows = rows if "marks" in rows.columns else prepared(rows)
+    banded = lambda df: df.withColumn("band", F.floor(F.log(F.col("n") + 1.0) / step).cast("int"))
     # a known unit meets itself and the unknown one, an unknown unit meets all: each pair under one key
     none, any_unit = F.lit("\x01none"), F.lit("\x01any")
     a_units = F.when(F.col("unit").isNotNull(), F.array("unit", none)).otherwise(F.array(any_unit))
     b_units = F.array(F.coalesce("unit", none), any_unit)
     names = ("row_id", "row_seq", "unit", "text", "marks", "n")
-    a = base.select("process_id", *[F.col(c).alias(f"a_{c}") for c in names], F.explode(a_units).alias("key"), "band")
+    a = banded(rows).select("process_id", *[F.col(c).alias(f"a_{c}") for c in names], F.explode(a_units).alias("key"), "band")
     a = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    b = base.select("process_id", "band", *[F.col(c).alias(f"b_{c}") for c in names], F.explode(b_units).alias("key"))
+    b = banded(rows if earlier is None else earlier).select("process_id", "band", *[F.col(c).alias(f"b_{c}") for c in names], F.explode(b_units).alias("key"))
     possible = levenshtein_possible if metric == "levenshtein" else ratio_possible
     # few bytes make much work here: tasks are cut by key and salt, not by size
     spark = rows.sparkSession
@@ -79,29 +90,60 @@ def apply_corrections(pairs: DataFrame, corrections: DataFrame) -> DataFrame:
     return joined.withColumn("matched", verdict).drop("__key", "__decision")
 
 
-def leaders(nodes: DataFrame, edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
-    """For each node (id, seq) the earliest leader that it is similar to, itself if it is one (W8, J1 step 4).
+def _leaders_of_component(edges: pd.DataFrame) -> pd.DataFrame:
+    """(id, leader) of the nodes of one component, by going through them in order."""
+    seqs = dict(zip(edges["later"], edges["l_seq"])) | dict(zip(edges["earlier"], edges["e_seq"]))
+    near: dict[str, list[str]] = {}
+    for later, earlier in zip(edges["later"], edges["earlier"]):
+        near.setdefault(later, []).append(earlier)
+    lead: dict[str, str] = {}
+    for node in sorted(seqs, key=seqs.get):
+        heads = [x for x in near.get(node, []) if lead[x] == x]
+        lead[node] = min(heads, key=seqs.get) if heads else node
+    return pd.DataFrame(lead.items(), columns=["id", "leader"])
+
 
-    ``edges``: later, earlier, in ids, with their seqs.  In rounds, a node all of whose earlier neighbours
-    are known not to lead becomes a leader, and a node with a leading earlier neighbour is out; only
-    when all are decided does each take its earliest leader.
+def _leaders_by_rounds(edges: DataFrame) -> DataFrame:
+    """(id, leader) of the nodes of ``edges``, in rounds.
+
+    A node all of whose earlier neighbours are known not to lead becomes a leader, and a node with a leading
+    earlier neighbour is out; only when all are decided does each take its earliest leader.
     """
-    state = written(nodes.select("id", "seq", F.lit(None).cast("boolean").alias("leads")), "leaders")
+    ends = edges.select(F.col("later").alias("id"), F.col("l_seq").alias("seq")).unionByName(edges.select(F.col("earlier").alias("id"), F.col("e_seq").alias("seq"))).distinct()
+    state = written(ends.withColumn("leads", F.lit(None).cast("boolean")), "leaders")
     links = written(edges.select("later", "earlier"), "leader-links")
-    while True:
+    while not state.filter(F.col("leads").isNull()).isEmpty():
         earlier = links.join(state.select(F.col("id").alias("earlier"), F.col("leads").alias("e_leads")).hint("merge"), "earlier")
         seen = earlier.groupBy("later").agg(F.max(F.coalesce("e_leads", F.lit(False))).alias("beaten"), F.count_if(F.col("e_leads").isNull()).alias("n_open"))
         joined = state.join(seen.hint("merge"), state["id"] == seen["later"], "left")
         leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.coalesce("beaten", F.lit(False)), False).when(F.coalesce("n_open", F.lit(0)) == 0, True)
-        state = written(joined.select("id", "seq", leads.alias("leads")), "leaders")
-        if state.filter(F.col("leads").isNull()).isEmpty():
-            break
+        before, state = state, written(joined.select("id", "seq", leads.alias("leads")), "leaders")
+        drop(before)
     heads = state.filter("leads").select(F.col("id").alias("earlier"), F.col("seq").alias("e_seq"))
     best = links.join(heads.hint("merge"), "earlier").groupBy("later").agg(F.min_by("earlier", "e_seq").alias("leader"))
     joined = state.join(best.hint("merge"), state["id"] == best["later"], "left")
     return joined.select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
 
 
+def leaders(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """For each node (id, seq) the earliest leader that it is similar to, itself if it is one (W8, J1 step 4).
+
+    ``edges``: later, earlier, in ids.  Components of up to ``local`` edges are solved whole, larger ones in rounds.
+    """
+    place = lambda end, seq: nodes.select(F.col("id").alias(end), F.col("seq").alias(seq)).hint("merge")
+    known = edges.select("later", "earlier").join(place("later", "l_seq"), "later").join(place("earlier", "e_seq"), "earlier")
+    known = known.withColumnsRenamed({"later": "src", "earlier": "dst"})
+    small, large, tables = split_by_component(known, local)
+    back = {"src": "later", "dst": "earlier"}
+    found = solve_small(small.withColumnsRenamed(back), _leaders_of_component, "id string, leader string")
+    if not large.isEmpty():
+        found = found.unionByName(_leaders_by_rounds(large.withColumnsRenamed(back)))
+    found = written(found, "component-leaders")
+    drop(*tables)
+    own = nodes.select("id").join(found.withColumnRenamed("id", "__id").hint("merge"), F.col("id") == F.col("__id"), "left")
+    return own.select("id", F.coalesce("leader", "id").alias("leader"))
+
+
 def number_rows(items: DataFrame, sanity: float = 50.0, blocking: bool = True) -> DataFrame:
     """Items with a number and their row: the number's, or one of their own where the description is too unlike the first one's (J1 step 3)."""
     first = items.groupBy("process_id", "item_no").agg(F.min_by("description", "seq").alias("first_desc"))
@@ -122,22 +164,20 @@ def quantity_reviews(assigned: DataFrame, factor: float = 2.0) -> DataFrame:
 def key_components(items: DataFrame) -> DataFrame:
     """(process_id, seq, row_id): items that share a code or a number, also over others, share a row (J1 steps 2, 3 and 5).
 
-    Codes and numbers form a bipartite graph; the smallest seq spreads over it until nothing changes.
+    Codes and numbers form a graph whose edges are the items that have both; a component's name is its smallest seq.
     """
     code = normalize_code(F.col("material_code"))
-    keyed = items.select("process_id", "seq", F.array_compact(F.array(F.concat(F.lit("C:"), code), F.concat(F.lit("N:"), "item_no"))).alias("keys")).filter(F.size("keys") > 0)
-    # only different sets of keys matter, and each label is the smallest seq of its set
-    groups = written(keyed.groupBy("process_id", "keys").agg(F.min("seq").alias("label")), "key-groups")
-    links = groups.select("process_id", "keys", F.explode("keys").alias("key"))
-    state = groups
-    while True:
-        of_key = links.join(state.hint("merge"), ["process_id", "keys"]).groupBy("process_id", "key").agg(F.min("label").alias("low"))
-        lower = links.join(of_key.hint("merge"), ["process_id", "key"]).groupBy("process_id", "keys").agg(F.min("low").alias("low"))
-        following = written(state.join(lower.hint("merge"), ["process_id", "keys"]).select("process_id", "keys", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("changed")), "key-labels")
-        state = following.drop("changed")
-        if following.filter("changed").isEmpty():
-            break
-    return keyed.join(state.hint("merge"), ["process_id", "keys"]).select("process_id", "seq", F.concat(F.lit("K:"), F.col("label").cast("string")).alias("row_id"))
+    key = lambda kind, c: F.when(c.isNotNull(), F.concat_ws("\x01", "process_id", F.concat(F.lit(kind), c)))
+    keyed = items.select("process_id", "seq", key("C:", code).alias("by_code"), key("N:", F.col("item_no")).alias("by_number")).filter("by_code is not null or by_number is not null")
+    # only different pairs of keys matter
+    groups = written(keyed.groupBy("process_id", "by_code", "by_number").agg(F.min("seq").alias("first")), "key-groups")
+    both = groups.filter("by_code is not null and by_number is not null")
+    names = components(both.select(F.col("by_code").alias("src"), F.col("by_number").alias("dst")))
+    own = groups.withColumn("key", F.coalesce("by_code", "by_number")).join(names.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    low = own.groupBy("root").agg(F.min("first").alias("label"))
+    of_key = written(own.join(low.hint("merge"), "root").select("key", "label").distinct(), "key-labels")
+    named = keyed.withColumn("key", F.coalesce("by_code", "by_number")).join(of_key.hint("merge"), "key")
+    return named.select("process_id", "seq", F.concat(F.lit("K:"), F.col("label").cast("string")).alias("row_id"))
 
 
 def description_rows(items: DataFrame, threshold: float = 85.0, metric: str = "levenshtein") -> DataFrame:
@@ -154,73 +194,99 @@ def description_rows(items: DataFrame, threshold: float = 85.0, metric: str = "l
 def corrected_pairs(rows: DataFrame, pairs: DataFrame, corrections: DataFrame | None) -> DataFrame:
     """Matching pairs of description rows without those saved as different and with those saved as equal (J7); the newest decision counts."""
     if corrections is None:
-        return pairs
+        return pairs.withColumn("corrected", F.lit(False))
     saved = corrections.groupBy(correction_key(F.col("desc_a"), F.col("desc_b")).alias("key")).agg(F.max_by(F.struct("decision", normalize_desc(F.col("desc_a")).alias("x"), normalize_desc(F.col("desc_b")).alias("y")), "created_at").alias("v")).select("key", "v.*")
     text = lambda c: F.substring(c, 3, 1 << 20)
     kept = pairs.withColumn("key", correction_key(text(F.col("a_row_id")), text(F.col("b_row_id")))).join(saved.filter("decision = 'nao_casar'").select("key").hint("merge"), "key", "left_anti").drop("key")
     side = lambda p, key: rows.select("process_id", F.col("row_id").alias(f"{p}_row_id"), F.col("row_seq").alias(f"{p}_row_seq"), F.col("unit").alias(f"{p}_unit"), F.col("text").alias(key)).hint("merge")
     equal = saved.filter("decision = 'casar' and x <> y").select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("v")).select("v.*")
-    forced = equal.join(side("a", "x"), "x").join(side("b", "y"), ["process_id", "y"]).filter("a_row_seq > b_row_seq").withColumn("score", F.lit(100.0))
-    return kept.unionByName(forced.select(*kept.columns)).groupBy(*[c for c in kept.columns if c != "score"]).agg(F.max("score").alias("score"))
+    forced = equal.join(side("a", "x"), "x").join(side("b", "y"), ["process_id", "y"]).filter("a_row_seq > b_row_seq").withColumns({"score": F.lit(100.0), "corrected": F.lit(True)})
+    both = kept.withColumn("corrected", F.lit(False)).unionByName(forced.select(*kept.columns, "corrected"))
+    return both.groupBy(*[c for c in kept.columns if c != "score"]).agg(F.max("score").alias("score"), F.max("corrected").alias("corrected"))
+
+
+def numbers_that_count(items: DataFrame, sanity: float) -> DataFrame:
+    """Items with ``__no``, the number that they go by, and what is doubtful about their code and number (J1 steps 2 and 3).
+
+    A later item of a known code goes by its code alone.  Any other item with a number is compared with
+    the first description of that number: if it is too unlike, the item has a row of its own,
+    under the number and its description.  ``code_desc``, ``code_score`` and ``number_desc``, ``number_score`` tell what
+    an item's code and number were first seen with and how alike it is; ``blocked`` whether its number doesn't count.
+    """
+    marked = items.withColumn("__code", normalize_code(F.col("material_code")))
+    place = F.struct("seq", "description")
+    of_code = marked.filter("__code is not null").groupBy("process_id", "__code").agg(F.min(place).alias("c"))
+    marked = marked.join(of_code.hint("merge"), ["process_id", "__code"], "left")
+    later = F.col("__code").isNotNull() & (F.col("seq") > F.col("c.seq"))
+    marked = marked.withColumn("__numbered", F.when(~F.coalesce(later, F.lit(False)), F.col("item_no")))
+    of_number = marked.filter("__numbered is not null").groupBy("process_id", "__numbered").agg(F.min(place).alias("n"))
+    marked = marked.join(of_number.hint("merge"), ["process_id", "__numbered"], "left")
+    alike = lambda c: levenshtein_score(token_sorted(normalize_desc(F.col("description"))), token_sorted(normalize_desc(F.col(c))))
+    told = lambda c: (F.trim(F.coalesce("description", F.lit(""))) != "") & (F.trim(F.coalesce(c, F.lit(""))) != "")
+    marked = marked.withColumns(
+        {
+            "code_desc": F.when(later, F.col("c.description")), "code_score": F.when(later & told("c.description"), alike("c.description")),
+            "number_desc": F.when(F.col("seq") > F.col("n.seq"), F.col("n.description")), "number_score": F.when((F.col("seq") > F.col("n.seq")) & told("n.description"), alike("n.description")),
+        }
+    )
+    blocked = F.coalesce(F.col("number_score") < sanity, F.lit(False))
+    own = F.concat("__numbered", F.lit(":"), F.substring(normalize_desc(F.col("description")), 1, 180))
+    return marked.withColumns({"blocked": blocked, "__no": F.when(blocked, own).otherwise(F.col("__numbered"))}).drop("__code", "__numbered", "c", "n")
 
 
 def resolve_items(items: DataFrame, threshold: float = 85.0, metric: str = "levenshtein", corrections: DataFrame | None = None, sanity: float | None = None) -> DataFrame:
     """Every item with its row: connected codes and numbers, else the earliest leading description that is alike.
 
-    With ``sanity``, an item whose description is unlike the first one of its number, and that has no
-    code, doesn't count as that number's.  ``matched_desc`` and ``score`` tell what an item was matched by
-    description with, or which first description of its number it is unlike.
+    With ``sanity``, numbers count as :func:`numbers_that_count` says, whose columns are kept.  ``matched_desc``
+    and ``score`` tell what an item was matched by description with, ``corrected`` that a saved decision did it and
+    ``same_unit`` that the units agree.
     """
     priced = items.withColumn("unit_price", derived_unit_price(F.col("unit_price"), F.col("total_price"), F.col("quantity")))
-    nothing = {"matched_desc": F.lit(None).cast("string"), "match_score": F.lit(None).cast("double")}
     if sanity is None:
-        priced = priced.withColumns({"__no": F.col("item_no"), **nothing})
+        priced = priced.withColumn("__no", F.col("item_no"))
     else:
-        bare = F.col("item_no").isNotNull() & normalize_code(F.col("material_code")).isNull()
-        checked = number_rows(priced.filter(bare), sanity)
-        unlike = F.col("score") < sanity
-        checked = checked.withColumns({"__no": F.substring("row_id", 3, 1 << 20), "matched_desc": F.when(unlike, F.col("first_desc")), "match_score": F.when(unlike, F.col("score"))}).drop("row_id", "score", "first_desc")
-        priced = checked.unionByName(priced.filter(~bare).withColumns({"__no": F.col("item_no"), **nothing}))
-        priced = written(priced, "numbered")
+        priced = written(numbers_that_count(priced, sanity), "numbered")
     by_key = key_components(priced.withColumn("item_no", F.col("__no")))
     rows = written(description_rows(priced), "description-rows")
     node = lambda p, r: F.concat_ws("\x01", p, r)
     pairs = corrected_pairs(rows, fuzzy_pairs(rows, threshold, metric), corrections)
-    edges = written(pairs.select(node(F.col("process_id"), F.col("a_row_id")).alias("later"), node(F.col("process_id"), F.col("b_row_id")).alias("earlier"), "score"), "description-pairs")
+    same_unit = F.coalesce(F.col("a_unit") == F.col("b_unit"), F.lit(False))
+    edges = written(pairs.select(node(F.col("process_id"), F.col("a_row_id")).alias("later"), node(F.col("process_id"), F.col("b_row_id")).alias("earlier"), "score", "corrected", same_unit.alias("same_unit")), "description-pairs")
     nodes = rows.select(node(F.col("process_id"), F.col("row_id")).alias("id"), F.col("row_seq").alias("seq"))
-    lead = leaders(nodes, edges).filter("leader is not null")
-    lead = lead.join(edges.select(F.col("later").alias("id"), F.col("earlier").alias("leader"), F.col("score").alias("lead_score")).hint("merge"), ["id", "leader"], "left")
+    lead = leaders(nodes, edges)
+    by = edges.select(F.col("later").alias("id"), F.col("earlier").alias("leader"), "score", "corrected", "same_unit")
+    lead = lead.join(by.hint("merge"), ["id", "leader"], "left")
     text = normalize_desc(F.col("description"))
     joined = priced.join(by_key.hint("merge"), ["process_id", "seq"], "left")
     joined = joined.withColumn("__node", F.when(F.col("row_id").isNull(), node(F.col("process_id"), F.concat(F.lit("D:"), text))))
     joined = joined.join(lead.hint("merge"), joined["__node"] == lead["id"], "left")
     row = F.coalesce("row_id", F.element_at(F.split("leader", "\x01"), -1))
     keyed = normalize_code(F.col("material_code")).isNotNull() | F.col("item_no").isNotNull()
-    led = F.col("lead_score").isNotNull()
-    out = joined.withColumns(
-        {
-            "row_id": row, "confidence": F.when(keyed, "alta").otherwise("média"), "score": F.coalesce("match_score", "lead_score"),
-            "matched_desc": F.when(led, F.substring(F.element_at(F.split("leader", "\x01"), -1), 3, 1 << 20)).otherwise(F.col("matched_desc")),
-        }
-    )
-    return out.filter("row_id is not null").drop("__node", "id", "leader", "__no", "match_score", "lead_score")
+    led = F.when(F.col("score").isNotNull(), F.substring(F.element_at(F.split("leader", "\x01"), -1), 3, 1 << 20))
+    out = joined.withColumns({"row_id": row, "confidence": F.when(keyed, "alta").otherwise("média"), "matched_desc": led})
+    return out.filter("row_id is not null").drop("__node", "id", "leader", "__no")
 
 
 def canonical_rows(assigned: DataFrame) -> DataFrame:
     """One row per item: first known quantity, unit, number and code; the description of W9, in closed form.
 
     Without priced items the longest description, else the longest among priced ones unless the first
-    item alone carries it; the earliest on ties.
+    item alone carries it; the earliest on ties.  A row of the master list (``is_master``, where items have it) keeps its
+    first master entry's description, number, unit and quantity whatever is quoted; only a missing code is filled in.
     """
     key = ["process_id", "row_id"]
     length = F.length(F.coalesce("description", F.lit("")))
     order = F.struct(length, -F.col("seq"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-    return assigned.groupBy(*key).agg(
-        F.min("seq").alias("row_seq"),
-        *[first(c) for c in ("quantity", "unit", "item_no", "material_code")],
+    fixed = F.coalesce("is_master", F.lit(False)) if "is_master" in assigned.columns else F.lit(False)
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    master = F.min(F.when(fixed, F.struct("seq", *[F.col(c) for c in ("quantity", "unit", "item_no", "description")])))
+    own = assigned.groupBy(*key).agg(
+        F.min("seq").alias("row_seq"), master.alias("__m"),
+        *[first(c).alias(c) for c in ("quantity", "unit", "item_no", "material_code")],
         F.coalesce(F.max_by("description", F.when(F.col("unit_price").isNotNull(), order)), F.max_by("description", order)).alias("description"),
-    )
+    )
+    kept = {c: F.when(F.col("__m").isNotNull(), F.col(f"__m.{c}")).otherwise(F.col(c)) for c in ("quantity", "unit", "item_no", "description")}
+    return own.withColumns(kept).drop("__m")
 
 
 def consensus_master(items: DataFrame, min_agree: int = 3, threshold: float = 80.0, count: str = "items") -> DataFrame:
@@ -241,62 +307,178 @@ def consensus_master(items: DataFrame, min_agree: int = 3, threshold: float = 80
     return agreed.withColumn("n", best).filter((F.col("n") == 1) & (F.col("n_agree") >= min_agree)).select("process_id", "item_no", "description", "n_agree")
 
 
+#: Earlier rows of a process whose pairs are made first; each further step takes as many times more.
+FIRST_ROWS, STEP = 4, 4
+
+
 def gray_zone_pairs(rows: DataFrame, cells: DataFrame, low: float = 60.0, high: float = 85.0, cap: int | None = 60, metric: str = "levenshtein", corrections: DataFrame | None = None) -> DataFrame:
-    """Pairs of unnumbered rows that score in [low, high), share no supplier and have no saved decision; the first ``cap`` of a process by row order, all without one."""
+    """Pairs of unnumbered rows that score in [low, high), share no supplier and have no saved decision.
+
+    With ``cap``, the first ``cap`` pairs of a process by row order: earlier rows enter in chunks of that
+    order, and a process is done once it has its pairs.  Without, all.
+    """
     own = cells.groupBy("process_id", F.col("row_id").alias("r")).agg(F.collect_set("supplier").alias("s"))
-    pairs = scored_pairs(rows, low, metric).filter(F.col("score") < high)
-    if corrections is not None:
-        decided = corrections.select(correction_key(F.col("desc_a"), F.col("desc_b")).alias("key")).distinct()
-        text = lambda c: F.substring(c, 3, 1 << 20)
-        pairs = pairs.withColumn("key", correction_key(text(F.col("a_row_id")), text(F.col("b_row_id")))).join(decided.hint("merge"), "key", "left_anti").drop("key")
-    a = own.select("process_id", F.col("r").alias("a_row_id"), F.col("s").alias("a_s"))
-    b = own.select("process_id", F.col("r").alias("b_row_id"), F.col("s").alias("b_s"))
-    joined = pairs.join(a.hint("merge"), ["process_id", "a_row_id"], "left").join(b.hint("merge"), ["process_id", "b_row_id"], "left")
-    apart = joined.filter(~F.coalesce(F.arrays_overlap("a_s", "b_s"), F.lit(False))).drop("a_s", "b_s")
+    own = written(own, "row-suppliers")
+
+    def doubtful(earlier: DataFrame | None, among: DataFrame) -> DataFrame:
+        pairs = scored_pairs(among, low, metric, earlier).filter(F.col("score") < high)
+        if corrections is not None:
+            decided = corrections.select(correction_key(F.col("desc_a"), F.col("desc_b")).alias("key")).distinct()
+            text = lambda c: F.substring(c, 3, 1 << 20)
+            pairs = pairs.withColumn("key", correction_key(text(F.col("a_row_id")), text(F.col("b_row_id")))).join(decided.hint("merge"), "key", "left_anti").drop("key")
+        a = own.select("process_id", F.col("r").alias("a_row_id"), F.col("s").alias("a_s"))
+        b = own.select("process_id", F.col("r").alias("b_row_id"), F.col("s").alias("b_s"))
+        joined = pairs.join(a.hint("merge"), ["process_id", "a_row_id"], "left").join(b.hint("merge"), ["process_id", "b_row_id"], "left")
+        return joined.filter(~F.coalesce(F.arrays_overlap("a_s", "b_s"), F.lit(False))).drop("a_s", "b_s")
+
     if cap is None:
-        return apart
-    n = F.row_number().over(Window.partitionBy("process_id").orderBy("b_row_seq", "a_row_seq"))
-    return apart.withColumn("n", n).filter(F.col("n") <= cap).drop("n")
+        return doubtful(None, rows)
+    placed = prepared(ranked(rows, "process_id", ["row_seq"], "place"))
+    # few rows: one a process
+    left = written(placed.groupBy("process_id").agg(F.max("place").alias("last")), "gray-open")
+    found, low_place, high_place = None, 0, FIRST_ROWS
+    while not left.isEmpty():
+        among = placed.join(left.select("process_id").hint("merge"), "process_id", "left_semi")
+        here = F.col("place").between(low_place, high_place - 1)
+        chunk = written(doubtful(among.filter(here).drop("place"), among.filter(F.col("place") > low_place).drop("place")), "gray-chunk")
+        found = chunk if found is None else found.unionByName(chunk)
+        full = found.groupBy("process_id").count().filter(F.col("count") >= cap).select("process_id")
+        before, left = left, written(left.filter(F.col("last") >= high_place).join(full.hint("merge"), "process_id", "left_anti"), "gray-open")
+        drop(before)
+        low_place, high_place = high_place, high_place * STEP
+    if found is None:
+        return doubtful(None, rows)
+    first = ranked(found, "process_id", ["b_row_seq", "a_row_seq"], "n").filter(F.col("n") < cap).drop("n")
+    return first
 
 
 def judge_batches(pairs: DataFrame, size: int = 20) -> DataFrame:
     """Pairs in batches of ``size`` per process (K4)."""
-    n = F.row_number().over(Window.partitionBy("process_id").orderBy("b_row_seq", "a_row_seq"))
-    return pairs.withColumn("batch_id", F.floor((n - 1) / size).cast("int"))
+    return ranked(pairs, "process_id", ["b_row_seq", "a_row_seq"], "n").withColumn("batch_id", F.floor(F.col("n") / size).cast("int")).drop("n")
+
+
+# -- merging by verdicts -------------------------------------------------------------------------------
+
+_MERGE = "row_id string, absorbed_by string, pair_id long"
+
+
+def _merges_of_component(pairs: pd.DataFrame) -> pd.DataFrame:
+    """(row_id, absorbed_by, pair_id): the merges of one component's pairs, in their order."""
+    into: dict[str, str] = {}
+    names: dict[str, set] = {}
+    sizes: dict[str, int] = {}
+    out = []
+
+    def root(r: str) -> str:
+        while r in into:
+            r = into[r]
+        return r
+
+    for p in pairs.sort_values(["seq_a", "seq_b"]).itertuples():
+        for r, s, n in ((p.src, p.s_a, p.n_a), (p.dst, p.s_b, p.n_b)):
+            names.setdefault(r, set(s))
+            sizes[r] = n
+        x, y = root(p.src), root(p.dst)
+        if x == y or names[x] & names[y]:
+            continue
+        x, y = (y, x) if sizes[y] > sizes[x] else (x, y)
+        into[y] = x
+        names[x] |= names[y]
+        out.append((y, x, p.pair_id))
+    return pd.DataFrame(out, columns=["row_id", "absorbed_by", "pair_id"])
+
+
+def _merges_by_rounds(pairs: DataFrame) -> DataFrame:
+    """The same in rounds: a pair is taken when it is the first open one of both its rows' roots.
+
+    A root's suppliers and its description's length travel with it; pairs within a root, and
+    pairs of roots that share a supplier, go as soon as they do, as roots only grow.
+    """
+    order = F.struct("seq_a", "seq_b")
+    side = lambda r, s, n: pairs.select(F.col(r).alias("r"), F.col(s).alias("s"), F.col(n).alias("n"))
+    roots = written(side("src", "s_a", "n_a").unionByName(side("dst", "s_b", "n_b")).dropDuplicates(["r"]), "merge-roots")
+    open_pairs = written(pairs.select("src", "dst", "pair_id", order.alias("o")), "merge-pairs")
+    taken_all = None
+    while True:
+        x = roots.select(F.col("r").alias("src"), F.col("s").alias("s_x"), F.col("n").alias("n_x")).hint("merge")
+        y = roots.select(F.col("r").alias("dst"), F.col("s").alias("s_y"), F.col("n").alias("n_y")).hint("merge")
+        apart = open_pairs.filter("src <> dst").join(x, "src").join(y, "dst").filter(~F.arrays_overlap("s_x", "s_y"))
+        apart = written(apart, "merge-apart")
+        if apart.isEmpty():
+            break
+        first = apart.select(F.explode(F.array("src", "dst")).alias("r"), "o").groupBy("r").agg(F.min("o").alias("o"))
+        first = written(first, "merge-first")
+        of = lambda c: first.select(F.col("r").alias(c), "o").hint("merge")
+        taken = apart.join(of("src"), ["src", "o"], "left_semi").join(of("dst"), ["dst", "o"], "left_semi")
+        swap = F.col("n_y") > F.col("n_x")
+        taken = written(
+            taken.select(F.when(swap, F.col("src")).otherwise(F.col("dst")).alias("row_id"), F.when(swap, F.col("dst")).otherwise(F.col("src")).alias("absorbed_by"), "pair_id", "o", F.when(swap, F.col("s_x")).otherwise(F.col("s_y")).alias("s")), "merge-taken"
+        )
+        taken_all = taken if taken_all is None else taken_all.unionByName(taken)
+        grown = taken.select(F.col("absorbed_by").alias("r"), F.col("s").alias("more"))
+        rest = roots.join(taken.select(F.col("row_id").alias("r")).hint("merge"), "r", "left_anti").join(grown.hint("merge"), "r", "left")
+        following = written(rest.select("r", F.array_union("s", F.coalesce("more", F.array().cast("array<string>"))).alias("s"), "n"), "merge-roots")
+        moved = lambda c: taken.select(F.col("row_id").alias(c), F.col("absorbed_by").alias(f"to_{c}")).hint("merge")
+        left = apart.select("src", "dst", "pair_id", "o").join(taken.select("pair_id").hint("merge"), "pair_id", "left_anti").join(moved("src"), "src", "left").join(moved("dst"), "dst", "left")
+        left = written(left.select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst"), "pair_id", "o"), "merge-pairs")
+        drop(roots, open_pairs, apart, first)
+        roots, open_pairs = following, left
+    if taken_all is None:
+        return pairs.select(F.col("src").alias("row_id"), F.col("dst").alias("absorbed_by"), "pair_id").limit(0)
+    return taken_all.select("row_id", "absorbed_by", "pair_id")
+
+
+def _final_roots(merges: DataFrame) -> DataFrame:
+    """``merges`` with ``merged_into``, where the chain of absorbed_by ends: each step doubles how far it is followed."""
+    reach = written(merges.select("row_id", F.col("absorbed_by").alias("merged_into")), "merge-reach")
+    while True:
+        beyond = reach.select(F.col("row_id").alias("__via"), F.col("merged_into").alias("__to"))
+        joined = reach.join(beyond.hint("merge"), F.col("merged_into") == F.col("__via"), "left")
+        following = written(joined.select("row_id", F.coalesce("__to", "merged_into").alias("merged_into"), F.col("__to").isNotNull().alias("moved")), "merge-reach")
+        drop(reach)
+        reach = following.drop("moved")
+        if following.filter("moved").isEmpty():
+            break
+    return merges.join(reach.hint("merge"), "row_id")
 
 
-def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, cells: DataFrame, min_confidence: float = 70.0) -> DataFrame:
-    """(process_id, row_id, merged_into) of the rows that approved pairs merge.
+def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, cells: DataFrame, descriptions: DataFrame, min_confidence: float = 70.0, local: int = LOCAL_EDGES) -> DataFrame:
+    """(process_id, row_id, absorbed_by, merged_into, pair_id) of the rows that approved pairs merge.
 
-    Pairs (pair_id, process_id, row_a, row_b) are taken in pair order; a pair whose rows by then share a
-    supplier is skipped.  A process has few pairs, so each is one group.
+    ``pairs``: pair_id, process_id, row_a, row_b, seq_a, seq_b; they are taken in the order of their rows.  Two
+    rows' groups that share a supplier by then stay apart; the row with the longer of ``descriptions``
+    (process_id, row_id, description) absorbs the other, on ties the first.  ``merged_into`` is where a row
+    ends up.  Components of up to ``local`` pairs are solved whole, larger ones in rounds.
     """
+    node = lambda r: F.concat_ws("\x01", "process_id", r)
     approved = pairs.join(verdicts.hint("merge"), "pair_id").filter(F.col("same_item") & (F.col("confidence") >= min_confidence))
-    own = cells.groupBy("process_id", "row_id").agg(F.collect_set("supplier").alias("s"))
-    a = own.select("process_id", F.col("row_id").alias("row_a"), F.col("s").alias("s_a"))
-    b = own.select("process_id", F.col("row_id").alias("row_b"), F.col("s").alias("s_b"))
-    joined = approved.join(a.hint("merge"), ["process_id", "row_a"], "left").join(b.hint("merge"), ["process_id", "row_b"], "left").select("process_id", "pair_id", "row_a", "row_b", "s_a", "s_b")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        into: dict[str, str] = {}
-        names: dict[str, set] = {}
-
-        def root(r: str) -> str:
-            while r in into:
-                r = into[r]
-            return r
-
-        for p in pdf.sort_values("pair_id").itertuples():
-            names.setdefault(p.row_a, set(p.s_a) if p.s_a is not None else set())
-            names.setdefault(p.row_b, set(p.s_b) if p.s_b is not None else set())
-            x, y = root(p.row_a), root(p.row_b)
-            if x == y or names[x] & names[y]:
-                continue
-            into[y] = x
-            names[x] |= names[y]
-        return pd.DataFrame([(pdf["process_id"].iloc[0], r, root(r)) for r in into], columns=["process_id", "row_id", "merged_into"])
-
-    return joined.groupBy("process_id").applyInPandas(merge, "process_id string, row_id string, merged_into string")
+    own = cells.groupBy(node("row_id").alias("r")).agg(F.collect_set("supplier").alias("s"))
+    sizes = descriptions.groupBy(node("row_id").alias("r")).agg(F.max(F.length(F.coalesce("description", F.lit("")))).alias("n"))
+    known = written(own.join(sizes.hint("merge"), "r", "full"), "merge-rows")
+    side = lambda c, p: known.select(F.col("r").alias(c), F.col("s").alias(f"s_{p}"), F.col("n").alias(f"n_{p}")).hint("merge")
+    linked = approved.select(node("row_a").alias("src"), node("row_b").alias("dst"), "pair_id", "seq_a", "seq_b").join(side("src", "a"), "src", "left").join(side("dst", "b"), "dst", "left")
+    none = F.array().cast("array<string>")
+    linked = linked.withColumns({f"s_{p}": F.coalesce(f"s_{p}", none) for p in "ab"} | {f"n_{p}": F.coalesce(f"n_{p}", F.lit(0)) for p in "ab"})
+    linked = written(linked, "merge-links")
+    small, large, tables = split_by_component(linked, local)
+    merges = solve_small(small, _merges_of_component, _MERGE)
+    if not large.isEmpty():
+        merges = merges.unionByName(_merges_by_rounds(large))
+    merges = written(merges, "merges")
+    drop(known, linked, *tables)
+    part = lambda c, k: F.element_at(F.split(c, "\x01"), k)
+    return _final_roots(merges).select(part("row_id", 1).alias("process_id"), *[part(c, -1).alias(c) for c in ("row_id", "absorbed_by", "merged_into")], "pair_id")
+
+
+def verdict_reviews(pairs: DataFrame, verdicts: DataFrame, merges: DataFrame, descriptions: DataFrame, min_confidence: float = 70.0) -> DataFrame:
+    """Review rows of the verdicts: those that merged rows, and those that say the same item but aren't sure enough."""
+    text = lambda c: descriptions.select("process_id", F.col("row_id").alias(c), F.col("description").alias(f"{c}_desc")).hint("merge")
+    score = F.floor("confidence").cast("double").alias("score")
+    done = merges.join(verdicts.hint("merge"), "pair_id").join(text("row_id"), ["process_id", "row_id"], "left").join(text("absorbed_by"), ["process_id", "absorbed_by"], "left")
+    done = done.select("process_id", F.lit("casado pela IA juiz").alias("kind"), F.col("row_id_desc").alias("new_desc"), F.col("absorbed_by_desc").alias("matched_desc"), score)
+    unsure = pairs.join(verdicts.hint("merge"), "pair_id").filter(F.col("same_item") & (F.col("confidence") < min_confidence)).join(text("row_a"), ["process_id", "row_a"], "left").join(text("row_b"), ["process_id", "row_b"], "left")
+    unsure = unsure.select("process_id", F.lit("IA juiz: possível mesmo item (confiança baixa, não fundido)").alias("kind"), F.col("row_b_desc").alias("new_desc"), F.col("row_a_desc").alias("matched_desc"), score)
+    return done.unionByName(unsure)
 
 
 def duplicate_suppliers(names: DataFrame, threshold: float = 90.0) -> DataFrame:

@@ -31,8 +31,11 @@ MESSAGES = """SELECT CONCAT('P', CAST(CAST(FLOOR(event_id / 50) AS BIGINT) % 20
 FROM {events}"""
 
 ATTACHMENTS = """SELECT doc_id AS ingest_seq, CAST(FLOOR(doc_id / 4) AS BIGINT) AS message_id, doc_id % 4 AS pos, lang AS sender, source, text AS content,
-       CASE doc_id % 8 WHEN 0 THEN 'cotacao_n.pdf' WHEN 1 THEN 'cotacao_n.xlsx' WHEN 2 THEN 'catalogo_n.pdf' WHEN 3 THEN 'proposta-n.docx'
-                       WHEN 4 THEN 'img_n.png' WHEN 5 THEN 'n.xlsx' WHEN 6 THEN 'logo.pdf' ELSE 'planilha_precos.csv' END AS name,
+       CASE doc_id % 16 WHEN 0 THEN 'cotacao_n.pdf' WHEN 1 THEN 'cotacao_n.xlsx' WHEN 2 THEN 'catalogo_n.pdf' WHEN 3 THEN 'proposta-n.docx'
+                        WHEN 4 THEN 'img_n.png' WHEN 5 THEN 'n.xlsx' WHEN 6 THEN 'logo.pdf' WHEN 7 THEN 'planilha_precos.csv'
+                        WHEN 8 THEN 'cotacoa_n.pdf' WHEN 9 THEN 'Orcamneto.XLSX' WHEN 10 THEN 'catalgo.pdf' WHEN 11 THEN 'boletos_2024.pdf'
+                        WHEN 12 THEN 'fotto.docx' WHEN 13 THEN 'valro.csv' WHEN 14 THEN 'prposta.pdf' ELSE 'cotacao_scan.pdf' END AS name,
+       CASE WHEN doc_id % 16 = 15 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime,
        CASE CAST(FLOOR(doc_id / 4) AS BIGINT) % 3 WHEN 0 THEN 'orcamento_recebido' WHEN 1 THEN 'pedido_orcamento' ELSE 'duvida' END AS message_type
 FROM {documents}"""
 

@@ -12,6 +12,7 @@ from pricemap.operators import attachments, checks, coverage, documents, enrichm
 from pricemap.plans.bindings import ATTACHMENTS, DOCUMENTS, ITEMS, MESSAGES, USAGE, bound, items, messages, table, twin
 from pricemap.sources import store
 from pricemap.streaming import ingest
+from pricemap.streaming import participations as streamed
 from pricemap.work import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,24 +173,26 @@ def fuzzy_pairs_lev(spark: SparkSession, d: str) -> DataFrame:
     return resolve.fuzzy_pairs(resolve.description_rows(items(spark, d)))
 
 
-@query(f"""WITH {SQL_PAIRS}, s AS (SELECT process_id, 'D:' || {SQL_DESC} AS row_id, list(DISTINCT supplier) AS s FROM items GROUP BY ALL)
-SELECT p.* FROM pairs p LEFT JOIN s x ON x.process_id = p.process_id AND x.row_id = a_row_id LEFT JOIN s y ON y.process_id = p.process_id AND y.row_id = b_row_id
-WHERE score >= 60 AND score < 85 AND NOT coalesce(list_has_any(x.s, y.s), false)
-QUALIFY row_number() OVER (PARTITION BY p.process_id ORDER BY b_row_seq, a_row_seq) <= 60""")
+SQL_GRAY = f"""{SQL_PAIRS}, s AS (SELECT process_id, 'D:' || {SQL_DESC} AS row_id, list(DISTINCT supplier) AS s FROM items GROUP BY ALL),
+doubtful AS (SELECT p.*, x.s AS a_s, y.s AS b_s FROM pairs p LEFT JOIN s x ON x.process_id = p.process_id AND x.row_id = a_row_id LEFT JOIN s y ON y.process_id = p.process_id AND y.row_id = b_row_id
+  WHERE score >= 60 AND score < 85 AND NOT coalesce(list_has_any(x.s, y.s), false)),
+gray AS (SELECT * FROM doubtful QUALIFY row_number() OVER (PARTITION BY process_id ORDER BY b_row_seq, a_row_seq) <= 60)"""
+
+
+def sellers(spark: SparkSession, d: str) -> DataFrame:
+    """Who quotes each description."""
+    return items(spark, d).select("process_id", F.concat(F.lit("D:"), text.normalize_desc(F.col("description"))).alias("row_id"), "supplier")
+
+
+@query(f"WITH {SQL_GRAY} SELECT * EXCLUDE (a_s, b_s) FROM gray")
 def gray_zone_pairs_lev(spark: SparkSession, d: str) -> DataFrame:
-    own = items(spark, d)
-    sellers = own.select("process_id", F.concat(F.lit("D:"), text.normalize_desc(F.col("description"))).alias("row_id"), "supplier")
-    return resolve.gray_zone_pairs(resolve.description_rows(own), sellers)
+    return resolve.gray_zone_pairs(resolve.description_rows(items(spark, d)), sellers(spark, d))
 
 
-@query(f"""WITH {SQL_PAIRS}, s AS (SELECT process_id, 'D:' || {SQL_DESC} AS row_id, list(DISTINCT supplier) AS s FROM items GROUP BY ALL)
-SELECT p.* FROM pairs p LEFT JOIN s x ON x.process_id = p.process_id AND x.row_id = a_row_id LEFT JOIN s y ON y.process_id = p.process_id AND y.row_id = b_row_id
-WHERE score >= 70 AND score < 85 AND NOT coalesce(list_has_any(x.s, y.s), false)""")
+@query(f"WITH {SQL_GRAY} SELECT * EXCLUDE (a_s, b_s) FROM doubtful")
 def gray_zone_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of the upper gray zone, whatever their number."""
-    own = items(spark, d)
-    sellers = own.select("process_id", F.concat(F.lit("D:"), text.normalize_desc(F.col("description"))).alias("row_id"), "supplier")
-    return resolve.gray_zone_pairs(resolve.description_rows(own), sellers, low=70.0, cap=None)
+    """Every pair of the gray zone, whatever their number."""
+    return resolve.gray_zone_pairs(resolve.description_rows(items(spark, d)), sellers(spark, d), cap=None)
 
 
 @query(f"""WITH {SQL_ITEMS}, g AS (SELECT process_id, item_no, trim(description) AS description, count(*) AS w, min(seq) AS seq FROM items WHERE item_no IS NOT NULL AND trim(description) <> '' GROUP BY ALL),
@@ -242,13 +245,47 @@ def token_set_ratio(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.round(similarity.token_set_ratio(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_type", "p_brand")), 4).alias("ratio"))
 
 
-@query()
+#: Made verdicts: two thirds say the same item, with a confidence of 60 to 99.
+SQL_JUDGED = f"""{SQL_GRAY},
+judged AS (SELECT *, (a_row_seq + b_row_seq) % 3 > 0 AS same_item, 60 + (a_row_seq + 7 * b_row_seq) % 40 AS confidence FROM gray),
+approved AS (SELECT *, row_number() OVER (PARTITION BY process_id ORDER BY b_row_seq, a_row_seq) AS k FROM judged WHERE same_item AND confidence >= 70),
+ends AS (SELECT process_id, a_row_id AS r, a_s AS s FROM approved UNION SELECT process_id, b_row_id, b_s FROM approved),
+merging AS (
+  SELECT process_id, CAST(0 AS BIGINT) AS k, list({{'r': r, 't': r}}) AS roots, list({{'t': r, 's': coalesce(s, []), 'n': length(r)}}) AS known, CAST(NULL AS VARCHAR) AS row_id, CAST(NULL AS VARCHAR) AS absorbed_by, CAST(NULL AS BIGINT) AS confidence FROM ends GROUP BY ALL
+  UNION ALL
+  SELECT process_id, k, CASE WHEN takes THEN list_transform(roots, lambda e: CASE WHEN e.t = low THEN {{'r': e.r, 't': top}} ELSE e END) ELSE roots END,
+    CASE WHEN takes THEN list_transform(known, lambda e: CASE WHEN e.t = top THEN {{'t': e.t, 's': list_concat(x.s, y.s), 'n': e.n}} ELSE e END) ELSE known END,
+    CASE WHEN takes THEN low END, CASE WHEN takes THEN top END, CASE WHEN takes THEN confidence END
+  FROM (SELECT *, x.t <> y.t AND NOT list_has_any(x.s, y.s) AS takes, CASE WHEN y.n > x.n THEN y.t ELSE x.t END AS top, CASE WHEN y.n > x.n THEN x.t ELSE y.t END AS low
+    FROM (SELECT *, list_filter(known, lambda e: e.t = x_t)[1] AS x, list_filter(known, lambda e: e.t = y_t)[1] AS y
+      FROM (SELECT m.process_id, p.k, m.roots, m.known, p.confidence, list_filter(m.roots, lambda e: e.r = p.b_row_id)[1].t AS x_t, list_filter(m.roots, lambda e: e.r = p.a_row_id)[1].t AS y_t
+        FROM merging m JOIN approved p ON p.process_id = m.process_id AND p.k = m.k + 1)))),
+final AS (SELECT process_id, unnest(arg_max(roots, k), max_depth := 2) FROM merging GROUP BY process_id)"""
+
+
+def judged_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The gray zone's pairs and made verdicts on them."""
+    gray = gray_zone_pairs_lev(spark, d).withColumn("pair_id", F.xxhash64("process_id", "a_row_id", "b_row_id"))
+    verdicts = gray.select("pair_id", ((F.col("a_row_seq") + F.col("b_row_seq")) % 3 > 0).alias("same_item"), (60 + (F.col("a_row_seq") + 7 * F.col("b_row_seq")) % 40).cast("double").alias("confidence"))
+    return gray.select("pair_id", "process_id", F.col("b_row_id").alias("row_a"), F.col("a_row_id").alias("row_b"), F.col("b_row_seq").alias("seq_a"), F.col("a_row_seq").alias("seq_b")), verdicts
+
+
+def _descriptions(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.description_rows(items(spark, d)).select("process_id", "row_id", F.col("text").alias("description"))
+
+
+@query(f"WITH RECURSIVE {SQL_JUDGED} SELECT process_id, row_id, absorbed_by, t AS merged_into FROM merging JOIN final USING (process_id) WHERE row_id IS NOT NULL AND r = row_id")
 def apply_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    own = items(spark, d)
-    pairs = gray_zone_pairs_lev(spark, d).select(F.xxhash64("process_id", "a_row_id", "b_row_id").alias("pair_id"), "process_id", F.col("b_row_id").alias("row_a"), F.col("a_row_id").alias("row_b"))
-    verdicts = pairs.select("pair_id", (F.pmod("pair_id", F.lit(3)) > 0).alias("same_item"), (F.lit(60.0) + F.pmod("pair_id", F.lit(40))).alias("confidence"))
-    sellers = own.select("process_id", F.concat(F.lit("D:"), text.normalize_desc(F.col("description"))).alias("row_id"), "supplier")
-    return resolve.apply_verdicts(pairs, verdicts, sellers)
+    return resolve.apply_verdicts(*judged_pairs(spark, d), sellers(spark, d), _descriptions(spark, d)).drop("pair_id")
+
+
+@query(f"""WITH RECURSIVE {SQL_JUDGED} SELECT process_id, 'casado pela IA juiz' AS kind, row_id[3:] AS new_desc, absorbed_by[3:] AS matched_desc, CAST(confidence AS DOUBLE) AS score FROM merging WHERE row_id IS NOT NULL
+UNION ALL SELECT process_id, 'IA juiz: possível mesmo item (confiança baixa, não fundido)', a_row_id[3:], b_row_id[3:], CAST(confidence AS DOUBLE) FROM judged WHERE same_item AND confidence < 70""")
+def verdict_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """What the verdicts leave to look at."""
+    pairs, verdicts = judged_pairs(spark, d)
+    texts = _descriptions(spark, d)
+    return resolve.verdict_reviews(pairs, verdicts, resolve.apply_verdicts(pairs, verdicts, sellers(spark, d), texts), texts)
 
 
 SQL_GREEDY = f"""{SQL_ITEMS}, a AS (SELECT file_id, seq, description, unit, quantity, {SQL_TOKENS.format('description')} AS t FROM items),
@@ -390,26 +427,34 @@ def template_barrier(spark: SparkSession, d: str) -> DataFrame:
     return attachments.drop_templates(attached(spark, d), F.col("source") == "src0").select("ingest_seq", "source", "sha256")
 
 
-SQL_SCORED = f"""{SQL_ATT}, sc AS (SELECT *, CASE WHEN name LIKE '%.png' OR name IN ('catalogo_n.pdf', 'logo.pdf') THEN -1
-  ELSE CASE WHEN name = 'n.xlsx' THEN CASE WHEN message_type = 'orcamento_recebido' THEN 6 ELSE -1 END
-  ELSE CASE WHEN name LIKE '%.docx' THEN 2 ELSE 3 END + CASE WHEN name = 'planilha_precos.csv' THEN 6 ELSE 3 END + CASE WHEN name = 'cotacao_n.pdf' THEN 2 ELSE 0 END
-       + CASE message_type WHEN 'orcamento_recebido' THEN 3 WHEN 'pedido_orcamento' THEN -2 ELSE 0 END END END AS score FROM att WHERE name NOT LIKE '%.csv' OR true)"""
+#: Points of each made name: of its ending, its words for and against (misspelt ones too), and a word that a PDF gains by.
+NAME_POINTS = [
+    ("cotacao_n.pdf", 3, 1, 0, 2), ("cotacao_n.xlsx", 3, 1, 0, 0), ("catalogo_n.pdf", 3, 0, 1, 0), ("proposta-n.docx", 2, 1, 0, 0), ("n.xlsx", 3, 0, 0, 0), ("planilha_precos.csv", 3, 2, 0, 0), ("cotacoa_n.pdf", 3, 1, 0, 0),
+    ("Orcamneto.XLSX", 3, 1, 0, 0), ("catalgo.pdf", 3, 0, 1, 0), ("boletos_2024.pdf", 3, 0, 1, 0), ("fotto.docx", 2, 0, 1, 0), ("valro.csv", 3, 0, 0, 0), ("prposta.pdf", 3, 1, 0, 0), ("cotacao_scan.pdf", 3, 1, 0, 2), ("img_n.png", 0, 0, 0, 0), ("logo.pdf", 3, 0, 1, 0),
+]
+SQL_SCORED = f"""{SQL_ATT}, np(name, ext, pos, neg, pdf) AS (VALUES {", ".join(map(str, NAME_POINTS))}),
+sc AS (SELECT * EXCLUDE (ext, pos_1, neg, pdf, total), CASE WHEN name LIKE '%.png' THEN -99 WHEN mime LIKE 'image/%' OR name = 'logo.pdf' THEN -10 WHEN neg > 0 AND neg >= pos_1 THEN -3 * neg WHEN pos_1 = 0 AND message_type <> 'orcamento_recebido' THEN -1 ELSE total END AS score,
+  CASE WHEN name LIKE '%.png' THEN 'extensao_nao_suportada' WHEN mime LIKE 'image/%' THEN 'mime_imagem' WHEN name = 'logo.pdf' THEN 'prefixo_negativo' WHEN neg > 0 AND neg >= pos_1 THEN 'sinal_negativo' WHEN pos_1 = 0 AND message_type <> 'orcamento_recebido' THEN 'sem_indicio_textual' WHEN total <= 0 THEN 'baixo_sinal_de_orcamento' ELSE 'candidato_valido' END AS reason
+  FROM (SELECT att.*, ext, np.pos AS pos_1, neg, pdf, ext + 3 * np.pos + pdf + CASE message_type WHEN 'orcamento_recebido' THEN 3 WHEN 'pedido_orcamento' THEN -2 ELSE 0 END AS total FROM att JOIN np USING (name)))"""
+
+
+@query(f"WITH {SQL_SCORED} SELECT ingest_seq, CAST(score AS INT) AS score, reason FROM sc")
+def attachment_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every attachment's score with its reason, misspelt words of its name included."""
+    return attachments.scored_attachments(attached(spark, d)).select("ingest_seq", "score", "reason")
 
 
 @query(f"""WITH {SQL_SCORED}, good AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY score DESC, pos) AS rk FROM sc WHERE score > 0),
 gw AS (SELECT *, bool_or(rk = 1 AND name NOT LIKE '%.pdf' AND contains(name, 'cota')) OVER (PARTITION BY message_id) AS gives FROM good)
 SELECT message_id, name, pos, score FROM gw QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY CASE WHEN gives AND name LIKE '%.pdf' AND contains(name, 'cota') THEN 0 ELSE 1 END, CASE WHEN gives AND name LIKE '%.pdf' AND contains(name, 'cota') THEN pos ELSE rk END, pos) = 1""")
 def best_attachment(spark: SparkSession, d: str) -> DataFrame:
-    own = attached(spark, d)
-    score, _ = attachments.attachment_score(F.col("name"), F.lit("application/octet-stream"), F.col("message_type"), fuzzy=False)
-    return attachments.best_attachment(own.withColumn("score", score)).select("message_id", "name", "pos", "score")
+    return attachments.best_attachment(attachments.scored_attachments(attached(spark, d))).select("message_id", "name", "pos", "score")
 
 
 @query(f"""WITH {SQL_SCORED}, m AS (SELECT *, row_number() OVER (PARTITION BY sha256, sender ORDER BY ingest_seq) AS n, sha256 IN (SELECT sha256 FROM sc WHERE source = 'src0') AS tpl FROM sc)
 SELECT ingest_seq, CASE WHEN source = 'src0' THEN 'institutional' WHEN tpl THEN 'template' WHEN n > 1 THEN 'duplicate' WHEN score <= 0 THEN 'rejected' ELSE 'accepted' END AS disposition FROM m""")
 def attachment_dispositions(spark: SparkSession, d: str) -> DataFrame:
-    score, _ = attachments.attachment_score(F.col("name"), F.lit("application/octet-stream"), F.col("message_type"), fuzzy=False)
-    own = attached(spark, d).withColumn("score", score)
+    own = attachments.scored_attachments(attached(spark, d))
     return attachments.dispositions(own, F.col("source") == "src0").select("ingest_seq", "disposition")
 
 
@@ -439,15 +484,15 @@ def _ingested(spark: SparkSession, d: str) -> str:
     return out
 
 
-@query(f"WITH {SQL_MESSAGES} SELECT process_id, from_email, bool_or(type = 'pedido_orcamento') AS asked, bool_or(type = 'orcamento_recebido') AS sent_quote, bool_or(type = 'declinio') AS declined, bool_or(type = 'confirmacao_leitura') AS read_ok FROM messages WHERE ingest_seq % 10 <> 9 GROUP BY ALL")
+@query(f"WITH {SQL_PART} SELECT * FROM part")
 def stream_participations(spark: SparkSession, d: str) -> DataFrame:
-    """Participations kept up over the batches of a stream of messages."""
-    events = table(spark, d, "events").filter("event_id % 10 <> 9")
+    """Participations kept up over a stream of all messages, dealt to batches so that repeats and earlier arrivals come late."""
+    events = table(spark, d, "events")
     parts, out, state = (new_folder(spark, name) for name in ("stream-in", "participations", "stream-state"))
-    events.repartition(3, "event_id").write.parquet(parts)
+    events.repartition(3, F.hash("event_id") % 3).write.parquet(parts)
     stream = spark.sql(MESSAGES, events=spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(parts))
-    ingest.follow_participations(stream.withColumn("sent_at", F.col("sent_at").cast("timestamp")), out, state).awaitTermination()
-    return ingest.latest_participations(spark, out).select("process_id", "from_email", "asked", "sent_quote", "declined", "read_ok")
+    streamed.follow_participations(stream, out, state).awaitTermination()
+    return streamed.latest_participations(spark, out).withColumns({c: F.col(c).cast(messages(spark, d).schema["sent_at"].dataType) for c in ("requested_at", "first_reply_at")})
 
 
 # -- documents and text --------------------------------------------------------------------------------
@@ -554,6 +599,34 @@ def asof_request_date(spark: SparkSession, d: str) -> DataFrame:
     return own.select("conv_id", "turn", "role", F.to_timestamp_ntz(dates.request_date(found, F.lit("2024-05-12 00:00:00").cast("timestamp"))).alias("requested_at"))
 
 
+#: Dates that replies quote: up to two a message, before it and after it, on the day or none.
+SQL_QUOTED = f"""{SQL_MESSAGES}, quoted AS (SELECT process_id, message_id, sent_at - to_days(CAST(ingest_seq % 4 AS INT)) AS said_at FROM messages WHERE ingest_seq % 3 <> 0
+  UNION ALL SELECT process_id, message_id, sent_at + to_days(CAST(1 + ingest_seq % 2 AS INT)) FROM messages WHERE ingest_seq % 2 = 0)"""
+
+
+def quoted_dates(spark: SparkSession, d: str) -> DataFrame:
+    own = messages(spark, d)
+    shifted = lambda n: (F.col("sent_at") + F.make_dt_interval(n.cast("int"))).alias("at")
+    before = own.filter("ingest_seq % 3 <> 0").select("process_id", "message_id", shifted(-(F.col("ingest_seq") % 4)))
+    return before.unionByName(own.filter("ingest_seq % 2 = 0").select("process_id", "message_id", shifted(1 + F.col("ingest_seq") % 2)))
+
+
+@query(f"""WITH {SQL_QUOTED}, q AS (SELECT f.process_id, f.message_id, max(said_at) FILTER (said_at <= sent_at) AS up_to, max(said_at) AS latest FROM fresh f JOIN quoted USING (process_id, message_id) GROUP BY ALL)
+SELECT process_id, message_id, coalesce(up_to, latest) AS quoted_at FROM fresh LEFT JOIN q USING (process_id, message_id)""")
+def asof_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """The date of the request that each message answers: the latest quoted one up to it, else the latest."""
+    return participation.with_quoted_dates(fresh(spark, d), quoted_dates(spark, d)).select("process_id", "message_id", "quoted_at")
+
+
+@query(f"""WITH {SQL_QUOTED}, q AS (SELECT f.process_id, f.message_id, max(said_at) FILTER (said_at <= sent_at) AS up_to, max(said_at) AS latest FROM fresh f JOIN quoted USING (process_id, message_id) GROUP BY ALL),
+m AS (SELECT f.*, CASE WHEN type = 'pedido_orcamento' THEN sent_at WHEN type IN ('orcamento_recebido', 'declinio', 'duvida') THEN coalesce(up_to, latest) END AS asked_at FROM fresh f LEFT JOIN q USING (process_id, message_id))
+SELECT process_id, from_email, bool_or(type = 'pedido_orcamento') AS asked, bool_or(type = 'orcamento_recebido') AS sent_quote, bool_or(type = 'declinio') AS declined, bool_or(type = 'confirmacao_leitura') AS read_ok,
+arg_min(asked_at, ingest_seq) FILTER (asked_at IS NOT NULL) AS requested_at, arg_min(sent_at, ingest_seq) FILTER (type IN ('orcamento_recebido', 'declinio', 'duvida')) AS first_reply_at FROM m GROUP BY ALL""")
+def participation_inferred(spark: SparkSession, d: str) -> DataFrame:
+    """Participations whose request may be known only from a reply's quoted history."""
+    return participation.participations(participation.with_quoted_dates(fresh(spark, d), quoted_dates(spark, d)))
+
+
 SQL_COMPANIES = """a AS (SELECT s_suppkey, CONCAT(s_name, CASE s_suppkey % 3 WHEN 0 THEN ' LTDA' WHEN 1 THEN ' Comércio ME' ELSE '' END) AS name FROM {supplier}),
 b AS (SELECT c_custkey, CONCAT('Supplier ', c_name) AS name FROM {customer})"""
 

@@ -8,24 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pricemap.operators.participation import new_messages
 
-PAIR = ["process_id", "from_email"]
-
-
-def distinct_messages(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """A stream without messages that came before under the same id, for streams in order: what is over ``delay`` late is dropped."""
-    return messages.withWatermark("sent_at", delay).dropDuplicatesWithinWatermark(["process_id", "message_id"])
-
-
-def running_participations(messages: DataFrame) -> DataFrame:
-    """Flags and first dates of each sender so far; complete or update mode keeps one state row per pair."""
-    kind = F.col("type")
-    first = lambda test: F.min(F.when(test & F.col("sent_at").isNotNull(), F.struct("ingest_seq", "sent_at")))
-    return messages.groupBy(*PAIR).agg(
-        F.max(kind == "pedido_orcamento").alias("asked"), F.max(kind == "orcamento_recebido").alias("sent_quote"), F.max(kind == "declinio").alias("declined"),
-        F.max(kind == "confirmacao_leitura").alias("read_ok"), first(kind == "pedido_orcamento")["sent_at"].alias("requested_at"),
-        first(kind.isin("orcamento_recebido", "declinio", "duvida"))["sent_at"].alias("first_reply_at"),
-    )
-
 
 def _stored(spark, path: str) -> DataFrame | None:
     """The table below ``path``, None before the first write."""
@@ -47,19 +29,3 @@ def ingest(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def follow_participations(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the participations of a stream of messages as a table: each batch's pairs replace what was known of them."""
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return running_participations(messages).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_participations(spark, path: str) -> DataFrame:
-    """The newest state of each pair that :func:`follow_participations` wrote."""
-    table = spark.read.parquet(path)
-    own = [c for c in table.columns if c not in (*PAIR, "batch")]
-    return table.groupBy(*PAIR).agg(F.max_by(F.struct(*own), "batch").alias("v")).select(*PAIR, "v.*")
