@@ -134,11 +134,19 @@ def shown_rows(mapped: DataFrame) -> DataFrame:
 
 def wide_map(cells: DataFrame, names: list[str]) -> DataFrame:
     """The map as it is read: per row one price column per supplier of ``names`` (a process' list is bounded), the lowest
-    price and who has it, and which suppliers' cells are of low confidence (S11)."""
+    price, who has it, all suppliers that have it, and whose cells are of low confidence (S11)."""
     own = cells.groupBy(*ROW)
     price = {n: F.max(F.when(F.col("supplier") == n, F.col("unit_price"))).alias(n) for n in names}
     low = F.array_sort(F.collect_set(F.when(F.col("confidence") != "alta", F.col("supplier"))))
-    best = F.min(F.when(F.col("unit_price").isNotNull(), F.struct("unit_price", "supplier")))
-    wide = own.agg(*price.values(), best.alias("__best"), F.count("unit_price").alias("n_quotes"), low.alias("low_confidence"))
-    is_min = F.filter(F.array(*[F.when(F.col(f"`{n}`") == F.col("__best.unit_price"), F.lit(n)) for n in names]), lambda x: x.isNotNull()) if names else F.array().cast("array<string>")
-    return wide.select(*ROW, *[F.col(f"`{n}`") for n in names], F.col("__best.unit_price").alias("min_price"), F.col("__best.supplier").alias("min_supplier"), "n_quotes", is_min.alias("is_min"), "low_confidence")
+    priced = F.array_sort(F.collect_list(F.when(F.col("unit_price").isNotNull(), F.struct("unit_price", "supplier"))))
+    wide = own.agg(*price.values(), priced.alias("__p"), F.count("unit_price").alias("n_quotes"), low.alias("low_confidence"))
+    best = F.get("__p", F.lit(0))
+    is_min = F.transform(F.filter("__p", lambda x: x["unit_price"] == F.get("__p", F.lit(0))["unit_price"]), lambda x: x["supplier"])
+    return wide.select(*ROW, *[F.col(f"`{n}`") for n in names], best["unit_price"].alias("min_price"), best["supplier"].alias("min_supplier"), "n_quotes", is_min.alias("is_min"), "low_confidence")
+
+
+def long_map(cells: DataFrame) -> DataFrame:
+    """The map of any number of suppliers: a row a price, whether it is its row's lowest, and whether its cell is doubtful."""
+    low = cells.groupBy(*ROW).agg(F.min("unit_price").alias("min_price"), F.count("unit_price").alias("n_quotes"))
+    joined = cells.join(low.hint("merge"), ROW)
+    return joined.select(*ROW, "supplier", "unit_price", F.coalesce(F.col("unit_price") == F.col("min_price"), F.lit(False)).alias("is_min"), "min_price", "n_quotes", (F.col("confidence") != "alta").alias("doubtful"))

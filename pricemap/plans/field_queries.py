@@ -10,7 +10,7 @@ from pricemap.operators import documents, enrichment, participation, prices, res
 from pricemap.plans import price_map
 from pricemap.plans.bindings import bound, items, messages, table
 from pricemap.plans.queries import SQL_ASSIGNED, SQL_CELLS, SQL_ITEMS, SQL_PART, SQL_TAX_IDS, _score, assigned, cells, part, query
-from pricemap.sources import files, mail, store
+from pricemap.sources import files, mail, store, versioned
 from pricemap.work import new_folder
 
 # -- contacts ------------------------------------------------------------------------------------------
@@ -77,10 +77,14 @@ def preferred_name(spark: SparkSession, d: str) -> DataFrame:
     return bound(spark, d, SQL_SENDERS).select("s_suppkey", contacts.preferred_name(F.col("email"), F.col("name")).alias("shown"))
 
 
-@query(f"""WITH {SQL_PART}, s AS (SELECT DISTINCT from_email FROM messages WHERE from_email LIKE '%gmail.com')
-SELECT process_id, from_email, upper(substr(from_email, 1, 1)) || substr(from_email, 2, strpos(from_email, '@') - 2) AS name, sent_quote FROM part JOIN s USING (from_email)""")
+#: The company of each kind of made address, or the name before the @ where the domain is a mail provider's.
+SQL_SHOWN_SENDER = """CASE WHEN from_email LIKE '%@supplier%' THEN 'Supplier' || regexp_extract(from_email, '@supplier([0-9]+)', 1) WHEN from_email LIKE '%@mail.acme-%' THEN 'Acme ' || regexp_extract(from_email, 'acme-([0-9]+)', 1)
+  WHEN from_email LIKE '%compras.mil.br' THEN 'Compras' ELSE 'User' || regexp_extract(from_email, '^user([0-9]+)@', 1) END"""
+
+
+@query(f"""WITH {SQL_PART} SELECT process_id, from_email, {SQL_SHOWN_SENDER} AS name, sent_quote FROM part""")
 def process_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    known = messages(spark, d).select("from_email").distinct().filter(F.col("from_email").endswith("gmail.com")).withColumn("name", F.lit(""))
+    known = messages(spark, d).select("from_email").distinct().withColumn("name", F.lit(""))
     return participation.process_suppliers(known, part(spark, d)).select("process_id", "from_email", "name", "sent_quote")
 
 
@@ -170,11 +174,14 @@ def item_page(spark: SparkSession, d: str) -> DataFrame:
 # -- texts ---------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) < 25 OR len(regexp_extract_all(text, '\S+')) < 6 AS poor, left(text, 1000) AS start, length(text) > 1000 AS more,
-CASE WHEN length(trim(left(text, 600))) >= 1.2 * greatest(length(trim(left(text, 400))), 1) THEN left(text, 600) ELSE left(text, 400) END AS better FROM {documents}""")
+@query(r"""WITH t AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN text || ' ' || text ELSE text || '.' END AS again FROM {documents})
+SELECT doc_id, length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) < 25 OR len(regexp_extract_all(text, '\S+')) < 6 AS poor, left(text, 1000) AS start, length(text) > 1000 AS more,
+CASE WHEN length(trim(again)) >= 1.2 * greatest(length(trim(text)), 1) THEN again ELSE text END AS better FROM t""")
 def text_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts: whether they are poor, their start, and the better of two readings."""
     start, more = text.truncate_text(F.col("text"), 1000)
-    better = text.prefer_second(F.substring("text", 1, 400), F.substring("text", 1, 600))
+    again = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), "text")).otherwise(F.concat("text", F.lit(".")))
+    better = text.prefer_second(F.col("text"), again)
     return table(spark, d, "documents").select("doc_id", text.is_poor_text(F.col("text")).alias("poor"), start.alias("start"), more.alias("more"), better.alias("better"))
 
 
@@ -314,6 +321,34 @@ def cached_items(spark: SparkSession, d: str) -> DataFrame:
     return store.cached_items(spark.read.parquet(path), wanted).select("file_id", "seq", "version")
 
 
+@query(f"""WITH {SQL_ITEMS}, n AS (SELECT file_id, seq, CAST(substr(file_id, 2) AS BIGINT) AS k FROM items), even AS (SELECT DISTINCT k FROM n WHERE k % 8 = 0 AND seq % 2 = 0),
+replaced AS (SELECT file_id, seq, k, CASE WHEN k IN (SELECT k FROM even) THEN 2 ELSE 1 END AS written FROM n WHERE k NOT IN (SELECT k FROM even) OR seq % 2 = 0)
+SELECT 1 AS at_version, file_id, seq, 1 AS written FROM n UNION ALL SELECT 2, file_id, seq, written FROM replaced UNION ALL SELECT 3, file_id, seq, written FROM replaced WHERE k % 5 <> 0""")
+def table_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Three versions of a stored table: written, some files' items replaced, some files deleted; each as it was."""
+    own = items(spark, d).select("file_id", "seq", F.lit(1).alias("written"))
+    number = F.substring("file_id", 2, 20).cast("long")
+    kept = versioned.VersionedTable(spark, new_folder(spark, "versions"), ["file_id"], buckets=8)
+    kept.replace(own)
+    kept.replace(own.filter((number % 8 == 0) & (F.col("seq") % 2 == 0)).withColumn("written", F.lit(2)))
+    kept.delete(own.filter(number % 5 == 0))
+    past = lambda v: kept.read(v).select(F.lit(v).alias("at_version"), "file_id", "seq", "written")
+    return past(1).unionByName(past(2)).unionByName(past(3))
+
+
+@query(f"""WITH {SQL_ITEMS} SELECT file_id, seq, CASE WHEN k % 6 = 0 THEN 'b' ELSE 'a' END AS version, CASE WHEN k % 2 = 0 AND k % 6 <> 0 THEN 1 ELSE 2 END AS run FROM (SELECT file_id, seq, CAST(substr(file_id, 2) AS BIGINT) AS k FROM items)""")
+def incremental_items(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over files: what the first extracted is taken from the store unless its file has changed, the rest is extracted anew."""
+    number = F.substring("file_id", 2, 20).cast("long")
+    found = items(spark, d).select("file_id", "seq")
+    named = found.select("file_id").distinct()
+    kept = versioned.VersionedTable(spark, new_folder(spark, "extractions"), ["file_id"], buckets=8)
+    extract = lambda run: lambda missing: found.join(missing.select("file_id").hint("merge"), "file_id").withColumn("run", F.lit(run))
+    versioned.extract_incrementally(kept, named.filter(number % 2 == 0).withColumn("version", F.lit("a")), extract(1), store.EXTRACTION_VERSION)
+    both = versioned.extract_incrementally(kept, named.withColumn("version", F.when(number % 6 == 0, "b").otherwise("a")), extract(2), store.EXTRACTION_VERSION)
+    return both.select("file_id", "seq", "version", "run")
+
+
 @query("SELECT p_partkey, p_name || ';' || chr(10) || '\"' || p_brand || '\"' AS text, 'sim' AS flag FROM {part}")
 def quote_csv(spark: SparkSession, d: str) -> DataFrame:
     """Parts written as delimited files, with separators, quotes and line breaks within cells, and read back."""
@@ -337,11 +372,11 @@ def mail_messages(spark: SparkSession, d: str) -> DataFrame:
     return found.select("message_id", "subject", "from_email", F.size("recipients").cast("long").alias("n_recipients"), F.regexp_replace("body", r"\s+", " ").alias("body"), "has_attachment")
 
 
-@query("""SELECT o_orderkey, CASE (o_orderkey // 7) % 3 WHEN 0 THEN '12/2024' WHEN 1 THEN 'SEM_NUMERO_' || (o_orderkey // 7) ELSE 'AB-' || (o_orderkey // 7) || '/2023' END AS process_number FROM {orders} WHERE o_orderkey % 7 < 6""")
+@query("""SELECT o_orderkey, CASE (o_orderkey // 7) % 3 WHEN 0 THEN '12/2024' WHEN 1 THEN 'SEM_NUMERO_' || (o_orderkey // 7) ELSE 'AB-' || (o_orderkey // 7) || '/2023' END AS process_number FROM {orders}""")
 def assign_process(spark: SparkSession, d: str) -> DataFrame:
     batch = F.floor(F.col("o_orderkey") / 7)
     first = F.when(batch % 3 == 0, "Pregão 12/2024").when(batch % 3 == 1, "Cotação").otherwise(F.concat(F.lit("Processo AB-"), batch, F.lit("/2023")))
-    own = table(spark, d, "orders").filter("o_orderkey % 7 < 6").select("o_orderkey", batch.alias("batch_id"), F.col("o_orderkey").alias("ingest_seq"))
+    own = table(spark, d, "orders").select("o_orderkey", batch.alias("batch_id"), F.col("o_orderkey").alias("ingest_seq"))
     lowest = F.min("ingest_seq").over(Window.partitionBy("batch_id"))
     own = own.withColumn("subject", F.when(F.col("ingest_seq") == lowest, first).otherwise("Processo ZZ-9/1999"))
     return mail.assign_process(own).select("o_orderkey", "process_number")
@@ -358,15 +393,22 @@ def master_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FEW = [f"Supplier#{k:09d}" for k in range(1, 6)]
+SQL_LOWEST = f"""{SQL_CELLS}, b AS (SELECT process_id, row_id, min(unit_price) AS min_price, arg_min(supplier, (unit_price, supplier)) FILTER (unit_price IS NOT NULL) AS min_supplier, count(unit_price) AS n_quotes, coalesce(list_sort(list(DISTINCT supplier) FILTER (confidence <> 'alta')), []) AS low_confidence FROM cells GROUP BY ALL)"""
 
 
-@query(f"""WITH {SQL_CELLS}, b AS (SELECT process_id, row_id, min(unit_price) AS min_price, arg_min(supplier, (unit_price, supplier)) FILTER (unit_price IS NOT NULL) AS min_supplier, count(unit_price) AS n_quotes, coalesce(list_sort(list(DISTINCT supplier) FILTER (confidence <> 'alta')), []) AS low_confidence FROM cells GROUP BY ALL),
-w AS (SELECT process_id, row_id, {", ".join(f"max(unit_price) FILTER (supplier = '{n}') AS s{k}" for k, n in enumerate(_FEW))} FROM cells GROUP BY ALL)
-SELECT b.*, {", ".join(f"s{k}" for k in range(5))}, list_filter([{", ".join(f"CASE WHEN s{k} = min_price THEN '{n}' END" for k, n in enumerate(_FEW))}], lambda x: x IS NOT NULL) AS is_min FROM b JOIN w USING (process_id, row_id)""")
+@query(f"""WITH {SQL_LOWEST}, w AS (SELECT c.process_id, c.row_id, {", ".join(f"max(unit_price) FILTER (supplier = '{n}') AS s{k}" for k, n in enumerate(_FEW))}, coalesce(list_sort(list(supplier) FILTER (unit_price = min_price)), []) AS is_min FROM cells c JOIN b USING (process_id, row_id) GROUP BY ALL)
+SELECT b.*, {", ".join(f"s{k}" for k in range(5))}, is_min FROM b JOIN w USING (process_id, row_id)""")
 def wide_map(spark: SparkSession, d: str) -> DataFrame:
+    """The map with columns for five suppliers; who has the lowest price is told of all."""
     return prices.wide_map(cells(spark, d), _FEW).withColumnsRenamed({n: f"s{k}" for k, n in enumerate(_FEW)})
 
 
+@query(f"""WITH {SQL_LOWEST} SELECT c.process_id, c.row_id, supplier, unit_price, coalesce(unit_price = min_price, false) AS is_min, min_price, n_quotes, confidence <> 'alta' AS doubtful FROM cells c JOIN b USING (process_id, row_id)""")
+def long_map(spark: SparkSession, d: str) -> DataFrame:
+    """The map of all suppliers, a row a price."""
+    return prices.long_map(cells(spark, d))
+
+
 @query(f"WITH {SQL_CELLS} SELECT DISTINCT supplier FROM cells")
 def supplier_list(spark: SparkSession, d: str) -> DataFrame:
     return prices.suppliers(cells(spark, d))

@@ -12,7 +12,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricemap.work import written
@@ -85,7 +85,7 @@ class VersionedTable:
         reader = self.spark.read.schema(schema.toDDL())
         return reader.parquet(*wanted) if wanted else self.spark.createDataFrame([], schema.toDDL())
 
-    def _bucket(self) -> F.Column:
+    def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.commit()["buckets"])).cast("int")
 
     def change(self, source: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> int:
@@ -129,10 +129,10 @@ class VersionedTable:
     def delete(self, keys: DataFrame) -> int:
         """Without the rows of ``keys``."""
 
-        def merge(old: DataFrame | None, gone: DataFrame) -> DataFrame:
-            return gone if old is None else old.join(gone.select(*self.key).distinct().hint("merge"), self.key, "left_anti")
-
-        return self.change(keys.select(*self.key), merge)
+        before = self.commit()
+        if before["schema"] is None:
+            return before["version"]
+        return self.change(keys.select(*self.key), lambda old, gone: old.join(gone.distinct().hint("merge"), self.key, "left_anti"))
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete the data folders that none of the newest ``keep`` commits names; how many went."""

@@ -5,8 +5,11 @@ import tarfile
 import zipfile
 from datetime import datetime
 
-from pricemap.sources import files, mail
+import pytest
+
+from pricemap.sources import files, mail, versioned
 from pricemap.streaming import ingest
+from pricemap.streaming import participations as streamed
 
 MAIL = (
     b"From: Jo <Jo@Acme.com.br>\r\nTo: a@x.mil.br, B <b@y.com>\r\nSubject: =?utf-8?q?Preg=C3=A3o_12/2024?=\r\nDate: Tue, 23 Jan 2024 11:37:00 -0300\r\nMessage-ID: <1@acme>\r\nMIME-Version: 1.0\r\n"
@@ -63,3 +66,59 @@ def test_stream_keeps_each_message_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     ingest.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_versioned_table(spark, tmp_path):
+    df = lambda *rows: spark.createDataFrame(rows, "file_id string, n int, seq long")
+    table = versioned.VersionedTable(spark, str(tmp_path / "t"), ["file_id"], buckets=4)
+    assert table.read() is None and table.delete(df(("a", 1, 1))) == 0
+    assert table.replace(df(("a", 1, 1), ("a", 2, 2), ("b", 3, 3), (None, 9, 9))) == 1
+    assert table.replace(df(("a", 5, 4))) == 2
+    # a writer that fails before its commit changes nothing
+    with pytest.raises(Exception, match="broken"):
+        table.change(df(("b", 7, 7)), lambda old, new: new.selectExpr("file_id", "CAST(raise_error('broken') AS INT) AS n", "seq"))
+    assert {(r.file_id, r.n) for r in table.read().collect()} == {("a", 5), ("b", 3), (None, 9)}
+    assert {(r.file_id, r.n) for r in table.read(1).collect()} == {("a", 1), ("a", 2), ("b", 3), (None, 9)}
+    # of two writers that built on one version, the second fails and nothing of it is seen
+    with pytest.raises(versioned.Conflict):
+        table._publish(table.commit() | {"folders": {}})
+    assert len(table.read().collect()) == 3
+    assert table.upsert(df(("a", 6, 9), ("c", 1, 1)), {"n": "last"}) == 3
+    assert {(r.file_id, r.n) for r in table.read().collect()} == {("a", 6), ("b", 3), ("c", 1), (None, 9)}
+    assert table.delete(df(("b", 0, 0))) == 4 and {r.file_id for r in table.read().collect()} == {"a", "c", None}
+    assert table.replace(df().limit(0)) == 4
+    assert table.vacuum() > 0 and {r.file_id for r in table.read().collect()} == {"a", "c", None} and table.versions() == [4]
+
+
+def test_extraction_goes_on_where_a_run_failed(spark, tmp_path):
+    table = versioned.VersionedTable(spark, str(tmp_path / "t"), ["file_id"], buckets=4)
+    files_of = lambda *rows: spark.createDataFrame(rows, "file_id string, version string")
+    seen = []
+
+    def extract(missing):
+        seen.append(sorted(r.file_id for r in missing.collect()))
+        return missing.selectExpr("file_id", f"{len(seen)} AS run")
+
+    got = versioned.extract_incrementally(table, files_of(("a", "1"), ("b", "1")), extract, "5")
+    assert {(r.file_id, r.run) for r in got.collect()} == {("a", 1), ("b", 1)}
+    got = versioned.extract_incrementally(table, files_of(("a", "1"), ("b", "2"), ("c", "1")), extract, "5")
+    assert {(r.file_id, r.version, r.run) for r in got.collect()} == {("a", "1", 1), ("b", "2", 2), ("c", "1", 2)}
+    assert seen == [["a", "b"], ["b", "c"]]
+
+
+def test_stream_of_participations_with_repeats_and_late_first_arrivals(spark, tmp_path):
+    schema = "process_id string, message_id string, ingest_seq long, sent_at timestamp, from_email string, type string"
+    at = lambda k: datetime(2024, 5, 1, 0, k)
+    batches = [
+        [("p", "m1", 5, at(5), "a@b.c", "pedido_orcamento"), ("p", "m2", 6, at(6), "a@b.c", "orcamento_recebido"), ("p", "m1", 7, at(7), "x@b.c", "pedido_orcamento")],
+        [("p", "m1", 2, at(9), "x@b.c", "duvida"), ("p", "m3", 3, None, "a@b.c", "pedido_orcamento")],  # m1 came first from another sender
+        [("p", "m4", 1, at(1), "a@b.c", "declinio"), ("p", "m2", 6, at(6), "a@b.c", "orcamento_recebido")],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    streamed.follow_participations(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.from_email: r for r in streamed.latest_participations(spark, str(tmp_path / "out")).collect()}
+    a, x = got["a@b.c"], got["x@b.c"]
+    assert (a.asked, a.sent_quote, a.declined, a.requested_at, a.first_reply_at) == (True, True, True, None, at(1))
+    assert (x.asked, x.sent_quote, x.declined, x.requested_at, x.first_reply_at) == (False, False, False, None, at(9))
