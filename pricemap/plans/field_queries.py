@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +16,7 @@ from pricemap.plans import price_map
 from pricemap.plans.bindings import bound, items, messages, table
 from pricemap.plans.queries import SQL_ASSIGNED, SQL_CELLS, SQL_ITEMS, SQL_PART, SQL_TAX_IDS, _score, assigned, cells, part, query
 from pricemap.sources import files, mail, store, versioned
-from pricemap.work import new_folder
+from pricemap.work import filesystem, new_folder
 
 # -- contacts ------------------------------------------------------------------------------------------
 
@@ -349,6 +354,47 @@ def incremental_items(spark: SparkSession, d: str) -> DataFrame:
     return both.select("file_id", "seq", "version", "run")
 
 
+SQL_MEMBERS = """m AS (SELECT doc_id, CONCAT('lote', CAST(CAST(FLOOR(doc_id / 40) AS BIGINT) AS STRING), CASE WHEN CAST(FLOOR(doc_id / 40) AS BIGINT) % 2 = 0 THEN '.zip' ELSE '.tgz' END) AS archive,
+  CONCAT('pasta/Cotacao_', CAST(doc_id AS STRING), CASE doc_id % 7 WHEN 0 THEN '.eml' WHEN 1 THEN '.txt' WHEN 2 THEN '.xlsx' ELSE '.pdf' END) AS member, text FROM {documents} WHERE doc_id IS NOT NULL)"""
+
+
+@query(f"""WITH {SQL_MEMBERS} SELECT archive, substr(member, 7) AS name, CASE WHEN member LIKE '%.eml' THEN 'mail' ELSE 'file' END AS kind, sha256(coalesce(text, '')) AS sha256 FROM m WHERE member NOT LIKE '%.txt'""")
+def archive_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as members of zip and tar archives, found by their directories and read back."""
+    path = new_folder(spark, "archives")
+    own = bound(spark, d, f"WITH {SQL_MEMBERS} SELECT * FROM m")
+
+    def pack(pdf):
+        # one archive: forty documents
+        name, out = pdf["archive"].iloc[0], io.BytesIO()
+        members = [(m, (t or "").encode()) for m, t in zip(pdf["member"], pdf["text"])]
+        if name.endswith(".zip"):
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for m, data in members:
+                    z.writestr(m, data)
+        else:
+            with tarfile.open(fileobj=out, mode="w:gz") as t:
+                for m, data in members:
+                    info = tarfile.TarInfo(m)
+                    info.size = len(data)
+                    t.addfile(info, io.BytesIO(data))
+        where, inner = filesystem(f"{path}/{name}")
+        where.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+        with where.open_output_stream(inner, compression=None) as f:
+            f.write(out.getvalue())
+        return pd.DataFrame({"archive": [name]})
+
+    own.groupBy("archive").applyInPandas(pack, "archive string").write.format("noop").mode("overwrite").save()
+    return files.read_archives(spark, path).select("archive", "name", "kind", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS item_no, p_brand AS material_code, p_name AS description, CAST(p_partkey AS BIGINT) AS seq FROM {part}")
+def master_list(spark: SparkSession, d: str) -> DataFrame:
+    """A master list recognised by its headers."""
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("Nº Item"), F.col("p_type").alias("Tipo"), F.concat(F.lit(" "), "p_name").alias("Descrição do Material"), F.col("p_brand").alias("PN"), F.col("p_partkey").alias("linha"))
+    return files.read_master(own, F.col("linha"))
+
+
 @query("SELECT p_partkey, p_name || ';' || chr(10) || '\"' || p_brand || '\"' AS text, 'sim' AS flag FROM {part}")
 def quote_csv(spark: SparkSession, d: str) -> DataFrame:
     """Parts written as delimited files, with separators, quotes and line breaks within cells, and read back."""

@@ -8,15 +8,37 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path (not yet created) below ``spark.checkpoint.dir`` (a new local folder where that is unset under a local master)."""
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, by Hadoop's default file system where it has none, so that driver, tasks and Python mean the same folder."""
+    raw = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return raw.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(raw).toString().rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` with its scheme (a new local folder where that is unset under a local master)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pricemap-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return qualified(spark, base)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path (not yet created) below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def filesystem(uri: str):
+    """(pyarrow filesystem, path) of a qualified path, for files that tasks read or write themselves."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+    if ":" not in uri.split("/", 1)[0]:
+        raise ValueError(f"{uri} names no file system: qualify it on the driver")
+    return fs.FileSystem.from_uri(uri)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
