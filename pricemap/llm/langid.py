@@ -57,19 +57,29 @@ def trigram_buckets(text: str | None) -> np.ndarray:
 
 @dataclass
 class TextModel:
-    """Log-probabilities of trigram buckets for a block of languages."""
+    """Log-probabilities of trigram buckets for a block of languages, and how many trigrams each language has."""
 
     languages: list[str]
     log_p: np.ndarray
+    sizes: np.ndarray
 
-    def likelihood(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Number of trigrams, and the weighted log-likelihood by language (zero without letters)."""
+    def likelihood(self, text: str | None, label: str | None = None) -> tuple[int, np.ndarray]:
+        """Number of trigrams, and the weighted log-likelihood by language (zero without letters).
+
+        A text that was counted under ``label`` is taken out of that language's counts first, unless they have no other.
+        """
         own = trigram_buckets(text)
         if not len(own):
             return 0, np.zeros(len(self.languages))
         total = np.zeros(len(self.languages))
         for k in range(0, len(own), 1 << 16):
             total += self.log_p[own[k : k + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        k = self.languages.index(label) if label in self.languages else None
+        if k is not None and self.sizes[k] > len(own) + 0.5:
+            bucket, times = np.unique(own, return_counts=True)
+            whole = self.sizes[k] + 0.5 * BUCKETS
+            counts = np.exp(self.log_p[bucket, k].astype(np.float64)) * whole
+            total[k] = (times * np.log(np.maximum(counts - times, 0.5) / (whole - len(own)))).sum()
         return len(own), total / len(own) * min(len(own), TEXT_WEIGHT)
 
 
@@ -100,7 +110,7 @@ def train_text_model(labelled: DataFrame, languages: list[str], text: str = "tex
     counts = _labels(labelled, text, label).mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((BUCKETS, len(languages)), 0.5)
     table[counts["bucket"].to_numpy(), counts["lang"].to_numpy()] += counts["n"].to_numpy()
-    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32), table.sum(axis=0) - 0.5 * BUCKETS)
 
 
 def _posterior(logs: np.ndarray) -> np.ndarray:
@@ -112,22 +122,23 @@ def _nullable(schema: StructType) -> StructType:
     return StructType([StructField(f.name, f.dataType) for f in schema])
 
 
-def with_likelihood(df: DataFrame, labelled: DataFrame, shares: dict[str, float], text: str, is_markup: bool = False) -> DataFrame:
+def with_likelihood(df: DataFrame, labelled: DataFrame, shares: dict[str, float], text: str, is_markup: bool = False, own_label: str | None = None) -> DataFrame:
     """``df`` written with ``__n`` (trigrams), ``__ll`` (log-likelihood by language) and ``__p`` (posterior, null without letters) of ``text``.
 
-    A text column goes, a field of a struct column stays.  Languages are scored in blocks, so what is
+    A text column goes, a field of a struct column stays.  ``own_label`` names the column with the label under
+    which a row itself was counted, if it was.  Languages are scored in blocks, so what is
     broadcast has a bound however many there are.
     """
     languages = list(shares)
     out = df.withColumn("__ll", F.array().cast("array<double>"))
     for at in range(0, len(languages), LANGUAGE_BLOCK):
-        before, out = out, saved(_scored(out, train_text_model(labelled, languages[at : at + LANGUAGE_BLOCK]), shares, text, is_markup), "likelihoods")
+        before, out = out, saved(_scored(out, train_text_model(labelled, languages[at : at + LANGUAGE_BLOCK]), shares, text, is_markup, own_label), "likelihoods")
         if at:
             drop(before)
     return out
 
 
-def _scored(df: DataFrame, model: TextModel, shares: dict[str, float], text: str, is_markup: bool) -> DataFrame:
+def _scored(df: DataFrame, model: TextModel, shares: dict[str, float], text: str, is_markup: bool, own_label: str | None = None) -> DataFrame:
     shared, last = df.sparkSession.sparkContext.broadcast(model), model.languages[-1] == list(shares)[-1]
     share = np.log(np.array(list(shares.values())))
     names = [c for c in df.columns if c not in ("__ll", "__n", "__p") and not (last and c == text)]
@@ -136,9 +147,10 @@ def _scored(df: DataFrame, model: TextModel, shares: dict[str, float], text: str
     def score(batches):
         for batch in batches:
             texts = batch.column(column) if not field else pc.struct_field(batch.column(column), field)
+            labels = batch.column(own_label).to_pylist() if own_label else [None] * batch.num_rows
             n, ll = [], []
-            for t, before in zip(texts.cast(pa.string()).to_pylist(), batch.column("__ll").to_pylist()):
-                k, own = shared.value.likelihood(visible_text(t) if is_markup else t)
+            for t, label, before in zip(texts.cast(pa.string()).to_pylist(), labels, batch.column("__ll").to_pylist()):
+                k, own = shared.value.likelihood(visible_text(t) if is_markup else t, label)
                 n.append(k)
                 ll.append([*before, *own.tolist()])
             p = [x if k else None for k, x in zip(n, _posterior(np.array(ll).reshape(len(ll), -1) + share).tolist())] if last else [None] * len(n)
@@ -279,14 +291,14 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least_probability: float = 0.5, languages: list[str] | None = None) -> DataFrame:
     """``docs`` (text, lang, source) without the rows whose language can't be told or isn't among ``languages``; all columns stay.
 
-    ``lang`` is taken as the declaration and the label of the text models, ``source`` as the host.  A
-    row goes if its text has no letters, if no language reaches ``least_probability``, or if the fused
+    ``lang`` is taken as the declaration and the label of the text models, which judge a row without its own
+    text, ``source`` as the host.  A row goes if its text has no letters, if no language reaches ``least_probability``, or if the fused
     language isn't wanted (None: every language is).  Columns of any name are kept.
     """
     shares = language_shares(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     said, source = F.lower(F.trim(F.col("lang").cast("string"))), F.lower(F.trim(F.col("source").cast("string")))
-    scored = with_likelihood(docs.select(row, said.alias("said"), source.alias("place")), docs, shares, "row.text")
+    scored = with_likelihood(docs.select(row, said.alias("said"), source.alias("place")), docs, shares, "row.text", own_label="said")
     nothing = F.lit(None).cast("string")
     fused = fuse(scored, shares, F.col("said"), F.col("place"), nothing, nothing)
     kept = fused.filter((F.col("n_trigrams") > 0) & (F.col("probability") >= least_probability))

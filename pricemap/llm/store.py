@@ -6,31 +6,18 @@ had not written yet.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCOPES: list[list[DataFrame]] = []
-
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where it is unset under a local master (tests), a new local one."""
-    found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="pricemap-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
+from pricemap.work import filesystem, new_folder
 
+_SCOPES: list[list[DataFrame]] = []
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path (not yet created) below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path (not yet created) below the shared folder, with its scheme: tasks and pyarrow take it for the same folder as Spark."""
+    return new_folder(spark, name)
 
 
 #: Spark's own setting: the shuffle files of an execution go when it ends, not when the driver collects garbage.
@@ -76,15 +63,6 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a URI or absolute path, for files that tasks write themselves."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 class WholeFile:
     """A file that is written under another name and takes its own on close, so a repeated task leaves one whole file."""
 

@@ -11,7 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pricemap.llm import fingerprints, merkle, trie
+from pyspark.sql import functions as F
+
+from pricemap.llm import fingerprints, langid, merkle, trie
 
 LONG = " ".join(f"word{k % 700}" for k in range(30_000))
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, leaf string, tree string, salt int, key string, rank int"
@@ -228,3 +230,24 @@ def test_find_close_in_random_parentheses(moves, deep):
     excess = np.cumsum(2 * np.array(bits) - 1)
     opens = np.flatnonzero(np.array(bits))
     assert trie.find_close(excess, opens).tolist() == [close[k] for k in opens.tolist()]
+
+
+# -- language models without the row itself ------------------------------------------------------------
+
+
+def test_a_row_is_judged_without_its_own_text(spark):
+    rng = random.Random(8)
+    words = {"aa": ["casa", "perro", "grande", "cielo", "verde"], "bb": ["haus", "grün", "himmel", "schnell", "buch"]}
+    text = lambda x: " ".join(rng.choice(words[x]) for _ in range(40))
+    rows = [(k, text(x), x) for k, x in enumerate(["aa", "bb"] * 20)]
+    alone = (100, "zzyx qwvj xqzw jvqk " * 30, "aa")  # like nothing else
+    swapped = (101, text("aa"), "bb")
+    df = spark.createDataFrame([*rows, alone, swapped], "doc_id long, text string, lang string")
+    shares = langid.language_shares(df)
+    model = langid.train_text_model(df, list(shares))
+    assert model.likelihood(alone[1])[1].argmax() == 0
+    fresh = langid.train_text_model(df.filter("doc_id <> 100"), list(shares))
+    assert np.allclose(model.likelihood(alone[1], "aa")[1][0], fresh.likelihood(alone[1])[1][0], rtol=1e-4)
+    assert model.likelihood(swapped[1], "bb")[1].argmax() == 0  # told by its text, not by its label
+    got = langid.keep_identified(df.withColumn("source", F.lit("s")), languages=["bb"])
+    assert {r.doc_id for r in got.collect()} == {k for k, _, x in rows if x == "bb"}
