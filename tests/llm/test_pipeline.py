@@ -57,7 +57,7 @@ def test_stages_and_run(spark, small):
             assert ids(out) == ids(told) and not ids(docs.filter("trim(text) = ''")) & ids(out)
         elif name == "quality_rules":
             assert ids(out) == ids(repetition.quality_rules(docs).filter("kept"))
-        elif name == "simhash_dedup":
+        elif name == "near_duplicates":
             assert ids(out) == near_copies_removed(docs) and out.count() < docs.count()
         else:
             assert ids(out) == without_passages(docs, spark.read.parquet(f"{small}/benchmark.parquet")) and out.count() < docs.count()
