@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricemap.functions import classify, contacts, dates, normalize, similarity, text
-from pricemap.operators import documents, enrichment, participation, prices, resolve
+from pricemap.operators import attachments, documents, enrichment, participation, prices, report, resolve
 from pricemap.plans import price_map
 from pricemap.plans.bindings import bound, items, messages, table
-from pricemap.plans.queries import SQL_ASSIGNED, SQL_CELLS, SQL_ITEMS, SQL_PART, SQL_TAX_IDS, _score, assigned, cells, part, query
+from pricemap.plans.queries import SQL_ASSIGNED, SQL_CACHE, SQL_CELLS, SQL_FILES, SQL_ITEMS, SQL_MESSAGES, SQL_PART, SQL_SCORED, SQL_TAX_IDS, _score, assigned, attached, cells, fresh, part, query
 from pricemap.sources import files, mail, store, versioned
 from pricemap.work import filesystem, new_folder
 
@@ -354,15 +354,15 @@ def incremental_items(spark: SparkSession, d: str) -> DataFrame:
     return both.select("file_id", "seq", "version", "run")
 
 
-SQL_MEMBERS = """m AS (SELECT doc_id, CONCAT('lote', CAST(CAST(FLOOR(doc_id / 40) AS BIGINT) AS STRING), CASE WHEN CAST(FLOOR(doc_id / 40) AS BIGINT) % 2 = 0 THEN '.zip' ELSE '.tgz' END) AS archive,
+SQL_ARCHIVED = """m AS (SELECT doc_id, CONCAT('lote', CAST(CAST(FLOOR(doc_id / 40) AS BIGINT) AS STRING), CASE WHEN CAST(FLOOR(doc_id / 40) AS BIGINT) % 2 = 0 THEN '.zip' ELSE '.tgz' END) AS archive,
   CONCAT('pasta/Cotacao_', CAST(doc_id AS STRING), CASE doc_id % 7 WHEN 0 THEN '.eml' WHEN 1 THEN '.txt' WHEN 2 THEN '.xlsx' ELSE '.pdf' END) AS member, text FROM {documents} WHERE doc_id IS NOT NULL)"""
 
 
-@query(f"""WITH {SQL_MEMBERS} SELECT archive, substr(member, 7) AS name, CASE WHEN member LIKE '%.eml' THEN 'mail' ELSE 'file' END AS kind, sha256(coalesce(text, '')) AS sha256 FROM m WHERE member NOT LIKE '%.txt'""")
+@query(f"""WITH {SQL_ARCHIVED} SELECT archive, substr(member, 7) AS name, CASE WHEN member LIKE '%.eml' THEN 'mail' ELSE 'file' END AS kind, sha256(coalesce(text, '')) AS sha256 FROM m WHERE member NOT LIKE '%.txt'""")
 def archive_scan(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as members of zip and tar archives, found by their directories and read back."""
     path = new_folder(spark, "archives")
-    own = bound(spark, d, f"WITH {SQL_MEMBERS} SELECT * FROM m")
+    own = bound(spark, d, f"WITH {SQL_ARCHIVED} SELECT * FROM m")
 
     def pack(pdf):
         # one archive: forty documents
@@ -458,3 +458,40 @@ def long_map(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SQL_CELLS} SELECT DISTINCT supplier FROM cells")
 def supplier_list(spark: SparkSession, d: str) -> DataFrame:
     return prices.suppliers(cells(spark, d))
+
+
+# -- counters and reports ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {SQL_MESSAGES}, stored AS (SELECT DISTINCT process_id, message_id FROM messages WHERE ingest_seq % 2 = 0 AND ingest_seq % 10 <> 8),
+new AS (SELECT * FROM messages ANTI JOIN stored USING (process_id, message_id) QUALIFY row_number() OVER (PARTITION BY process_id, message_id ORDER BY ingest_seq) = 1),
+{SQL_SCORED}, m AS (SELECT *, row_number() OVER (PARTITION BY sha256, sender ORDER BY ingest_seq) AS n, sha256 IN (SELECT sha256 FROM sc WHERE source = 'src0') AS tpl FROM sc),
+fate AS (SELECT CASE WHEN source = 'src0' OR tpl THEN 'filtered' WHEN n > 1 THEN 'duplicate' WHEN score <= 0 THEN 'filtered' ELSE 'approved' END AS d FROM m),
+f AS ({SQL_FILES}), v AS (SELECT * FROM ({SQL_CACHE}) WHERE extraction_version = '5' AND NOT (coalesce(tax_id, '') = '' AND phone = '')),
+{SQL_UPDATES}, up AS (SELECT DISTINCT supplier_id FROM sup s JOIN con c ON contact_id % 5000 = supplier_id AND contact_id % 3 = 0 WHERE s.tax_id IS NULL OR c.phone IS NOT NULL)
+SELECT 'messages_new' AS counter, count(*) AS n FROM new UNION ALL SELECT 'messages_duplicate', (SELECT count(*) FROM messages) - (SELECT count(*) FROM new)
+UNION ALL SELECT 'messages_labelled_outside', count(*) FROM new WHERE ingest_seq % 4 <> 0 AND ingest_seq % 3 = 0
+UNION ALL SELECT 'attachments_total', count(*) FROM fate UNION ALL SELECT 'attachments_' || x, (SELECT count(*) FROM fate WHERE d = x) FROM (VALUES ('approved'), ('filtered'), ('duplicate')) t(x)
+UNION ALL SELECT 'files_cached', (SELECT count(*) FROM f SEMI JOIN v USING (file_id, version)) UNION ALL SELECT 'files_new', (SELECT count(*) FROM f ANTI JOIN v USING (file_id, version))
+UNION ALL SELECT 'suppliers_enriched', count(*) FROM up""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    """All counters of a run, taken while its tables are written."""
+    own = messages(spark, d).withColumns({"rule_type": F.when(F.col("ingest_seq") % 4 == 0, "declinio"), "label": F.when(F.col("ingest_seq") % 3 == 0, "tramite_interno")})
+    scored = attachments.scored_attachments(attached(spark, d))
+    fates = attachments.dispositions(scored, F.col("source") == "src0")
+    run = report.Run()
+    run.messages(own, own.filter("ingest_seq % 2 = 0 and ingest_seq % 10 <> 8"))
+    run.attachments(fates)
+    run.files(bound(spark, d, SQL_FILES), bound(spark, d, SQL_CACHE))
+    run.enriched(contact_updates(spark, d))
+    return run.counters(spark)
+
+
+@query(f"""WITH {SQL_CELLS}, {SQL_PART},
+st AS (SELECT process_id, CASE WHEN sent_quote THEN 'orcamento_recebido' WHEN declined THEN 'declinio' WHEN first_reply_at IS NOT NULL THEN 'duvida' WHEN read_ok THEN 'confirmacao_leitura' ELSE 'sem_resposta' END AS k FROM part)
+SELECT 'messages' AS section, process_id, coalesce(type, 'outro') AS key, count(*) AS n, CAST(count(DISTINCT from_email) AS BIGINT) AS n_distinct FROM fresh GROUP BY GROUPING SETS ((process_id, coalesce(type, 'outro')), (process_id), ())
+UNION ALL SELECT 'suppliers', process_id, k, count(*), NULL FROM st GROUP BY GROUPING SETS ((process_id, k), (process_id), ())
+UNION ALL SELECT 'prices', process_id, supplier, count(unit_price), CAST(count(DISTINCT row_id) AS BIGINT) FROM cells GROUP BY GROUPING SETS ((process_id, supplier), (process_id), ())""")
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    """One table of figures for every rendering of a report: by process and kind, by process, and in all."""
+    return report.figures(fresh(spark, d), part(spark, d), cells(spark, d))
