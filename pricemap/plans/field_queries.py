@@ -14,7 +14,7 @@ from pricemap.functions import classify, contacts, dates, normalize, similarity,
 from pricemap.operators import attachments, documents, enrichment, participation, prices, report, resolve
 from pricemap.plans import price_map
 from pricemap.plans.bindings import bound, items, messages, table
-from pricemap.plans.queries import SQL_ASSIGNED, SQL_CACHE, SQL_CELLS, SQL_FILES, SQL_ITEMS, SQL_MESSAGES, SQL_PART, SQL_SCORED, SQL_TAX_IDS, _score, assigned, attached, cells, fresh, part, query
+from pricemap.plans.queries import SQL_ASSIGNED, SQL_CACHE, SQL_CELLS, SQL_CODE, SQL_DESC, SQL_FILES, SQL_ITEMS, SQL_MESSAGES, SQL_PAIRS, SQL_PART, SQL_SCORED, SQL_TAX_IDS, SQL_TOKENS, _score, assigned, attached, cells, fresh, part, query
 from pricemap.sources import files, mail, store, versioned
 from pricemap.work import filesystem, new_folder
 
@@ -460,6 +460,62 @@ def supplier_list(spark: SparkSession, d: str) -> DataFrame:
     return prices.suppliers(cells(spark, d))
 
 
+# -- the whole map -----------------------------------------------------------------------------------------
+
+SQL_DECIDED = """SELECT CONCAT(a.p_name, ' ', a.p_brand, ' ', a.p_type) AS desc_a, CONCAT(b.p_name, ' ', b.p_brand, '  ', b.p_type) AS desc_b, CASE WHEN a.p_partkey % 2 = 0 THEN 'casar' ELSE 'nao_casar' END AS decision, a.p_partkey AS created_at
+  FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 3 WHERE a.p_partkey % 9 = 2"""
+SQL_MAP = f"""{SQL_PAIRS}, ma AS ({SQL_MASTER}),
+decided AS (SELECT least(x, y) AS x, greatest(x, y) AS y, arg_max(decision, created_at) AS decision FROM (SELECT lower(trim(regexp_replace(desc_a, '\\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(desc_b, '\\s+', ' ', 'g'))) AS y, decision, created_at FROM ({SQL_DECIDED})) GROUP BY ALL),
+cp AS (SELECT process_id, a_row_id, b_row_id, max(score) AS score, bool_or(corrected) AS corrected, any_value(a_unit = b_unit) AS same_unit FROM (
+  SELECT p.*, false AS corrected FROM pairs p LEFT JOIN decided d ON d.decision = 'nao_casar' AND d.x = least(a_row_id[3:], b_row_id[3:]) AND d.y = greatest(a_row_id[3:], b_row_id[3:])
+    WHERE score >= CASE WHEN a_unit = b_unit THEN 77 ELSE 85 END AND d.x IS NULL
+  UNION ALL SELECT a.process_id, a.row_id, a.row_seq, a.unit, b.row_id, b.row_seq, b.unit, 100.0, true FROM decided d JOIN dr a ON a.row_id[3:] IN (d.x, d.y) JOIN dr b ON b.process_id = a.process_id AND b.row_id[3:] IN (d.x, d.y) AND a.row_seq > b.row_seq
+    WHERE d.decision = 'casar' AND d.x <> d.y) GROUP BY ALL),
+ranked AS (SELECT process_id, row_id, row_number() OVER (PARTITION BY process_id ORDER BY row_seq) AS k FROM dr),
+near AS (SELECT p.process_id, x.k, list(y.k) AS nb FROM cp p JOIN ranked x ON x.process_id = p.process_id AND x.row_id = a_row_id JOIN ranked y ON y.process_id = p.process_id AND y.row_id = b_row_id GROUP BY ALL),
+walk AS (SELECT process_id, CAST(0 AS BIGINT) AS k, []::BIGINT[] AS heads, CAST(NULL AS BIGINT) AS head FROM ranked GROUP BY ALL
+  UNION ALL SELECT w.process_id, r.k, CASE WHEN len(list_intersect(heads, coalesce(nb, []))) > 0 THEN heads ELSE list_append(heads, r.k) END,
+    coalesce(list_min(list_intersect(heads, coalesce(nb, []))), r.k) FROM walk w JOIN ranked r ON r.process_id = w.process_id AND r.k = w.k + 1 LEFT JOIN near n ON n.process_id = r.process_id AND n.k = r.k),
+lead AS (SELECT w.process_id, x.row_id, y.row_id AS leader FROM walk w JOIN ranked x USING (process_id, k) JOIN ranked y ON y.process_id = w.process_id AND y.k = w.head),
+coded AS (SELECT *, {SQL_CODE} AS code, {SQL_DESC} AS norm, CASE WHEN unit_price IS NULL THEN total_price / nullif(quantity, 0) WHEN abs(unit_price - total_price) < 1e-6 THEN coalesce(total_price / nullif(quantity, 0), unit_price) ELSE unit_price END AS price FROM items),
+heads AS (SELECT c.process_id, code, min(c.seq) AS c_seq, arg_min(c.item_no, c.seq) AS item_no, arg_min({SQL_TOKENS.format('norm')}, c.seq) AS t FROM coded c WHERE code IS NOT NULL GROUP BY ALL),
+named AS (SELECT h.*, m.seq - 1152921504606846976 AS m_seq, m.description AS m_desc, {_score('t', SQL_TOKENS.format('m.description'))} AS m_score FROM heads h LEFT JOIN ma m USING (process_id, item_no)),
+placed AS (SELECT c.process_id, c.seq, c.supplier, c.item_no, c.material_code, c.description, c.norm, c.unit, c.quantity, c.price, n.m_desc, n.m_score, m_score < 50 AND c.seq = c_seq AS blocked,
+    CASE WHEN c.code IS NULL THEN leader WHEN m_score >= 50 THEN 'K:' || m_seq ELSE 'K:' || c_seq END AS row_id, m_score >= 50 AS fixed, cp.score, cp.corrected, cp.same_unit
+  FROM coded c LEFT JOIN named n ON n.process_id = c.process_id AND n.code = c.code LEFT JOIN lead l ON c.code IS NULL AND l.process_id = c.process_id AND l.row_id = 'D:' || c.norm
+  LEFT JOIN cp ON cp.process_id = c.process_id AND cp.a_row_id = 'D:' || c.norm AND cp.b_row_id = leader),
+mcells AS (SELECT process_id, row_id, supplier, price AS unit_price, quantity, unit FROM placed QUALIFY row_number() OVER (PARTITION BY process_id, row_id, supplier ORDER BY seq DESC) = 1),
+shown AS (SELECT process_id, row_id, arg_min(unit, supplier) FILTER (unit IS NOT NULL) AS u, arg_min(quantity, supplier) FILTER (quantity IS NOT NULL) AS q FROM mcells GROUP BY ALL),
+mrows AS (
+  SELECT process_id, row_id, CASE WHEN bool_or(coalesce(fixed, false)) THEN any_value(m_desc) ELSE coalesce(first(description ORDER BY length(description) DESC, seq) FILTER (price IS NOT NULL), first(description ORDER BY length(description) DESC, seq)) END AS description,
+    CASE WHEN NOT bool_or(coalesce(fixed, false)) THEN arg_min(quantity, seq) FILTER (quantity IS NOT NULL) END AS quantity, CASE WHEN NOT bool_or(coalesce(fixed, false)) THEN arg_min(unit, seq) FILTER (unit IS NOT NULL) END AS unit FROM placed GROUP BY ALL
+  UNION ALL SELECT process_id, 'K:' || (seq - 1152921504606846976), description, NULL, NULL FROM ma WHERE (process_id, seq - 1152921504606846976) NOT IN (SELECT (process_id, m_seq) FROM named WHERE m_score >= 50)),
+mprices AS (SELECT process_id, row_id, list_sort(list(unit_price)) AS p FROM mcells WHERE unit_price IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+mhalves AS (SELECT process_id, row_id, p[1:len(p) // 2] AS a, p[len(p) - len(p) // 2 + 1:] AS b FROM mprices),
+mq AS (SELECT process_id, row_id, (a[(len(a) + 1) // 2] + a[len(a) // 2 + 1]) / 2 AS q1, (b[(len(b) + 1) // 2] + b[len(b) // 2 + 1]) / 2 AS q3 FROM mhalves),
+firsts AS (SELECT process_id, row_id, min(seq) AS s, arg_min(quantity, seq) AS q FROM placed WHERE quantity IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_MAP}
+SELECT 'row' AS section, process_id, row_id, coalesce(unit, u, 'UN') AS key, description AS text, coalesce(quantity, q) AS number FROM mrows LEFT JOIN shown USING (process_id, row_id)
+UNION ALL SELECT 'cell', process_id, row_id, supplier, unit, unit_price FROM mcells
+UNION ALL SELECT 'review', process_id, row_id, CASE WHEN corrected THEN 'casamento por correção salva' WHEN coalesce(same_unit, false) THEN 'casamento por descrição + UF confirmada' ELSE 'casamento por descrição' END, row_id[3:], CASE WHEN corrected THEN 100.0 ELSE score END FROM placed WHERE score IS NOT NULL
+UNION ALL SELECT 'review', process_id, row_id, k, m_desc, m_score FROM placed CROSS JOIN (VALUES ('número igual, descrição muito diferente'), ('número igual, bloqueado por descrição incompatível')) t(k) WHERE blocked
+UNION ALL SELECT 'review', p.process_id, p.row_id, 'quantidade divergente', NULL, p.quantity FROM placed p JOIN firsts f USING (process_id, row_id) WHERE p.seq > f.s AND least(p.quantity, f.q) > 0 AND greatest(p.quantity, f.q) / least(p.quantity, f.q) > 2
+UNION ALL SELECT 'review', process_id, row_id, 'preço fora da curva', NULL, unit_price FROM mcells JOIN mq USING (process_id, row_id) WHERE unit_price < q1 - 1.5 * (q3 - q1) OR unit_price > q3 + 1.5 * (q3 - q1)""")
+def whole_map(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, cells and review of the map of stored processes, with a master list and saved decisions."""
+    own = items(spark, d)
+    stored = own.select("file_id", "supplier").distinct().groupBy("file_id").agg(F.min("supplier").alias("supplier"), F.count("*").alias("n"))
+    # a file of one supplier needn't name it in its items
+    alone = own.join(stored.filter("n = 1").select("file_id", F.lit(True).alias("__one")).hint("merge"), "file_id", "left").withColumn("supplier", F.when(F.col("__one").isNull(), F.col("supplier"))).drop("__one")
+    links = own.select("process_id", "file_id").distinct()
+    out = price_map.rebuild_map(links, stored, alone, master=bound(spark, d, SQL_MASTER), corrections=bound(spark, d, SQL_DECIDED))
+    section = lambda name, df, key, text_, number: df.select(F.lit(name).alias("section"), "process_id", "row_id", F.col(key).alias("key"), F.col(text_).alias("text"), F.col(number).cast("double").alias("number"))
+    rows = section("row", out["rows"], "unit", "description", "quantity")
+    return rows.unionByName(section("cell", out["cells"], "supplier", "unit", "unit_price")).unionByName(section("review", out["review"], "kind", "matched_desc", "score"))
+
+
 # -- counters and reports ----------------------------------------------------------------------------------
 
 
