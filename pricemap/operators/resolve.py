@@ -298,10 +298,13 @@ def consensus_master(items: DataFrame, min_agree: int = 3, threshold: float = 80
     text = F.trim(F.coalesce("description", F.lit("")))
     groups = items.filter(F.col("item_no").isNotNull() & (text != "")).groupBy("process_id", "item_no", text.alias("description")).agg(weight.alias("w"), F.min("seq").alias("seq"))
     enough = groups.groupBy("process_id", "item_no").agg(F.sum("w").alias("total")).filter(F.col("total") >= min_agree).drop("total")
-    groups = groups.join(enough, ["process_id", "item_no"])
-    other = groups.select("process_id", "item_no", F.col("description").alias("o_desc"), F.col("w").alias("o_w"))
-    met = groups.join(other.hint("merge"), ["process_id", "item_no"])
-    alike = levenshtein_score(token_sorted(F.col("description")), token_sorted(F.col("o_desc"))) >= threshold
+    groups = groups.join(enough.hint("merge"), ["process_id", "item_no"])
+    # bounds by length and characters come before the score
+    groups = written(groups.withColumn("t", token_sorted(F.col("description"))), "consensus-texts")
+    groups = written(groups.withColumns({"marks": marks(F.col("t")), "n": F.length("t")}), "consensus-marks")
+    other = groups.select("process_id", "item_no", F.col("t").alias("o_t"), F.col("marks").alias("o_marks"), F.col("n").alias("o_n"), F.col("w").alias("o_w"))
+    met = groups.join(other.hint("merge"), ["process_id", "item_no"]).filter(levenshtein_possible(F.col("marks"), F.col("o_marks"), F.col("n"), F.col("o_n"), threshold))
+    alike = levenshtein_score(F.col("t"), F.col("o_t")) >= threshold
     agreed = met.filter(alike).groupBy("process_id", "item_no", "description", "seq").agg(F.sum("o_w").alias("n_agree"))
     best = F.row_number().over(Window.partitionBy("process_id", "item_no").orderBy(F.desc("n_agree"), F.desc(F.length("description")), "seq"))
     return agreed.withColumn("n", best).filter((F.col("n") == 1) & (F.col("n_agree") >= min_agree)).select("process_id", "item_no", "description", "n_agree")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricemap.functions import classify, contacts, dates, normalize, similarity, text
-from pricemap.operators import attachments, documents, enrichment, participation, prices, report, resolve
+from pricemap.operators import attachments, documents, enrichment, participation, prices, report, resolve, terms
 from pricemap.plans import price_map
 from pricemap.plans.bindings import bound, items, messages, table
 from pricemap.plans.queries import SQL_ASSIGNED, SQL_CACHE, SQL_CELLS, SQL_CODE, SQL_DESC, SQL_FILES, SQL_ITEMS, SQL_MESSAGES, SQL_PAIRS, SQL_PART, SQL_SCORED, SQL_TAX_IDS, SQL_TOKENS, _score, assigned, attached, cells, fresh, part, query
@@ -228,6 +228,14 @@ def best_term(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", similarity.best_term_ratio(F.split("p_name", " ")[0], _TERMS).alias("best"))
 
 
+@query()
+def near_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words of all parts' names, types and some misspellings of them, with the nearest term by the matcher's ratio."""
+    own = table(spark, d, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("w")).distinct()
+    tokens = own.select(F.explode(F.array("w", F.concat("w", F.lit("s")), F.substring("w", 2, 30), F.concat(F.substring("w", 1, 2), F.lit("x"), F.substring("w", 3, 30)))).alias("token"))
+    return terms.best_term(tokens, [*_TERMS, "large", "medium", "standard", "economy", "promo", "gear", "bolt"], 0.75)
+
+
 # -- choices between extractions ---------------------------------------------------------------------------
 
 SQL_TWO = f"""{SQL_ITEMS}, a AS (SELECT file_id, seq, description, 'tabela' AS how FROM items WHERE seq % 3 <> 0), b AS (SELECT file_id, seq, description, 'linhas' AS how FROM items WHERE seq % 5 <> 0)"""
