@@ -9,6 +9,8 @@ from pricemap.functions.classify import is_institutional
 from pricemap.functions.contacts import preferred_name
 from pricemap.functions.dates import elapsed_hours
 from pricemap.operators.asof import asof_join
+from pricemap.operators.enrichment import name_match
+from pricemap.work import written
 
 PAIR = ["process_id", "from_email"]
 
@@ -121,6 +123,29 @@ def items_per_supplier(links: DataFrame, items: DataFrame, suppliers: DataFrame)
     return joined.select("process_id", "email", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_files", F.lit(0)).alias("n_files"))
 
 
+def items_per_supplier_by_name(links: DataFrame, items: DataFrame, suppliers: DataFrame, documents: DataFrame) -> DataFrame:
+    """Items of each supplier of a process, by mail or else by company.
+
+    Links with a sender count for its address.  The files of the others count for every supplier
+    (process_id, email, name) whose name is likely that of the file's company (``documents``: file_id, supplier).  Senders with items
+    but no supplier row appear too; suppliers without items have zero.
+    """
+    mail = F.lower(F.trim(F.coalesce("sender_email", F.lit(""))))
+    counts = items.groupBy("process_id", "file_id").agg(F.count("*").alias("n"))
+    linked = links.select("process_id", "file_id", mail.alias("email")).join(counts.hint("merge"), ["process_id", "file_id"])
+    by_mail = linked.filter("email <> ''").groupBy("process_id", "email").agg(F.sum("n").alias("by_mail"))
+    company = F.trim(F.coalesce("supplier", F.lit("")))
+    owned = linked.filter("email = ''").join(documents.select("file_id", company.alias("company")).hint("merge"), "file_id").filter("company <> ''")
+    owned = written(owned.groupBy("process_id", "company").agg(F.sum("n").alias("n")), "company-items")
+    known = suppliers.select("process_id", F.lower(F.trim("email")).alias("email"), F.trim(F.coalesce("name", F.lit(""))).alias("name")).filter("email <> ''").distinct()
+    names, companies = known.select("name", F.col("name").alias("of_name")).distinct(), owned.select(F.col("company").alias("name"), "company").distinct()
+    alike = written(name_match(names, companies, "of_name", "company").select("of_name", "company"), "company-names")
+    met = known.join(alike.hint("merge"), known["name"] == alike["of_name"]).join(owned.hint("merge"), ["process_id", "company"])
+    by_name = met.groupBy("process_id", "email").agg(F.sum("n").alias("by_name"))
+    out = known.select("process_id", "email").distinct().join(by_mail.hint("merge"), ["process_id", "email"], "full_outer").join(by_name.hint("merge"), ["process_id", "email"], "left")
+    return out.select("process_id", "email", (F.coalesce("by_mail", F.lit(0)) + F.coalesce("by_name", F.lit(0))).alias("n_items"))
+
+
 def backfill_sender(links: DataFrame, messages: DataFrame) -> DataFrame:
     """Links whose sender is blank take it from the message that their file id names."""
     wanted = F.when((F.trim(F.coalesce("sender_email", F.lit(""))) == "") & F.col("file_id").startswith("email_attachment:"), F.regexp_extract("file_id", r"^email_attachment:([^:]*):", 1))
