@@ -57,6 +57,19 @@ def first_nonempty_source(items: DataFrame) -> DataFrame:
     return items.join(best.hint("merge"), "file_id").filter("rank = best").drop("best")
 
 
+def attempts_usage(attempts: DataFrame) -> DataFrame:
+    """(file_id, rank, n_attempts, n_items and summed tokens and cost) of each file: the source whose items are taken, and what all attempts used.
+
+    ``attempts``: file_id, rank, n_items (null where the source failed), prompt_tokens, completion_tokens, cost, estimated.
+    A file all of whose sources failed or were empty keeps its last one; a cost is estimated if any part is.
+    """
+    good = F.col("n_items") > 0
+    taken = F.coalesce(F.min(F.when(good, F.col("rank"))), F.max("rank")).alias("rank")
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("prompt_tokens", "completion_tokens", "cost")]
+    n_items = F.coalesce(F.min_by("n_items", F.when(good, F.col("rank"))), F.lit(0)).alias("n_items")
+    return attempts.groupBy("file_id").agg(taken, F.count("*").alias("n_attempts"), n_items, *sums, F.coalesce(F.bool_or("estimated"), F.lit(False)).alias("estimated"))
+
+
 def choose_extraction(tables: DataFrame, lines: DataFrame) -> DataFrame:
     """Items found in tables, or those found in lines where these are more."""
     n_tables = tables.groupBy("file_id").agg(F.count("*").alias("t"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from pricemap.functions import classify, contacts, dates, normalize, similarity, text
 from pricemap.operators import attachments, documents, enrichment, participation, prices, report, resolve, terms
+from pricemap.operators import listings as listed
+from pricemap.operators.order import placed
 from pricemap.plans import price_map
 from pricemap.plans.bindings import bound, items, messages, table
 from pricemap.plans.queries import SQL_ASSIGNED, SQL_CACHE, SQL_CELLS, SQL_CODE, SQL_DESC, SQL_FILES, SQL_ITEMS, SQL_MESSAGES, SQL_PAIRS, SQL_PART, SQL_SCORED, SQL_TAX_IDS, SQL_TOKENS, _score, assigned, attached, cells, fresh, part, query
@@ -540,6 +542,35 @@ def items_per_company(spark: SparkSession, d: str) -> DataFrame:
     return participation.items_per_supplier_by_name(links, items(spark, d), known, docs)
 
 
+SQL_ATTEMPTS = """SELECT CONCAT('F', CAST(o_orderkey AS STRING)) AS file_id, r AS rank, CASE WHEN (o_orderkey + r) % 5 = 0 THEN NULL ELSE (o_orderkey * r) % 4 END AS n_items, o_orderkey % 1000 AS prompt_tokens, CASE WHEN o_orderkey % 7 <> 0 THEN r * 10 END AS completion_tokens,
+  CAST(o_orderkey % 100 AS DOUBLE) / 64 AS cost, r = 2 AS estimated FROM {orders} JOIN (SELECT 1 AS r UNION ALL SELECT 2 AS r) ON r = 1 OR o_orderkey % 2 = 0"""
+
+
+@query(f"""SELECT file_id, coalesce(min(rank) FILTER (n_items > 0), max(rank)) AS rank, count(*) AS n_attempts, coalesce(arg_min(n_items, rank) FILTER (n_items > 0), 0) AS n_items, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+CAST(sum(coalesce(completion_tokens, 0)) AS BIGINT) AS completion_tokens, sum(cost) AS cost, bool_or(estimated) AS estimated FROM ({SQL_ATTEMPTS}) GROUP BY file_id""")
+def attempts_usage(spark: SparkSession, d: str) -> DataFrame:
+    return documents.attempts_usage(bound(spark, d, SQL_ATTEMPTS))
+
+
+#: Places in the listings: the twin numbers the rows as they should come.
+@query(f"""WITH {SQL_MESSAGES}, p AS (SELECT process_id, min(sent_at) AS created_at FROM fresh GROUP BY ALL)
+SELECT 'process' AS listing, process_id, process_id AS entry, row_number() OVER (ORDER BY created_at DESC, process_id) - 1 AS place FROM p
+UNION ALL SELECT 'message', process_id, message_id, row_number() OVER (ORDER BY process_id, CASE WHEN ingest_seq % 9 <> 0 THEN sent_at END NULLS FIRST, ingest_seq) - 1 FROM fresh
+UNION ALL SELECT 'link', process_id, message_id, row_number() OVER (ORDER BY process_id, sent_at, message_id) - 1 FROM fresh WHERE ingest_seq % 3 = 0
+UNION ALL SELECT 'supplier', NULL, from_email, row_number() OVER (ORDER BY lower(CASE WHEN contains(from_email, 'gmail') THEN upper(from_email) ELSE from_email END), from_email) - 1 FROM (SELECT DISTINCT from_email FROM fresh)""")
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """The four listings, with each row's place in its order."""
+    own = fresh(spark, d)
+    made = own.groupBy("process_id").agg(F.min("sent_at").alias("created_at"))
+    dated = own.withColumn("sent_at", F.when(F.col("ingest_seq") % 9 != 0, F.col("sent_at")))
+    links = own.filter("ingest_seq % 3 = 0").select("process_id", F.col("message_id").alias("file_id"), F.col("sent_at").alias("created_at"))
+    named = own.select(F.col("from_email").alias("email")).distinct().withColumn("name", F.when(F.col("email").contains("gmail"), F.upper("email")).otherwise(F.col("email")))
+    parts = [("process", listed.processes(made), "process_id"), ("message", listed.process_messages(dated), "message_id"), ("link", listed.process_links(links), "file_id"), ("supplier", listed.supplier_names(named).withColumn("process_id", F.lit(None).cast("string")), "email")]
+    # the order is the result here, so each sorted listing is written and its rows are counted through its ranges
+    out = [placed(df).select(F.lit(kind).alias("listing"), "process_id", F.col(c).alias("entry"), "place") for kind, df, c in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 # -- counters and reports ----------------------------------------------------------------------------------
 
 
