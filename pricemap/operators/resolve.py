@@ -445,15 +445,18 @@ def _final_roots(merges: DataFrame) -> DataFrame:
     return merges.join(reach.hint("merge"), "row_id")
 
 
-def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, cells: DataFrame, descriptions: DataFrame, min_confidence: float = 70.0, local: int = LOCAL_EDGES) -> DataFrame:
+def apply_verdicts(pairs: DataFrame, verdicts: DataFrame, cells: DataFrame, descriptions: DataFrame | None = None, min_confidence: float = 70.0, local: int = LOCAL_EDGES) -> DataFrame:
     """(process_id, row_id, absorbed_by, merged_into, pair_id) of the rows that approved pairs merge.
 
     ``pairs``: pair_id, process_id, row_a, row_b, seq_a, seq_b; they are taken in the order of their rows.  Two
     rows' groups that share a supplier by then stay apart; the row with the longer of ``descriptions``
-    (process_id, row_id, description) absorbs the other, on ties the first.  ``merged_into`` is where a row
-    ends up.  Components of up to ``local`` pairs are solved whole, larger ones in rounds.
+    (process_id, row_id, description) absorbs the other, on ties and without them the first.  Pairs without the seqs
+    of their rows go by pair_id.  ``merged_into`` is where a row ends up.  Components of up to ``local`` pairs are solved whole, larger ones in rounds.
     """
     node = lambda r: F.concat_ws("\x01", "process_id", r)
+    if descriptions is None:
+        descriptions = cells.select("process_id", "row_id", F.lit("").alias("description")).distinct()
+    pairs = pairs if "seq_a" in pairs.columns else pairs.withColumns({"seq_a": F.col("pair_id"), "seq_b": F.col("pair_id")})
     approved = pairs.join(verdicts.hint("merge"), "pair_id").filter(F.col("same_item") & (F.col("confidence") >= min_confidence))
     own = cells.groupBy(node("row_id").alias("r")).agg(F.collect_set("supplier").alias("s"))
     sizes = descriptions.groupBy(node("row_id").alias("r")).agg(F.max(F.length(F.coalesce("description", F.lit("")))).alias("n"))
