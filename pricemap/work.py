@@ -31,13 +31,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a qualified path, for files that tasks read or write themselves."""
+    """(pyarrow filesystem, path) of a path, for files that tasks read or write themselves.
+
+    The path must be :func:`qualified` on the driver: one without a scheme is a local one here.
+    """
     from pyarrow import fs
 
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    if ":" not in uri.split("/", 1)[0]:
-        raise ValueError(f"{uri} names no file system: qualify it on the driver")
     return fs.FileSystem.from_uri(uri)
 
 
