@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pricemap.llm import tokens
 from pricemap.llm.store import WholeFile, filesystem, new_dir, saved
+from pricemap.work import qualified
 from pricemap.llm.token_files import narrow
 
 #: Tokens that one block of the scan holds.
@@ -29,6 +30,7 @@ def write_flat_files(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_B
     order.  Null and empty texts are the end id alone; repeated rows are written each; an empty table
     writes no file; other columns are not read.
     """
+    path = qualified(docs.sparkSession, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def write(batches):

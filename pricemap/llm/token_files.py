@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pricemap.llm import tokens
 from pricemap.llm.store import WholeFile, filesystem, new_dir, saved
+from pricemap.work import qualified
 
 MAGIC = b"PMTOK1"
 HEADER, FOOTER = "<6sH32s", "<QQ6s"
@@ -80,6 +81,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = tokens.BYTE_
     Null texts count as empty (the end id alone); null doc_ids come first; rows that repeat a doc_id
     are all written, ordered by their ids' crc32; an empty table writes no file; other columns are not read.
     """
+    path = qualified(docs.sparkSession, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = 2 if tokens.encoder(vocabulary).tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
     raw_dictionary = train_dictionary(rows, vocabulary, end_id, width)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.llm.store import WholeFile, filesystem, new_dir, saved
+from pricemap.work import qualified
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,6 +81,7 @@ def write_captures(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFra
     payload; a null url leaves the target out; rows that repeat a page_id and payload are captures of
     their own, of which the first is the response; null page_ids come after all others.
     """
+    path = qualified(pages.sparkSession, path)
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.concat_ws("/", "digest", F.col("page_id").cast("string")))
