@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local applications without a setting, by their id.
+_LOCAL: dict[str, str] = {}
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with its scheme, by Hadoop's default file system where it has none, so that driver, tasks and Python mean the same folder."""
     raw = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -20,8 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="pricemap-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # a setting of the whole application can't be made later: the folder is kept here
+        name = spark.sparkContext.applicationId
+        base = _LOCAL[name] = _LOCAL.get(name) or tempfile.mkdtemp(prefix="pricemap-", dir="/tmp")
     return qualified(spark, base)
 
 

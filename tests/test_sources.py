@@ -124,15 +124,11 @@ def test_stream_of_participations_with_repeats_and_late_first_arrivals(spark, tm
     assert (x.asked, x.sent_quote, x.declined, x.requested_at, x.first_reply_at) == (False, False, False, None, at(9))
 
 
-def test_work_paths_carry_their_scheme(spark, tmp_path, monkeypatch):
+def test_work_paths_carry_their_scheme(spark, tmp_path):
     from pricemap import work
 
-    assert work.qualified(spark, str(tmp_path / "x")) == f"file:{tmp_path}/x"
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))  # a bare path
-    try:
-        assert work.new_folder(spark, "t").startswith(f"file:{tmp_path}/t-")
-        where, inner = work.filesystem(work.new_folder(spark, "t"))
-        assert where.type_name == "local" and inner.startswith(f"{tmp_path}/t-")
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    assert work.qualified(spark, str(tmp_path / "x")) == f"file:{tmp_path}/x"  # a bare path
+    made = work.new_folder(spark, "t")
+    assert made.startswith("file:/") and work.shared_folder(spark) == work.shared_folder(spark)
+    where, inner = work.filesystem(made)
+    assert where.type_name == "local" and inner.startswith("/") and "/t-" in inner
