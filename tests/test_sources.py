@@ -132,3 +132,18 @@ def test_work_paths_carry_their_scheme(spark, tmp_path):
     assert made.startswith("file:/") and work.shared_folder(spark) == work.shared_folder(spark)
     where, inner = work.filesystem(made)
     assert where.type_name == "local" and inner.startswith("/") and "/t-" in inner
+
+
+def test_changed_participations_tell_senders_that_lost_their_messages(spark):
+    at = lambda k: datetime(2024, 5, 1, 0, k)
+    schema = "process_id string, message_id string, ingest_seq long, from_email string, type string, sent_at timestamp, batch long"
+    rows = [("p", "m1", 5, "a", "pedido_orcamento", at(5), 0), ("p", "m2", 6, "b", "declinio", at(6), 0), ("p", "m1", 2, "x", "duvida", at(9), 1), ("p", "m1", 1, "y", None, None, 2)]
+    arrivals = spark.createDataFrame(rows, schema)
+    got = lambda number: {r.from_email: (r.n_messages, r.asked, r.requested_at, r.first_reply_at) for r in streamed.changed_participations(arrivals, number).collect()}
+    assert got(0) == {"a": (1, True, at(5), None), "b": (1, False, None, at(6))}
+    # nothing of b's has changed
+    assert got(1) == {"a": (0, None, None, None), "x": (1, False, None, at(9))}
+    assert got(2) == {"a": (0, None, None, None), "x": (0, None, None, None), "y": (1, None, None, None)}
+    # state is Spark's own: no Python runs for a message
+    stream = spark.readStream.schema(arrivals.drop("batch").schema).parquet("/tmp")
+    assert "StateInPandas" not in streamed.first_arrivals(stream)._jdf.queryExecution().analyzed().toString()
