@@ -21,7 +21,7 @@ def words(col: Column) -> Column:
 
 def token_sorted(col: Column) -> Column:
     """The words of a text in order, one space between."""
-    return F.array_join(F.array_sort(words(col)), " ")
+    return F.array_join(F.sort_array(words(col)), " ")
 
 
 def levenshtein_score(a: Column, b: Column) -> Column:
@@ -123,6 +123,11 @@ def best_term_ratio(token: Column, terms: list[str]) -> Column:
 def item_similarity(no_a: Column, no_b: Column, desc_a: Column, desc_b: Column, unit_a: Column, unit_b: Column, qty_a: Column, qty_b: Column, metric: str = "levenshtein") -> Column:
     """100 for equal numbers, else 60 % description, 25 % unit, 15 % quantity within 5 %."""
     text = token_set_ratio(desc_a, desc_b) if metric == "difflib" else levenshtein_score(token_sorted(desc_a), token_sorted(desc_b))
+    return weighted_similarity(no_a, no_b, text, unit_a, unit_b, qty_a, qty_b)
+
+
+def weighted_similarity(no_a: Column, no_b: Column, text: Column, unit_a: Column, unit_b: Column, qty_a: Column, qty_b: Column) -> Column:
+    """:func:`item_similarity` where the descriptions' score is known."""
     same_unit = F.when(unit_a.isNotNull() & (unit_a == unit_b), 100.0).otherwise(0.0)
     close = (qty_a == qty_b) | (F.abs(qty_a - qty_b) / F.greatest(F.abs(qty_a), F.abs(qty_b)) < 0.05)
     same_qty = F.when(F.coalesce(close, F.lit(False)), 100.0).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricemap.functions.similarity import item_similarity
+from pricemap.functions.similarity import item_similarity, levenshtein_score, token_sorted, weighted_similarity
 from pricemap.work import drop, written
 
 
@@ -85,13 +85,50 @@ def document_supplier(alternate: Column, legal: Column, file_stem: Column) -> Co
     return F.coalesce(filled(alternate), filled(legal), file_stem)
 
 
-def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
+#: Items of both extractions of a document that one task pairs; the pairs of larger documents are taken in rounds.
+LOCAL_ITEMS = 100
+
+
+def _by_document(a: DataFrame, b: DataFrame, names: list[str], local: int) -> tuple[DataFrame, DataFrame]:
+    """(file_id, a, b, taken) of each document of up to ``local`` items: either side's, and the pairs (the negative score, a_seq, b_seq) that are taken; the ids of larger documents.
+
+    All pairs are gone through from the best one down, and taken where neither item is yet.
+    """
+    # words are sorted once an item, not once a pair
+    item = F.struct(*names, token_sorted(F.col("description")).alias("words"))
+    side = lambda df, c: df.filter("file_id is not null").select("file_id", item.alias(c))
+    both = side(a, "a").unionByName(side(b, "b"), allowMissingColumns=True)
+    large = written(both.groupBy("file_id").count().filter(F.col("count") > local).select("file_id"), "large-documents")
+    small = both if large.isEmpty() else both.join(large.hint("merge"), "file_id", "left_anti")
+    grouped = small.groupBy("file_id").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+
+    def scored(x: Column, y: Column) -> Column:
+        score = weighted_similarity(x["item_no"], y["item_no"], levenshtein_score(x["words"], y["words"]), x["unit"], y["unit"], x["quantity"], y["quantity"])
+        return F.struct((-F.round(score, 4)).alias("low"), x["seq"].alias("a_seq"), y["seq"].alias("b_seq"))
+
+    pairs = F.sort_array(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: scored(x, y)))))
+    used = lambda taken, p: F.exists(taken, lambda t: (t["a_seq"] == p["a_seq"]) | (t["b_seq"] == p["b_seq"]))
+    taken = F.aggregate("pairs", F.slice("pairs", 1, 0), lambda taken, p: F.when(used(taken, p), taken).otherwise(F.array_append(taken, p)))
+    return grouped.withColumn("pairs", pairs).withColumn("taken", taken).drop("pairs"), large
+
+
+def _of(df: DataFrame, documents: DataFrame) -> DataFrame:
+    return df.join(documents.hint("merge"), "file_id", "left_semi")
+
+
+def reconcile(a: DataFrame, b: DataFrame, local: int = LOCAL_ITEMS) -> DataFrame:
     """One-to-one pairs of two extractions of a document, greedy by similarity.
 
-    Per round all pairs that are the best of both their items are taken, which is what picking the
-    best pair of all again and again gives under the order (score descending, a, b).
+    A document of up to ``local`` items is one task's, a larger one goes in rounds.
     ``a`` and ``b``: file_id, seq, item_no, description, unit, quantity.
     """
+    small, large = _by_document(a, b, ["seq", "item_no", "unit", "quantity"], local)
+    taken = small.select("file_id", F.inline("taken")).select("file_id", "a_seq", "b_seq", (-F.col("low")).alias("score"))
+    return taken if large.isEmpty() else taken.unionByName(_reconcile_by_rounds(_of(a, large), _of(b, large)).select(*taken.columns))
+
+
+def _reconcile_by_rounds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The same in rounds: each takes all pairs that are the best of both their items."""
     left = a.select("file_id", *[F.col(c).alias(f"a_{c}") for c in ("seq", "item_no", "description", "unit", "quantity")])
     right = b.select("file_id", *[F.col(c).alias(f"b_{c}") for c in ("seq", "item_no", "description", "unit", "quantity")])
     pair = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
@@ -112,15 +149,31 @@ def reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
         rounds.append(scored)
 
 
-def reconciled(a: DataFrame, b: DataFrame) -> DataFrame:
+def reconciled(a: DataFrame, b: DataFrame, local: int = LOCAL_ITEMS) -> DataFrame:
     """Items of two extractions of a document: pairs merged, the rest of either side as it is (J5, G7); ``side`` tells whose ``seq`` it is."""
     names = ["seq", "description", "unit", "quantity", "unit_price"]
-    taken = reconcile(a, b)
+    small, large = _by_document(a, b, [*names, "item_no"], local)
+    entry = lambda x, y, score, side: F.struct(x.alias("a"), y.alias("b"), score.cast("double").alias("score"), F.lit(side).alias("side"))
+    of_pair = lambda x, t: F.transform(F.filter("b", lambda y: y["seq"] == t["b_seq"]), lambda y: entry(x, y, -t["low"], "a"))
+    pairs = F.flatten(F.flatten(F.transform("a", lambda x: F.transform(F.filter("taken", lambda t: t["a_seq"] == x["seq"]), lambda t: of_pair(x, t)))))
+    alone = lambda c, x: ~F.coalesce(F.exists("taken", lambda t: t[f"{c}_seq"] == x["seq"]), F.lit(False))
+    rest = lambda c: F.transform(F.filter(c, lambda x: alone(c, x)), lambda x: entry(x, F.get(F.slice(c, 1, 0), F.lit(0)), F.lit(None), c))
+    made = small.select("file_id", F.inline(F.concat(pairs, rest("a"), rest("b"))))
+    side_of = lambda p: [F.col(f"{p}.{c}").alias(f"{p}_{c}") for c in names]
+    parts = [made.select("file_id", *side_of("a"), *side_of("b"), "score", "side")]
+    # items of no document have no partner
     left, right = (df.select("file_id", *[F.col(c).alias(f"{p}_{c}") for c in names]) for df, p in ((a, "a"), (b, "b")))
-    pairs = left.join(taken.hint("merge"), ["file_id", "a_seq"]).join(right.hint("merge"), ["file_id", "b_seq"]).withColumn("side", F.lit("a"))
-    of_a = left.join(taken.select("file_id", "a_seq").hint("merge"), ["file_id", "a_seq"], "left_anti").withColumn("side", F.lit("a"))
-    of_b = right.join(taken.select("file_id", "b_seq").hint("merge"), ["file_id", "b_seq"], "left_anti").withColumnsRenamed({f"b_{c}": f"a_{c}" for c in names}).withColumn("side", F.lit("b"))
-    return merge_pair(pairs.unionByName(of_a, allowMissingColumns=True).unionByName(of_b, allowMissingColumns=True)).withColumnRenamed("a_seq", "seq")
+    as_a = lambda df: df.withColumnsRenamed({f"b_{c}": f"a_{c}" for c in names})
+    parts += [df.filter("file_id is null").withColumn("side", F.lit(p)) for df, p in ((left, "a"), (as_a(right), "b"))]
+    if not large.isEmpty():
+        left, right, taken = _of(left, large), _of(right, large), _reconcile_by_rounds(_of(a, large), _of(b, large))
+        parts += [left.join(taken.hint("merge"), ["file_id", "a_seq"]).join(right.hint("merge"), ["file_id", "b_seq"]).withColumn("side", F.lit("a"))]
+        parts += [left.join(taken.select("file_id", "a_seq").hint("merge"), ["file_id", "a_seq"], "left_anti").withColumn("side", F.lit("a"))]
+        parts += [as_a(right.join(taken.select("file_id", "b_seq").hint("merge"), ["file_id", "b_seq"], "left_anti")).withColumn("side", F.lit("b"))]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more, allowMissingColumns=True)
+    return merge_pair(whole).withColumnRenamed("a_seq", "seq")
 
 
 def merge_pair(pairs: DataFrame) -> DataFrame:

@@ -220,3 +220,20 @@ def test_save_items_replaces_only_its_files(spark, tmp_path):
     store.save_items(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "file_id string, seq int"), path)
     store.save_items(spark.createDataFrame([("a", 9)], "file_id string, seq int"), path)
     assert sorted((r.file_id, r.seq) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 1)]
+
+
+def test_reconcile_of_many_documents_is_one_pass_and_the_same_in_rounds(spark):
+    from pricemap.operators.documents import _reconcile_by_rounds
+
+    rng = random.Random(5)
+    row = lambda f, k: (f, k, rng.choice([None, "1"]), rng.choice(["bomba", "bomba dagua", "cabo", "tubo pvc", None]), rng.choice(["UN", None]), rng.choice([0.0, 2.0, None]), rng.choice([1.0, None]))
+    schema = "file_id string, seq long, item_no string, description string, unit string, quantity double, unit_price double"
+    a, b = (spark.createDataFrame([row(f"f{f}", k) for f in range(n) for k in range(rng.randrange(1, 7))] + [row(None, 99)], schema) for n in (4, 5))
+    pairs = lambda df: sorted((r.file_id, r.a_seq, r.b_seq, r.score) for r in df.collect())
+    want = pairs(_reconcile_by_rounds(a, b))
+    assert pairs(documents.reconcile(a, b)) == pairs(documents.reconcile(a, b, local=6)) == want
+    items = lambda df: sorted(map(repr, df.collect()))
+    whole = items(documents.reconciled(a, b))
+    assert whole == items(documents.reconciled(a, b, local=6)) and len(whole) == a.count() + b.count() - len(want)
+    # no document is paired by a join of all items
+    assert "SortMergeJoin" not in documents.reconcile(a, b)._jdf.queryExecution().executedPlan().toString()
