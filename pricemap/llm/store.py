@@ -11,19 +11,16 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricemap.work import filesystem, new_folder
+from pricemap.work import CLEAN_KEY, filesystem, new_folder
 
 _SCOPES: list[list[DataFrame]] = []
 
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path (not yet created) below the shared folder, with its scheme: tasks and pyarrow take it for the same folder as Spark."""
     return new_folder(spark, name)
 
 
-#: Spark's own setting: the shuffle files of an execution go when it ends, not when the driver collects garbage.
-CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def saved(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read back with the same schema.
 

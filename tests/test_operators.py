@@ -237,3 +237,16 @@ def test_reconcile_of_many_documents_is_one_pass_and_the_same_in_rounds(spark):
     assert whole == items(documents.reconciled(a, b, local=6)) and len(whole) == a.count() + b.count() - len(want)
     # no document is paired by a join of all items
     assert "SortMergeJoin" not in documents.reconcile(a, b)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uncapped_gray_zone_shuffles_no_pairs(spark):
+    texts = [f"peca de aco {k % 7} lisa {k}" for k in range(40)]
+    rows = spark.createDataFrame([("p", f"D:{t}", k, t, None) for k, t in enumerate(texts)], "process_id string, row_id string, row_seq long, text string, unit string")
+    cells = spark.createDataFrame([("p", f"D:{t}", s) for k, t in enumerate(texts[:35]) for s in (f"s{k % 5}", None)], "process_id string, row_id string, supplier string")
+    gray = resolve.gray_zone_pairs(rows, cells, cap=None)
+    every = resolve.scored_pairs(rows, 60.0).filter("score < 85").collect()
+    seller = {f"D:{t}": k % 5 for k, t in enumerate(texts[:35])}
+    want = sorted((r.a_row_id, r.b_row_id) for r in every if seller.get(r.a_row_id, "a") != seller.get(r.b_row_id, "b"))
+    assert sorted((r.a_row_id, r.b_row_id) for r in gray.collect()) == want and 0 < len(want) < len(every)
+    # one join, whose pairs nothing shuffles
+    assert gray._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1 and "Join Left" not in gray._jdf.queryExecution().optimizedPlan().toString()
