@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricemap.llm.components import connected_components
-from pricemap.llm.similar import likely, similar_links, words_of
+from pricemap.llm.similar import likely, similar_links, verified_links, words_of
 from pricemap.llm.store import drop, saved
 
 SEED = 42
@@ -165,15 +165,31 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     return marked.groupBy("node", "twin").agg(first.alias("__row")).select(F.col("node").alias("__node"), "__row")
 
 
+def fingerprint_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links (src, dst) of the rows (__node, __text) whose fingerprints the segments' tables bring together and whose shingles are alike.
+
+    A node is compared with the smallest one of its fingerprint, and a fingerprint's smallest node with the smallest that it meets.
+    """
+    rows = saved(fingerprints(unique.select(F.col("__node").alias("doc_id"), F.col("__text").alias("text")), n), "fingerprints")
+    first = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints-distinct")
+    same = rows.join(first.hint("merge"), "fp").filter("doc_id <> first").select(F.col("first").alias("src"), F.col("doc_id").alias("dst"))
+    of = lambda c, name: first.select(F.col("fp").alias(c), F.col("first").alias(name)).hint("merge")
+    near = near_links(first).select("src", "dst").join(of("src", "x"), "src").join(of("dst", "y"), "dst")
+    near = near.groupBy(F.greatest("x", "y").alias("dst")).agg(F.min(F.least("x", "y")).alias("src")).select("src", "dst")
+    return verified_links(saved(same.unionByName(near), "fingerprint-pairs"), unique, n, similarity)
+
+
 def one_of_each_group(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies (the smallest doc_id), all columns as they were.
 
-    Texts without words are copies of each other; a row with a null doc_id stays only where no copy has
+    Links come by fingerprints first, each with an exact check; what fingerprints of 64 bits can't bring together, or leave
+    apart, the join on rare shingles completes.  Texts without words are copies of each other; a row with a null doc_id stays only where no copy has
     one; an empty table gives none; columns of any name are kept.
     """
     whole = saved(distinct_documents(docs), "distinct-documents")
     unique = whole.select("__node", F.col("__row.doc_id").cast("long").alias("__id"), F.col("__row.text").cast("string").alias("__text"))
-    groups = saved(connected_components(similar_links(unique, n, similarity)), "similar-groups")
+    known = fingerprint_links(unique, n, similarity)
+    groups = saved(connected_components(similar_links(unique, n, similarity, known)), "similar-groups")
     ids = likely(unique.select("__node", "__id"), groups.select(F.col("node").alias("__node")), groups.count())
     own = groups.join(ids.withColumnRenamed("__node", "node").hint("merge"), "node")
     stays = own.groupBy("root").agg(F.min_by("node", F.struct(F.col("__id").isNull(), "__id", "node")).alias("stays"))

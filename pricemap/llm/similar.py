@@ -234,7 +234,7 @@ def _texts_of(unique: DataFrame, nodes: DataFrame) -> DataFrame:
     return saved(texts, "compared-texts")
 
 
-def _verified(pairs: DataFrame, unique: DataFrame, n: int, similarity: float) -> DataFrame:
+def verified_links(pairs: DataFrame, unique: DataFrame, n: int, similarity: float) -> DataFrame:
     """The pairs (src, dst) of a written table whose texts are alike.
 
     Texts are shuffled, not their shingles: those take twice the room and can't be compressed.
@@ -330,9 +330,10 @@ def _compared_groups(groups: DataFrame, classes: DataFrame, unique: DataFrame, n
     return out
 
 
-def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
+def similar_links(unique: DataFrame, n: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """Links (src, dst) that connect the rows (__node, __text) whose ``n``-word shingle sets have that Jaccard similarity or more.
 
+    ``known`` links are among them, and pairs that these connect aren't compared again.
     First, each node is compared with the smallest it meets; then only pairs that the links so far
     don't connect: copies of one text are compared once each, not all with all.
     """
@@ -341,8 +342,12 @@ def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
     pairs = saved(_sketched(_pairs(one, 1, similarity), signed, similarity), "first-pairs")
     heads = one.filter((F.col("members") > PAIRED) & (F.col("__node") != F.col("head"))).groupBy(F.col("__node").alias("dst")).agg(F.min("head").alias("src"))
     forest = pairs.groupBy("dst").agg(F.min("src").alias("src")).unionByName(_sketched(heads, signed, similarity).select("dst", "src")).distinct()
+    if known is not None:
+        forest = forest.join(known.hint("merge"), ["src", "dst"], "left_anti")
     forest = saved(forest, "first-compared")
-    first = _verified(forest, unique, n, similarity)
+    first = verified_links(forest, unique, n, similarity)
+    if known is not None:
+        first = first.unionByName(known)
     classes = saved(connected_components(first), "first-classes")
     class_of = lambda key, name: classes.select(F.col("node").alias(key), F.col("root").alias(name)).hint("merge")
 
@@ -360,7 +365,7 @@ def similar_links(unique: DataFrame, n: int, similarity: float) -> DataFrame:
     heads = unlike(two).filter(F.col("__node") != F.col("head")).select(F.col("__node").alias("src"), F.col("head").alias("dst")).distinct()
     groups = saved(connected_components(heads), "groups")
     drop(signed, one, two, many, pairs)
-    links = first.unionByName(_verified(more, unique, n, similarity))
+    links = first.unionByName(verified_links(more, unique, n, similarity))
     if not groups.isEmpty():
         links = links.unionByName(_compared_groups(groups, classes, unique, n, similarity))
     return links

@@ -77,3 +77,16 @@ def test_empty_and_odd_tables(spark, small):
         for _, stage in corpus_pipeline.STAGES:
             docs = saved(stage(spark, docs, small), "odd")
         assert docs.count() == 0
+
+
+def test_near_duplicates_are_found_by_fingerprints_first(spark, small, monkeypatch):
+    from pricemap.llm import simhash
+
+    made, real = [], simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda *args: made.append(real(*args)) or made[-1])
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[150:]), "alone here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, small).collect())
+    nodes = dict(simhash.distinct_documents(docs).select("__node", "__row.doc_id").collect())
+    assert kept == [0, 2, 3] and [sorted((nodes[r.src], nodes[r.dst])) for r in made[0].collect()] == [[0, 1]]
