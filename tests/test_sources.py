@@ -134,7 +134,7 @@ def test_work_paths_carry_their_scheme(spark, tmp_path):
     assert where.type_name == "local" and inner.startswith("/") and "/t-" in inner
 
 
-def test_changed_participations_tell_senders_that_lost_their_messages(spark):
+def test_changed_participations_tell_senders_that_lost_their_messages(spark, tmp_path):
     at = lambda k: datetime(2024, 5, 1, 0, k)
     schema = "process_id string, message_id string, ingest_seq long, from_email string, type string, sent_at timestamp, batch long"
     rows = [("p", "m1", 5, "a", "pedido_orcamento", at(5), 0), ("p", "m2", 6, "b", "declinio", at(6), 0), ("p", "m1", 2, "x", "duvida", at(9), 1), ("p", "m1", 1, "y", None, None, 2)]
@@ -145,5 +145,5 @@ def test_changed_participations_tell_senders_that_lost_their_messages(spark):
     assert got(1) == {"a": (0, None, None, None), "x": (1, False, None, at(9))}
     assert got(2) == {"a": (0, None, None, None), "x": (0, None, None, None), "y": (1, None, None, None)}
     # state is Spark's own: no Python runs for a message
-    stream = spark.readStream.schema(arrivals.drop("batch").schema).parquet("/tmp")
+    stream = spark.readStream.schema(arrivals.drop("batch").schema).parquet(str(tmp_path))
     assert "StateInPandas" not in streamed.first_arrivals(stream)._jdf.queryExecution().analyzed().toString()
