@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricemap.functions.contacts import bound
 from pricemap.functions.text import clean_text, strip_accents
 
 # Canonical units and their other spellings (accents are stripped before they are looked up).
@@ -60,10 +61,12 @@ def parse_brl(col: Column) -> Column:
 
 def parse_number(col: Column) -> Column:
     """Loose number: with both separators dots group, a lone one of either kind is decimal."""
-    text = F.regexp_replace(F.trim(col.cast("string")), r"[^\d,.\-]", "")
-    both = text.contains(",") & text.contains(".")
-    number = F.when(both, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(","), F.lit(".")))
-    return number.try_cast("double")
+
+    def number(text: Column) -> Column:
+        both = text.contains(",") & text.contains(".")
+        return F.when(both, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(","), F.lit("."))).try_cast("double")
+
+    return bound(F.regexp_replace(F.trim(col.cast("string")), r"[^\d,.\-]", ""), number)
 
 
 def quantity_diverges(a: Column, b: Column, factor: float = 2.0) -> Column:
@@ -102,25 +105,28 @@ def normalize_items(items: DataFrame) -> DataFrame:
 
 def unit_and_quantity(segment: Column) -> tuple[Column, Column]:
     """Unit and quantity of a line: neighbours between bars first, then a unit and a number side by side."""
+    found = _measured(segment)
+    return found["unit"], found["quantity"]
+
+
+def _measured(segment: Column) -> Column:
+    """(unit, quantity) of a line; each step is bound, or what uses it twice would compute it twice at every level."""
     names = F.array(*[F.lit(x) for x in UNIT_TOKENS])
-    parts = F.filter(F.transform(F.split(segment, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
-    number = F.transform(parts, lambda x: parse_number(x))
-    pairs = F.transform(
-        parts,
-        lambda x, i: F.struct(
-            F.upper(F.regexp_replace(x, r"\s+", " ")).alias("unit"),
-            F.get(number, i + 1).alias("after"),
-            F.when(i > 0, F.get(number, i - 1)).alias("before"),
-        ),
-    )
-    fits = F.filter(pairs, lambda p: F.array_contains(names, p["unit"]))
-    first = F.coalesce(
-        F.get(F.transform(F.filter(fits, lambda p: p["after"].isNotNull()), lambda p: F.struct(p["unit"].alias("unit"), p["after"].alias("quantity"))), F.lit(0)),
-        F.get(F.transform(F.filter(fits, lambda p: p["before"].isNotNull()), lambda p: F.struct(p["unit"].alias("unit"), p["before"].alias("quantity"))), F.lit(0)),
-    )
+    pair = lambda unit, quantity: F.struct(unit.alias("unit"), quantity.alias("quantity"))
+
+    def beside(parts: Column) -> Column:
+        upper = F.transform(parts, lambda x: F.upper(F.regexp_replace(x, r"\s+", " ")))
+        fits = F.filter(F.transform(upper, lambda x, i: F.struct(x.alias("unit"), i.alias("i"))), lambda p: F.array_contains(names, p["unit"]))
+
+        def first(fits: Column, step: int) -> Column:
+            own = F.transform(fits, lambda p: pair(p["unit"], F.when(p["i"] + step >= 0, parse_number(F.get(parts, p["i"] + step)))))
+            return F.get(F.filter(own, lambda p: p["quantity"].isNotNull()), F.lit(0))
+
+        return bound(fits, lambda fits: F.when(F.size(fits) > 0, F.coalesce(first(fits, 1), first(fits, -1))))
+
     either = "|".join(UNIT_TOKENS)
     unit_first, number_first = rf"(?iU)\b({either})\b\s+(\d+(?:[.,]\d+)?)\b", rf"(?iU)\b(\d+(?:[.,]\d+)?)\b\s+({either})\b"
-    has_first, has_second = segment.rlike(unit_first), segment.rlike(number_first)
-    unit = F.when(first.isNotNull(), first["unit"]).when(has_first, F.upper(F.regexp_extract(segment, unit_first, 1))).when(has_second, F.upper(F.regexp_extract(segment, number_first, 2)))
-    quantity = F.when(first.isNotNull(), first["quantity"]).when(has_first, parse_number(F.regexp_extract(segment, unit_first, 2))).when(has_second, parse_number(F.regexp_extract(segment, number_first, 1)))
-    return unit, quantity
+    said = lambda pattern, unit, number: F.when(segment.rlike(pattern), pair(F.upper(F.regexp_extract(segment, pattern, unit)), parse_number(F.regexp_extract(segment, pattern, number))))
+    parts = F.filter(F.transform(F.split(segment, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    found = F.coalesce(bound(parts, beside), said(unit_first, 1, 2), said(number_first, 2, 1))
+    return F.coalesce(found, pair(F.lit(None).cast("string"), F.lit(None).cast("double")))
