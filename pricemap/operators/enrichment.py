@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricemap.functions.contacts import PHONE, TAX_ID_STRICT, format_tax_id, digits, name_tokens, normalize_name, phone_valid, strong_phone, strong_tax_id, tax_id_valid
 from pricemap.functions.normalize import unit_and_quantity
-from pricemap.work import written
+from pricemap.work import spread, written
 
 
 def filled(col: Column) -> Column:
@@ -51,7 +51,8 @@ def name_match(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
         return df.select(key, normalize_name(F.col("name")).alias(f"{p}n"), F.array_sort(name_tokens(F.col("name"))).alias(f"{p}t")).filter(F.col(f"{p}n") != "")
 
     own_a, own_b = side(a, a_id, "a"), side(b, b_id, "b")
-    names_a, names_b = (own.select(f"{p}n", f"{p}t").distinct() for own, p in ((own_a, "a"), (own_b, "b")))
+    # equal names have equal words
+    names_a, names_b = (written(spread(own.select(f"{p}n", f"{p}t"), f"{p}n").dropDuplicates([f"{p}n"]), "different-names") for own, p in ((own_a, "a"), (own_b, "b")))
 
     def words(names: DataFrame, p: str, which: str) -> DataFrame:
         return names.filter(F.size(f"{p}t") > 1 if which == "several" else F.size(f"{p}t") == 1 if which == "one" else F.lit(True)).select(f"{p}n", F.explode(f"{p}t").alias("t"))
@@ -123,25 +124,30 @@ def propose_contact_updates(suppliers: DataFrame, contacts: DataFrame) -> DataFr
 def candidate_lines(items: DataFrame, lines: DataFrame, best: int = 5) -> DataFrame:
     """Each item's lines of most common words, five at most, each with the lines after and before it (K2).
 
-    ``lines``: file_id, pos, text.  A line that names the item's number counts five, each of the first
+    ``lines``: file_id, pos, text, and others that the result keeps.  A line that names the item's number counts five, each of the first
     six words of four letters or more of the description one.
     """
     words = F.slice(F.filter(F.regexp_extract_all(F.lower("description"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: F.length(w) >= 4), 1, 6)
-    joined = items.select("file_id", "seq", "item_no", words.alias("words")).join(lines.hint("merge"), "file_id")
-    numbered = F.when(F.col("item_no").isNotNull() & F.array_contains(F.split("text", r"[^\p{L}\p{N}_]+"), F.col("item_no")), 5).otherwise(0)
-    score = numbered + F.size(F.filter("words", lambda w: F.lower("text").contains(w)))
+    # a text is cut once, not for each item that meets it; an item without words or number has no line
+    own = items.select("file_id", "seq", "item_no", words.alias("words")).filter(F.col("item_no").isNotNull() | (F.size("words") > 0))
+    cut = lines.select("file_id", "pos", "text", F.lower("text").alias("low"), F.split("text", r"[^\p{L}\p{N}_]+").alias("parts"))
+    joined = own.join(cut.hint("merge"), "file_id")
+    numbered = F.when(F.col("item_no").isNotNull() & F.array_contains("parts", F.col("item_no")), 5).otherwise(0)
+    score = numbered + F.size(F.filter("words", lambda w: F.col("low").contains(w)))
     order = Window.partitionBy("file_id", "seq").orderBy(F.desc("score"), F.desc("pos"), F.desc("text"))
     top = joined.withColumn("score", score).filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     near = top.select("file_id", "seq", F.posexplode(F.array(F.col("pos"), F.col("pos") + 1, F.col("pos") - 1)).alias("k", "pos"), "rank")
     first = near.groupBy("file_id", "seq", "pos").agg(F.min(F.col("rank") * 3 + F.col("k")).alias("place"))
-    return first.join(lines.hint("merge"), ["file_id", "pos"]).select("file_id", "seq", "place", "text")
+    return first.join(lines.hint("merge"), ["file_id", "pos"]).drop("pos")
 
 
 def fill_from_lines(items: DataFrame, lines: DataFrame) -> DataFrame:
     """Items with a missing unit or quantity filled from their best line that has both."""
     missing = items.filter("unit is null or quantity is null")
     unit, quantity = unit_and_quantity(F.col("text"))
-    found = candidate_lines(missing, lines).select("file_id", "seq", "place", unit.alias("u"), quantity.alias("q")).filter("u is not null and q is not null")
+    # written, as a line is a candidate of many items and the filter would be planned on the patterns again
+    measured = written(spread(lines).select("file_id", "pos", "text", unit.alias("u"), quantity.alias("q")), "measured-lines")
+    found = candidate_lines(missing, measured).filter("u is not null and q is not null")
     best = found.groupBy("file_id", "seq").agg(F.min_by(F.struct("u", "q"), "place").alias("f"))
     joined = items.join(best, ["file_id", "seq"], "left")
     return joined.withColumns({"unit": F.coalesce("unit", "f.u"), "quantity": F.coalesce("quantity", "f.q")}).drop("f")
