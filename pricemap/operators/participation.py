@@ -128,10 +128,10 @@ def items_per_supplier_by_name(links: DataFrame, items: DataFrame, suppliers: Da
 
     Links with a sender count for its address.  The files of the others count for every supplier
     (process_id, email, name) whose name is likely that of the file's company (``documents``: file_id, supplier).  Senders with items
-    but no supplier row appear too; suppliers without items have zero.
+    but no supplier row appear too; suppliers without items have zero.  ``items`` may be counts already (process_id, file_id, n).
     """
     mail = F.lower(F.trim(F.coalesce("sender_email", F.lit(""))))
-    counts = items.groupBy("process_id", "file_id").agg(F.count("*").alias("n"))
+    counts = items if "n" in items.columns else items.groupBy("process_id", "file_id").agg(F.count("*").alias("n"))
     linked = links.select("process_id", "file_id", mail.alias("email")).join(counts.hint("merge"), ["process_id", "file_id"])
     by_mail = linked.filter("email <> ''").groupBy("process_id", "email").agg(F.sum("n").alias("by_mail"))
     company = F.trim(F.coalesce("supplier", F.lit("")))
