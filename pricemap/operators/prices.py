@@ -147,6 +147,7 @@ def wide_map(cells: DataFrame, names: list[str]) -> DataFrame:
 
 def long_map(cells: DataFrame) -> DataFrame:
     """The map of any number of suppliers: a row a price, whether it is its row's lowest, and whether its cell is doubtful."""
-    low = cells.groupBy(*ROW).agg(F.min("unit_price").alias("min_price"), F.count("unit_price").alias("n_quotes"))
-    joined = cells.join(low.hint("merge"), ROW)
-    return joined.select(*ROW, "supplier", "unit_price", F.coalesce(F.col("unit_price") == F.col("min_price"), F.lit(False)).alias("is_min"), "min_price", "n_quotes", (F.col("confidence") != "alta").alias("doubtful"))
+    # over the cells as they are: a join with their minima would make them twice
+    whole = Window.partitionBy(*ROW)
+    marked = cells.select(*ROW, "supplier", "unit_price", "confidence").withColumns({"min_price": F.min("unit_price").over(whole), "n_quotes": F.count("unit_price").over(whole)})
+    return marked.select(*ROW, "supplier", "unit_price", F.coalesce(F.col("unit_price") == F.col("min_price"), F.lit(False)).alias("is_min"), "min_price", "n_quotes", (F.col("confidence") != "alta").alias("doubtful"))
