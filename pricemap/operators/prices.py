@@ -105,15 +105,18 @@ def display_rows(rows: DataFrame, cells: DataFrame) -> DataFrame:
     return joined.withColumns({"unit": F.coalesce("unit", "u.unit", F.lit("UN")), "quantity": F.coalesce("quantity", "q.quantity")}).drop("u", "q")
 
 
-def map_rows(assigned: DataFrame) -> DataFrame:
+#: What a row takes from the first item that has it, and what a cell takes from its last item.
+OF_ROW, OF_CELL = ("quantity", "unit", "item_no", "material_code"), ("unit_price", "quantity", "unit", "file_id", "confidence", "seq")
+
+
+def map_rows(assigned: DataFrame, of_row: tuple[str, ...] = OF_ROW, of_cell: tuple[str, ...] = OF_CELL) -> DataFrame:
     """One pass from assigned items to the map: each row's attributes (as ``canonical_rows``) and its ``cells`` (as ``price_cells``).
 
-    Items meet by row and supplier first, so a row with many items is many tasks' work until one row a supplier is left.
+    Items meet by row and supplier first, so a row with many items is many tasks' work until one row a supplier is left.  Who reads few columns names them: the rest isn't carried.
     """
     known = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v")))).alias(f"first_{c}")
     text = F.struct(F.length(F.coalesce("description", F.lit(""))).alias("n"), (-F.col("seq")).alias("s"), "description")
-    value = F.struct("unit_price", "quantity", "unit", "file_id", "confidence", "seq")
-    names = ("quantity", "unit", "item_no", "material_code")
+    value, names = F.struct(*of_cell), of_row
     of_supplier = assigned.groupBy(*ROW, "supplier").agg(
         F.max_by(value, "seq").alias("cell"), F.min("seq").alias("row_seq"), *[known(c) for c in names],
         F.max(F.when(F.col("unit_price").isNotNull(), text)).alias("priced_text"), F.max(text).alias("any_text"),

@@ -662,7 +662,7 @@ def empty_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SQL_ROWS} SELECT r.process_id, count(*) AS n_blank FROM rws r WHERE r.row_seq % 5 = 0 AND EXISTS (SELECT 1 FROM cells c WHERE c.process_id = r.process_id AND c.row_id = r.row_id AND c.unit_price IS NOT NULL) GROUP BY ALL""")
 def blank_priced_rows(spark: SparkSession, d: str) -> DataFrame:
-    own = prices.map_rows(assigned(spark, d))
+    own = prices.map_rows(assigned(spark, d), of_row=(), of_cell=("unit_price",))
     return checks.blank_priced_rows(own.withColumn("description", F.when(F.col("row_seq") % 5 == 0, " ").otherwise(F.col("description"))))
 
 
