@@ -22,21 +22,23 @@ GRAM = 8
 def containing(wholes: DataFrame, parts: DataFrame) -> DataFrame:
     """Different pairs (whole, part) of the two tables' texts, where ``whole`` contains ``part`` anywhere; blank parts have none.
 
-    A part meets the texts that hold its rarest piece; a piece that no text holds rules it out.
+    A part meets the texts that hold its rarest piece; a piece that no text holds rules it out.  Pieces go by
+    a hash, as the texts are compared where they meet.
     """
-    wholes, parts = wholes.select("whole").distinct(), parts.select("part").filter("part <> ''").distinct()
+    wholes, parts = spread(wholes.select("whole"), "whole").distinct(), spread(parts.select("part").filter("part <> ''"), "part").distinct()
     lengths = [r[0] for r in parts.select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect()] or [GRAM]
 
     def pieces(text: str, n) -> Column:
         last = F.length(text) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substr(text, k, n))).otherwise(F.array().cast("array<string>"))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.xxhash64(F.substr(text, k, n)))).otherwise(F.array().cast("array<long>"))
 
     held = wholes.select("whole", F.explode(F.array_distinct(F.concat(*[pieces("whole", F.lit(n)) for n in lengths]))).alias("piece"))
     own = parts.withColumn("pieces", F.array_distinct(pieces("part", F.least(F.length("part"), F.lit(GRAM)))))
     counts = held.groupBy("piece").agg(F.count("*").alias("n"))
     met = own.select("part", F.size("pieces").alias("all"), F.explode("pieces").alias("piece")).join(counts.hint("merge"), "piece")
-    rarest = met.groupBy("part", "all").agg(F.count("*").alias("found"), F.min(F.struct("n", "piece")).alias("r")).filter("found = all")
-    return rarest.select("part", F.col("r.piece").alias("piece")).join(held.hint("merge"), "piece").filter(F.col("whole").contains(F.col("part"))).select("whole", "part")
+    # of plain values, which need no sort
+    rarest = met.groupBy("part", "all").agg(F.count("*").alias("found"), F.min_by("piece", "n").alias("piece")).filter("found = all")
+    return rarest.select("part", "piece").join(held.hint("merge"), "piece").filter(F.col("whole").contains(F.col("part"))).select("whole", "part")
 
 
 def name_match(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
@@ -48,7 +50,9 @@ def name_match(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
     """
 
     def side(df: DataFrame, key: str, p: str) -> DataFrame:
-        return df.select(key, normalize_name(F.col("name")).alias(f"{p}n"), F.array_sort(name_tokens(F.col("name"))).alias(f"{p}t")).filter(F.col(f"{p}n") != "")
+        own = spread(df.select(key, "name")).select(key, normalize_name(F.col("name")).alias(f"{p}n"), F.array_sort(name_tokens(F.col("name"))).alias(f"{p}t"))
+        # written, as every way to meet reads the names
+        return written(own, "names").filter(F.col(f"{p}n") != "")
 
     own_a, own_b = side(a, a_id, "a"), side(b, b_id, "b")
     # equal names have equal words
@@ -69,8 +73,10 @@ def name_match(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
         source = {"an": names_a, "bn": names_b}
         inside = containing(source[wholes].select(F.col(wholes).alias("whole")), source[parts].select(F.col(parts).alias("part"))).filter(whole_words)
         met = met.unionByName(inside.select(F.col("whole").alias(wholes), F.col("part").alias(parts)).select("an", "bn"))
-    met = met.distinct().join(own_a.hint("merge"), "an").join(own_b.hint("merge"), "bn")
-    return met.select(a_id, b_id, F.size(F.array_intersect("at", "bt")).alias("n_common")).dropDuplicates([a_id, b_id])
+    words_of = lambda names, p: names.select(f"{p}n", f"{p}t").hint("merge")
+    met = met.distinct().join(words_of(names_a, "a"), "an").join(words_of(names_b, "b"), "bn").select("an", "bn", F.size(F.array_intersect("at", "bt")).alias("n_common"))
+    met = met.join(own_a.select(a_id, "an").hint("merge"), "an").join(own_b.select(b_id, "bn").hint("merge"), "bn")
+    return met.select(a_id, b_id, "n_common").dropDuplicates([a_id, b_id])
 
 
 def backfill_contacts_from_mail(suppliers: DataFrame, messages: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def candidate_lines(items: DataFrame, lines: DataFrame, best: int = 5) -> DataFr
     numbered = F.when(F.col("item_no").isNotNull() & F.array_contains("parts", F.col("item_no")), 5).otherwise(0)
     score = numbered + F.size(F.filter("words", lambda w: F.col("low").contains(w)))
     order = Window.partitionBy("file_id", "seq").orderBy(F.desc("score"), F.desc("pos"), F.desc("text"))
-    top = joined.withColumn("score", score).filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    top = joined.select("file_id", "seq", "pos", "text", score.alias("score")).filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
     near = top.select("file_id", "seq", F.posexplode(F.array(F.col("pos"), F.col("pos") + 1, F.col("pos") - 1)).alias("k", "pos"), "rank")
     first = near.groupBy("file_id", "seq", "pos").agg(F.min(F.col("rank") * 3 + F.col("k")).alias("place"))
     return first.join(lines.hint("merge"), ["file_id", "pos"]).drop("pos")
