@@ -8,6 +8,7 @@ import tarfile
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ def _named(raw: DataFrame) -> DataFrame:
 
 #: Bytes of members that a task fetches, and that a batch of rows holds.
 FETCH_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+#: Cells of a delimited file that a batch of rows holds.
+BATCH_CELLS = 20_000
 _ENTRY = "path string, archive string, seq int, member string, base string, kind string, bytes long"
 
 
@@ -143,22 +146,38 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def read_quote_csv(spark: SparkSession, path: str) -> DataFrame:
     """Cells (file_id, grid_id, row, col, text) of delimited files; the delimiter is the one its first line has most of.
 
-    Cells in quotes may hold the delimiter and line breaks.  A quotation file is one document and is parsed whole.
+    Cells in quotes may hold the delimiter and line breaks.  A quotation file is one document: one task decodes its bytes
+    as it goes along, and gives a batch of cells at a time.
     """
+    schema = pa.schema([("file_id", pa.string()), ("grid_id", pa.string()), ("row", pa.int32()), ("col", pa.int32()), ("text", pa.string())])
 
     def parse(batches):
         csv.field_size_limit(1 << 30)
-        for pdf in batches:
-            rows = []
-            for file_id, value in zip(pdf["file_id"], pdf["value"]):
-                first = value.splitlines()[0] if value else ""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                file_id, held = batch.column("file_id")[k].as_py(), batch.column("value")[k].as_buffer()
+                lines = lambda: io.TextIOWrapper(pa.BufferReader(held), encoding="utf-8", newline="")
+                # the first line ends where str.splitlines ends it
+                first = (next(lines(), "").splitlines() or [""])[0]
                 sep = max(",;\t|", key=lambda d: (first.count(d), -",;\t|".index(d)))
-                for row, cells in enumerate(csv.reader(io.StringIO(value, newline=""), delimiter=sep)):
-                    rows += [(file_id, "csv", row, col, text.strip()) for col, text in enumerate(cells) if any(x.strip() for x in cells)]
-            yield pd.DataFrame(rows, columns=["file_id", "grid_id", "row", "col", "text"])
+                made, size = [], 0
+                for row, cells in enumerate(csv.reader(lines(), delimiter=sep)):
+                    cells = [x.strip() for x in cells]
+                    if any(cells):
+                        made += [(row, col, x) for col, x in enumerate(cells)]
+                        size += sum(map(len, cells))
+                    if len(made) >= BATCH_CELLS or size >= BATCH_BYTES:
+                        yield cells_of(file_id, made)
+                        made, size = [], 0
+                if made:
+                    yield cells_of(file_id, made)
+
+    def cells_of(file_id: str, made: list):
+        rows, cols, texts = zip(*made)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([file_id] * len(made), ["csv"] * len(made), rows, cols, texts), schema.types)], schema=schema)
 
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), "value")
-    return whole.mapInPandas(parse, "file_id string, grid_id string, row int, col int, text string")
+    return whole.mapInArrow(parse, "file_id string, grid_id string, row int, col int, text string")
 
 
 # Header names of a master list, per field.
