@@ -179,9 +179,9 @@ doubtful AS (SELECT p.*, x.s AS a_s, y.s AS b_s FROM pairs p LEFT JOIN s x ON x.
 gray AS (SELECT * FROM doubtful QUALIFY row_number() OVER (PARTITION BY process_id ORDER BY b_row_seq, a_row_seq) <= 60)"""
 
 
-def sellers(spark: SparkSession, d: str) -> DataFrame:
-    """Who quotes each description."""
-    return items(spark, d).select("process_id", F.concat(F.lit("D:"), text.normalize_desc(F.col("description"))).alias("row_id"), "supplier")
+def sellers(spark: SparkSession, d: str, own: DataFrame | None = None) -> DataFrame:
+    """Who quotes each description; ``own`` are the items where they are at hand."""
+    return (items(spark, d) if own is None else own).select("process_id", F.concat(F.lit("D:"), text.normalize_desc(F.col("description"))).alias("row_id"), "supplier")
 
 
 @query(f"WITH {SQL_GRAY} SELECT * EXCLUDE (a_s, b_s) FROM gray")
@@ -192,7 +192,9 @@ def gray_zone_pairs_lev(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SQL_GRAY} SELECT * EXCLUDE (a_s, b_s) FROM doubtful")
 def gray_zone_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of the gray zone, whatever their number."""
-    return resolve.gray_zone_pairs(resolve.description_rows(items(spark, d)), sellers(spark, d), cap=None)
+    # the items once: descriptions and their sellers come of what they offer
+    own = resolve.offers(items(spark, d))
+    return resolve.gray_zone_pairs(resolve.description_rows(own), sellers(spark, d, own), cap=None)
 
 
 @query(f"""WITH {SQL_ITEMS}, g AS (SELECT process_id, item_no, trim(description) AS description, count(*) AS w, min(seq) AS seq FROM items WHERE item_no IS NOT NULL AND trim(description) <> '' GROUP BY ALL),
